@@ -75,8 +75,8 @@ def assign_cells(classes: DataFrame, pivots: dict[int, np.ndarray], radius: floa
                 yield pa.RecordBatch.from_arrays(columns, names=["class", "label", "dim", "copies", "vector", "home", "cell", "d"])
 
     own = classes.select("class", "label", "dim", "copies", "vector")
-    schema = own.schema
-    return own.mapInArrow(run, schema.add("home", T.BooleanType()).add("cell", T.IntegerType()).add("d", T.DoubleType()))
+    more = [T.StructField("home", T.BooleanType()), T.StructField("cell", T.IntegerType()), T.StructField("d", T.DoubleType())]
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, *more]))
 
 
 def vector_links(classes: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
