@@ -134,14 +134,19 @@ def raw_score(histograms_: Column, values: list[Column] | None = None) -> Column
     return total
 
 
+#: Decimals at which scores and quantiles are compared, so that equal windows tie whatever the last bits of a sum are.
+TIE_DECIMALS = 9
+
+
 def normalised(raw: Column, quantiles: Column) -> Column:
     """The share of the quantiles that are not above the score."""
-    return F.size(F.filter(quantiles, lambda q: q <= raw)) / F.size(quantiles)
+    score = F.round(raw, TIE_DECIMALS)
+    return F.size(F.filter(quantiles, lambda q: F.round(q, TIE_DECIMALS) <= score)) / F.size(quantiles)
 
 
 def training_scores(features: DataFrame, models: DataFrame) -> DataFrame:
     """source_id and score of every training window under its own source's histograms."""
-    return features.join(broadcast_if_small(models, 2_000), "source_id").select("source_id", raw_score(F.col("histograms")).alias("score"))
+    return features.join(broadcast_if_small(models, 2_000), "source_id").select("source_id", F.round(raw_score(F.col("histograms")), TIE_DECIMALS).alias("score"))
 
 
 def quantile_arrays(grid: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import baseline, marts, quality, scoring
 from tidegauge.operators.features import window_features
+from tidegauge.operators.materialize import cut
 from tidegauge.operators.windows import fit_samples, serve_samples
 from tidegauge.schemas import FitSpec, WindowSpec
 from tidegauge.sources.tables import http_events
@@ -30,6 +31,12 @@ def training_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline.horizon_samples(fit_history(spark, sf_dir), WINDOWS)
 
 
+def training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Gate counts and features of the training windows, materialised: a fit reads both several times."""
+    events, samples = fit_history(spark, sf_dir), cut(training_samples(spark, sf_dir))
+    return cut(baseline.gate_counts(events, samples, FIT)), cut(window_features(samples, events, WINDOWS))
+
+
 def training_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_features(training_samples(spark, sf_dir), fit_history(spark, sf_dir), WINDOWS)
 
@@ -40,12 +47,13 @@ def gate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def passing_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training features of the sources that pass the gates."""
-    counts = gate_counts(spark, sf_dir).where("passes").select("source_id")
-    return training_features(spark, sf_dir).join(counts, "source_id", "left_semi")
+    counts, features = training(spark, sf_dir)
+    return features.join(counts.where("passes").select("source_id"), "source_id", "left_semi")
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return baseline.fit_baselines(training_features(spark, sf_dir), gate_counts(spark, sf_dir), WINDOWS, FIT, F.lit(SPLIT).cast("timestamp"))
+    counts, features = training(spark, sf_dir)
+    return cut(baseline.fit_baselines(features, counts, WINDOWS, FIT, F.lit(SPLIT).cast("timestamp")))
 
 
 def served(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,19 +61,21 @@ def served(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serve_samples(http_events(spark, sf_dir), WINDOWS, F.col("t") >= split_micros())
 
 
-def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = served(spark, sf_dir)
+def decisions(spark: SparkSession, sf_dir: str, fitted: DataFrame | None = None) -> DataFrame:
+    """Decisions on the served windows under the runs fitted before the split."""
+    samples = cut(served(spark, sf_dir))
     features = window_features(samples, http_events(spark, sf_dir), WINDOWS)
     rows = features.join(samples.select("event_id", "event_time", "eligible"), "event_id")
-    return scoring.decide(rows, scoring.loaded_models(runs(spark, sf_dir), WINDOWS), F.col("event_time"))
+    models = scoring.loaded_models(runs(spark, sf_dir) if fitted is None else fitted, WINDOWS)
+    return scoring.decide(rows, models, F.col("event_time"))
 
 
 def tables(spark: SparkSession, sf_dir: str) -> quality.Tables:
     """All tables that the marts and checks read; decisions and runs are materialised once."""
-    from tidegauge.operators.materialize import cut
-
     events = marts.staged_events(http_events(spark, sf_dir))
-    decided, fitted = cut(decisions(spark, sf_dir)), marts.staged_runs(cut(runs(spark, sf_dir)))
+    fitted = runs(spark, sf_dir)
+    decided = cut(decisions(spark, sf_dir, fitted))
+    fitted = marts.staged_runs(fitted)
     dated = marts.decisions_with_event_date(decided, events)
     traffic, outcomes = marts.daily_traffic(events), marts.daily_outcomes(dated)
     segments = marts.usage_segments(dated, fitted)

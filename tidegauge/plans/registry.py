@@ -1,10 +1,229 @@
-"""Registered queries and their DuckDB counterparts."""
+"""Registered queries over the driver's tables. Doubles are rounded to six decimals, for sums may differ in the last bits."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tidegauge.functions.features import NAMES
+from tidegauge.operators import baseline, dashboard, marts, quality, reads
+from tidegauge.operators.materialize import cut
+from tidegauge.operators.validation import event_errors
+from tidegauge.operators.windows import mark_late, with_window_counts
+from tidegauge.plans import flows
+from tidegauge.plans.oracles import ORACLES  # noqa: F401  (part of the registry)
+from tidegauge.sources.tables import http_events
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Doubles rounded, timestamps without zone, as the other engine has them."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.DoubleType):
+            c = F.round(c, 6)
+        elif isinstance(f.dataType, T.TimestampType):
+            c = c.cast("timestamp_ntz")
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+def query(f: Query) -> Query:
+    """Registers a query by its name."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return plain(f(spark, sf_dir))
+
+    QUERIES[f.__name__] = run
+    return run
+
+
+EVENT = "event_id source_id visitor_id event_time http_method uri status_code referrer_present user_agent bytes resource_type endpoint".split()
+
+
+@query
+def http_events_query(spark, sf_dir):
+    return http_events(spark, sf_dir).select(*EVENT)
+
+
+QUERIES["http_events"] = QUERIES.pop("http_events_query")
+
+
+@query
+def event_validation(spark, sf_dir):
+    """Errors of the events after every third lost its method and every seventh its status range."""
+    broken = http_events(spark, sf_dir).withColumns({
+        "http_method": F.when(F.col("arrival") % 3 == 0, "").otherwise(F.col("http_method")),
+        "status_code": F.when(F.col("arrival") % 7 == 0, F.col("status_code") + 1000).otherwise(F.col("status_code")),
+        "bytes": F.when(F.col("arrival") % 5 == 0, -1 - F.col("bytes")).otherwise(F.col("bytes")),
+    })
+    return broken.select("event_id", F.array_join(event_errors(), "; ").alias("errors"))
+
+
+@query
+def resource_mix(spark, sf_dir):
+    return http_events(spark, sf_dir).groupBy("source_id", "resource_type").agg(F.count("*").alias("n"), F.sum("bytes").alias("total_bytes"))
+
+
+@query
+def daily_traffic(spark, sf_dir):
+    return marts.daily_traffic(marts.staged_events(http_events(spark, sf_dir)))
+
+
+@query
+def trailing_window_counts(spark, sf_dir):
+    return with_window_counts(http_events(spark, sf_dir), flows.WINDOWS).select("event_id", "window_count", "eligible")
+
+
+SAMPLE = ("source_id", "visitor_id", "event_id", "event_time")
+
+
+@query
+def fit_samples(spark, sf_dir):
+    return flows.training_samples(spark, sf_dir).select(*SAMPLE, "window_count")
+
+
+@query
+def window_features(spark, sf_dir):
+    return flows.training_features(spark, sf_dir).select("source_id", "visitor_id", "event_id", *NAMES)
+
+
+@query
+def fit_gate_counts(spark, sf_dir):
+    return flows.gate_counts(spark, sf_dir)
+
+
+@query
+def feature_histogram_bins(spark, sf_dir):
+    features = flows.passing_features(spark, sf_dir)
+    stats = cut(baseline.feature_stats(features, flows.FIT))
+    return baseline.bin_counts(features, stats, flows.FIT).join(stats.select("source_id", "ord", "name"), ["source_id", "ord"]).select("source_id", "name", "bin", F.col("n").alias("bin_count"))
+
+
+@query
+def baseline_histograms(spark, sf_dir):
+    rows = baseline.histograms(flows.passing_features(spark, sf_dir), flows.FIT)
+    mass = F.aggregate("bin_masses", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("source_id", "name", "transform", "p_undefined", "defined_count", "bin_min", "bin_width", F.size("bin_masses").alias("n_bins"), mass.alias("total_mass"), F.array_max("bin_masses").alias("top_mass"), "out_of_range_mass")
+
+
+@query
+def baseline_quantiles(spark, sf_dir):
+    features = cut(flows.passing_features(spark, sf_dir))
+    models = cut(baseline.histogram_arrays(baseline.histograms(features, flows.FIT)))
+    return baseline.score_grid(baseline.training_scores(features, models))
+
+
+@query
+def baseline_runs(spark, sf_dir):
+    return flows.runs(spark, sf_dir).select("id", "source_id", "status", "fit_at", "window_count", "distinct_visitors", "event_count", F.size("features_fit").alias("n_features"))
+
+
+def late_arrivals(spark, sf_dir):
+    """The events in an order in which every tenth comes 500 later."""
+    events = http_events(spark, sf_dir)
+    moved = F.col("arrival") + F.when(F.col("arrival") % 10 == 0, 500).otherwise(0)
+    return events.withColumn("arrival", moved * 1_000_000_000 + F.col("arrival"))
+
+
+@query
+def late_events(spark, sf_dir):
+    return mark_late(late_arrivals(spark, sf_dir)).groupBy("source_id").agg(F.count("*").alias("n"), F.count_if("late").alias("n_late"))
+
+
+@query
+def serve_gate(spark, sf_dir):
+    return flows.served(spark, sf_dir).select(*SAMPLE, "window_count", "eligible")
+
+
+@query
+def decisions(spark, sf_dir):
+    return flows.decisions(spark, sf_dir).withColumn("baseline_run_id", F.col("baseline_run_id").cast("string"))
+
+
+@query
+def decisions_with_event_date(spark, sf_dir):
+    dated = marts.decisions_with_event_date(flows.decisions(spark, sf_dir), marts.staged_events(http_events(spark, sf_dir)))
+    return dated.select("decision_id", "event_id", "source_id", "event_time", "event_date", "status", "risk_level", "action")
+
+
+@query
+def daily_outcomes(spark, sf_dir):
+    return flows.tables(spark, sf_dir).outcomes
+
+
+@query
+def baseline_usage_segments(spark, sf_dir):
+    return flows.tables(spark, sf_dir).segments.drop("baseline_features_fit", "baseline_registry_hash")
+
+
+@query
+def daily_risk_mart(spark, sf_dir):
+    return flows.tables(spark, sf_dir).mart.drop("baseline_usage_segments")
+
+
+@query
+def risk_mart_segments_unnested(spark, sf_dir):
+    return dashboard.usage_rows(flows.tables(spark, sf_dir).mart)
+
+
+@query
+def latest_decision_per_visitor(spark, sf_dir):
+    return reads.latest_per_visitor(flows.decisions(spark, sf_dir)).select("source_id", "visitor_id", "decision_id", "decided_at", "status", "score_normalized", "action")
+
+
+@query
+def recent_decisions_by_source(spark, sf_dir):
+    """The newest hundred of one source: the limit is the feature."""
+    return reads.recent_for_source(flows.decisions(spark, sf_dir), "src-0").select("decision_id", "decided_at", "status", "action")
+
+
+@query
+def filter_options(spark, sf_dir):
+    return dashboard.filter_options(flows.tables(spark, sf_dir).mart)
+
+
+@query
+def daily_summaries_partial_day(spark, sf_dir):
+    return dashboard.daily_summaries(flows.tables(spark, sf_dir).mart, None, "2024-01-01", "2024-01-25").select("source_id", "event_date", "is_partial_day", "request_count", "scored_window_count")
+
+
+@query
+def kpi_totals(spark, sf_dir):
+    return dashboard.kpi_totals(flows.tables(spark, sf_dir).mart)
+
+
+@query
+def evaluation_rate(spark, sf_dir):
+    return dashboard.evaluation_rate(flows.tables(spark, sf_dir).mart)
+
+
+@query
+def risk_composition(spark, sf_dir):
+    return dashboard.risk_composition(flows.tables(spark, sf_dir).mart)
+
+
+@query
+def action_distribution(spark, sf_dir):
+    return dashboard.action_distribution(flows.tables(spark, sf_dir).mart)
+
+
+@query
+def score_trend(spark, sf_dir):
+    return dashboard.score_trend(flows.tables(spark, sf_dir).mart)
+
+
+@query
+def daily_requests(spark, sf_dir):
+    return dashboard.daily_requests(flows.tables(spark, sf_dir).mart)
+
+
+@query
+def quality_report(spark, sf_dir):
+    return quality.quality_report(flows.tables(spark, sf_dir))

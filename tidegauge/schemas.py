@@ -37,9 +37,16 @@ SIGNAL_DDL = "source_id string, baseline_run_id bigint"
 DEAD_LETTER_DDL = "original_topic string, original_partition int, original_offset bigint, reason string, at bigint, payload binary"
 
 
+SIMPLE_TYPES = {
+    "string": T.StringType, "int": T.IntegerType, "bigint": T.LongType, "double": T.DoubleType,
+    "boolean": T.BooleanType, "timestamp": T.TimestampType, "binary": T.BinaryType,
+}
+
+
 def struct(ddl: str) -> T.StructType:
-    """The StructType of a field list."""
-    return T.StructType.fromDDL(ddl)
+    """The StructType of a list of fields of simple types; it needs no session."""
+    pairs = [field.split() for field in ddl.split(",")]
+    return T.StructType([T.StructField(name, SIMPLE_TYPES[kind]()) for name, kind in pairs])
 
 
 RAW_EVENT = struct(RAW_EVENT_DDL)
