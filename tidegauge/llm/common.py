@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ def utf8(column: str = "text") -> Column:
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that the texts of a slice stay near max_bytes; a longer text is a slice of its own."""
     for batch in batches:
-        lengths = np.asarray(pa.compute.binary_length(batch.column(text)).fill_null(0), dtype=np.int64)
+        lengths = np.asarray(pc.binary_length(batch.column(text)).fill_null(0), dtype=np.int64)
         part = np.cumsum(lengths) // max_bytes
         starts = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else []
         for a, b in zip(starts, [*starts[1:], batch.num_rows]):
