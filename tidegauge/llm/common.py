@@ -43,7 +43,7 @@ def utf8(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that the texts of a slice stay near max_bytes; a longer text is a slice of its own."""
     for batch in batches:
         lengths = np.asarray(pc.binary_length(batch.column(text)).fill_null(0), dtype=np.int64)

@@ -21,6 +21,9 @@ MAX_COVERED = 0.30
 #: Longest repeat, in words, of a document that is kept.
 MAX_LONGEST = 200
 
+#: Bytes of text that share one suffix array; its ranks take some fifty times as much.
+SLICE_BYTES = 2 << 20
+
 SYMBOLS = b"#*$%&|<>"
 
 SCHEMA = (
@@ -167,7 +170,7 @@ def repetition_quality(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, max_bytes=SLICE_BYTES):
             counts = measure(part.column("text").to_pylist(), min_repeat)
             yield pa.RecordBatch.from_arrays([pc.cast(part.column("doc_id"), pa.int64()), *map(pa.array, counts.values())], names=["doc_id", *counts])
 
@@ -194,7 +197,7 @@ def keep_quality(docs: DataFrame, **limits) -> DataFrame:
         for batch in batches:
             binary = pa.RecordBatch.from_arrays([pc.fill_null(batch.column("text").cast(pa.binary()), b"")], names=["text"])
             kept = []
-            for part in slices(iter([binary])):
+            for part in slices(iter([binary]), max_bytes=SLICE_BYTES):
                 c = measure(part.column("text").to_pylist(), min_repeat)
                 n = c["n_words"]
                 base = (n < 50) | (100 * c["n_repeat_words"] > 50 * n)

@@ -18,7 +18,7 @@ from tidegauge.llm.common import slices, utf8
 
 SPACE = "▁"
 #: Distinct chunks of text in one of a worker's two memories; when the newer is full, it replaces the older.
-MEMO = 500_000
+MEMO = 200_000
 #: The rank of a pair that makes no piece.
 NEVER = np.iinfo(np.int32).max
 

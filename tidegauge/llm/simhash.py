@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -226,4 +224,4 @@ def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Rows that repeat the kept doc_id stay; rows with a null doc_id stay, for they can't be told apart.
     """
     gone = cut(simhash_components(docs, radius).where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti")

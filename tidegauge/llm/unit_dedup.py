@@ -114,8 +114,12 @@ def remove_spans(text: str, cuts: list[tuple[int, int]], separator: str = LINES)
 
 
 def dedup_documents(docs: DataFrame, separator: str = LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with repeated units removed from text, all columns kept, and removed: their original offsets."""
-    keyed = docs.withColumn("_row", row_key())
+    """The documents with repeated units removed from text, all columns kept, and removed: their original offsets.
+
+    A column of the documents that is itself named removed is replaced.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(whole.alias("_doc"), row_key().alias("_row"))
     spans = unit_dedup(docs, separator, min_words).where("n_removed > 0").select(F.col("row_key").alias("_row"), F.col("spans").alias("removed")).dropDuplicates(["_row"])
 
     @F.pandas_udf("string")
@@ -124,4 +128,6 @@ def dedup_documents(docs: DataFrame, separator: str = LINES, min_words: int = MI
 
         return pd.Series([t if r is None or t is None else remove_spans(t, [tuple(map(int, x.split(":"))) for x in r.split(",")], separator) for t, r in zip(text, removed)], dtype=object)
 
-    return keyed.join(spans, "_row", "left").withColumn("text", without("text", "removed")).drop("_row")
+    text = without("_doc.text", "removed")
+    columns = [text.alias(c) if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c != "removed"]
+    return keyed.join(spans, "_row", "left").select(*columns, "removed")
