@@ -352,7 +352,7 @@ def mix_by_force(rows, mix):
     for d, t, lang, source in rows:
         s = source or ""
         m = re.search("([0-9]{1,9})$", s)
-        leaves[(f"d{int(m.group(1)) // 5}" if m else "d199999999", lang or "", s)].append((d, len(WORD.findall(t or ""))))
+        leaves[(f"d{int(m.group(1)) // 5}" if m else "d", lang or "", s)].append((d, len(WORD.findall(t or ""))))
     tokens = {k: sum(n for _, n in v) for k, v in leaves.items()}
     cap = {k: n * mix.max_epochs for k, n in tokens.items()}
 

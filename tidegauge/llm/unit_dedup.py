@@ -18,7 +18,7 @@ MIN_WORDS = 10
 LINES = "\n"
 PARAGRAPHS = "\n\n"
 
-UNITS = "doc_id long, row_key long, unit int, start long, end long, n_words int, digest binary"
+UNITS = "doc_id long, row_key long, n_units int, unit int, start long, end long, n_words int, digest binary"
 
 _LETTERS = re.compile(r"[^\W_]+")
 
@@ -29,23 +29,22 @@ def normalise(unit: str) -> str:
 
 
 def units(docs: DataFrame, separator: str = LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, row_key, unit number, start and end (code points of the original text), words and digest of each unit of
+    """doc_id, row_key, n_units of the row, unit number, start and end (code points of the original text), words and digest of each unit of
     min_words words or more. row_key is a hash of the row's doc_id and text; it tells apart rows that share a doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            columns: list[list] = [[] for _ in range(7)]
+            rows = []
             for doc, row, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "row_key", "text"))):
-                at = 0
+                at, own = 0, []
                 for k, unit in enumerate(text.decode("utf-8", "replace").split(separator)):
                     words = len(unit.encode().split())
                     if words >= min_words:
-                        digest = blake2b(normalise(unit).encode(), digest_size=16).digest()
-                        for c, x in zip(columns, (doc, row, k, at, at + len(unit), words, digest)):
-                            c.append(x)
+                        own.append((k, at, at + len(unit), words, blake2b(normalise(unit).encode(), digest_size=16).digest()))
                     at += len(unit) + len(separator)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "row_key", "unit", "start", "end", "n_words", "digest"])
+                rows += [(doc, row, len(own), *x) for x in own]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, types)], names=["doc_id", "row_key", "n_units", "unit", "start", "end", "n_words", "digest"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), utf8().alias("text")).mapInArrow(run, UNITS)
 
@@ -78,21 +77,21 @@ def unit_dedup(docs: DataFrame, separator: str = LINES, min_words: int = MIN_WOR
     """
     found = cut(units(docs, separator, min_words))
     gone = repeated_units(found)
-    every = found.groupBy("doc_id", "row_key").agg(F.count("*").alias("n_units"))
-    lost = gone.groupBy("doc_id", "row_key").agg(
-        F.count("*").alias("n_removed"),
-        F.sum("n_words").cast("long").alias("removed_words"),
-        F.sum(F.col("end") - F.col("start")).alias("removed_chars"),
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"),
-        F.array_sort(F.collect_set("first_doc_id")).alias("sources"),
-    )
+    # A row that occurs twice has each of its units twice; sets count them once.
+    every = found.groupBy("doc_id", "row_key").agg(F.max("n_units").cast("long").alias("n_units"))
+    lost = gone.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "n_words"))).alias("cuts"), F.array_sort(F.collect_set("first_doc_id")).alias("sources"))
+    zero = F.lit(0).cast("long")
+    lost = lost.withColumns({
+        "n_removed": F.size("cuts").cast("long"),
+        "removed_words": F.aggregate("cuts", zero, lambda a, s: a + s["n_words"]),
+        "removed_chars": F.aggregate("cuts", zero, lambda a, s: a + s["end"] - s["start"]),
+    })
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key")).distinct()
 
     def same(a: str, b: str):
         return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.row_key") == F.col(f"{b}.row_key"))
 
     joined = rows.alias("r").join(every.alias("e"), same("r", "e"), "left").join(lost.alias("l"), same("r", "l"), "left")
-    zero = F.lit(0).cast("long")
     return joined.select(
         F.col("r.doc_id").alias("doc_id"),
         F.col("r.row_key").alias("row_key"),
