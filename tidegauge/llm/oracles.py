@@ -1 +1,102 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL for the queries that SQL can express; the others are tested against brute force in tests/llm."""
+
+from __future__ import annotations
+
+from tidegauge.llm.mixing import Mix
+from tidegauge.llm.repetition import MAX_COVERED, MAX_LONGEST, MIN_REPEAT_WORDS
+from tidegauge.llm.unit_dedup import MIN_WORDS
+from tidegauge.llm.vectors import LEAST_COSINE
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _covered(name: str, k: int, where: str = "") -> str:
+    """Words of each document in windows of k words that it has twice or more."""
+    return f"""
+{name} AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
+  SELECT doc_id, unnest(range(i, i + {k})) AS p FROM (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (
+      SELECT doc_id, i, array_to_string(w[i:i + {k - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM words {where})))
+  WHERE c > 1) GROUP BY doc_id)"""
+
+
+OP1 = f"""
+WITH words AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id),
+{_covered("short", 3)},
+{_covered("long", MIN_REPEAT_WORDS)},
+{_covered("longest", MAX_LONGEST + 1, f"WHERE doc_id IN (SELECT doc_id FROM long WHERE n > {MAX_LONGEST})")},
+counted AS (
+  SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(array_to_string(w.w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(w.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(d.n, 0) AS n_dup_lines,
+    coalesce(s.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS covered_words, coalesce(x.n, 0) > 0 AS too_long
+  FROM words w LEFT JOIN dups d ON w.doc_id = d.doc_id LEFT JOIN short s ON w.doc_id = s.doc_id LEFT JOIN long l ON w.doc_id = l.doc_id LEFT JOIN longest x ON w.doc_id = x.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND covered_words <= {MAX_COVERED} * n_words AND NOT too_long AS kept, covered_words
+FROM counted"""
+
+OP4 = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {LEAST_COSINE}),
+reach AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+low AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+links AS (SELECT x, count(*) AS n FROM link GROUP BY x)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(l.y, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(l.y, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN links n ON n.x = e.vec_id LEFT JOIN low l ON l.x = e.vec_id"""
+
+_MIX = Mix()
+
+
+def _weight(column: str, weights) -> str:
+    return "CASE " + " ".join(f"WHEN {column} = '{k}' THEN {float(v)}::DOUBLE" for k, v in weights.items()) + " ELSE 1.0::DOUBLE END"
+
+
+def _share(source: str, parents: str, name: str) -> str:
+    of = f"PARTITION BY {parents}" if parents else ""
+    up = f"{of} ORDER BY cap / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    return f"""
+SELECT *, CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE greatest(0.0, (budget - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ({of})) * weight
+  / sum(CASE WHEN is_full THEN 0.0::DOUBLE ELSE weight END) OVER ({of})) END AS given
+FROM (SELECT *, (budget - (sum(cap) OVER ({up}) - cap)) / (sum(weight) OVER ({of}) - (sum(weight) OVER ({up}) - weight)) * weight >= cap AS is_full FROM ({source}))"""
+
+
+_LEAF = "domain, lang, source"
+OP5 = f"""
+WITH docs AS MATERIALIZED (
+  SELECT doc_id, coalesce('d' || floor(TRY_CAST(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS INTEGER) / 5)::INTEGER, 'd') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS tokens FROM documents),
+leaves AS (SELECT {_LEAF}, sum(tokens)::BIGINT AS tokens, sum(tokens)::BIGINT * {_MIX.max_epochs} AS cap FROM docs GROUP BY {_LEAF}),
+whole AS (SELECT least(floor(sum(cap) / {_MIX.max_epochs} * {_MIX.budget}::DOUBLE), sum(cap)) AS budget FROM leaves),
+top AS ({_share(f"SELECT domain, sum(cap)::BIGINT AS cap, {_weight('domain', _MIX.domain)} AS weight, (SELECT budget FROM whole)::DOUBLE AS budget FROM leaves GROUP BY domain", "", "domain")}),
+mid AS ({_share(f"SELECT l.domain, l.lang, sum(l.cap)::BIGINT AS cap, {_weight('l.lang', _MIX.lang)} AS weight, any_value(t.given) AS budget FROM leaves l JOIN top t ON l.domain = t.domain GROUP BY l.domain, l.lang", "domain", "lang")}),
+low AS ({_share(f"SELECT l.domain, l.lang, l.source, l.tokens, l.cap, {_weight('l.source', _MIX.source)} AS weight, m.given AS budget FROM leaves l JOIN mid m ON l.domain = m.domain AND l.lang = m.lang", "domain, lang", "source")}),
+plan AS (SELECT {_LEAF}, tokens AS total, CAST(floor(given + 1e-6) AS BIGINT) AS given, coalesce(CAST(floor(given + 1e-6) AS BIGINT) // nullif(tokens, 0), 0) AS epochs FROM low),
+placed AS (SELECT d.*, p.epochs, p.given - p.epochs * p.total AS rest, md5('{_MIX.seed}:' || p.epochs || ':' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')) AS place
+  FROM docs d JOIN plan p ON d.domain = p.domain AND d.lang = p.lang AND d.source = p.source),
+ranked AS (SELECT *, sum(tokens) OVER (PARTITION BY {_LEAF} ORDER BY place) <= rest AS taken FROM placed)
+SELECT doc_id, {_LEAF}, tokens, CAST(unnest(range(epochs + CASE WHEN taken THEN 1 ELSE 0 END)) AS BIGINT) AS epoch FROM ranked"""
+
+OP8 = f"""
+WITH lines AS MATERIALIZED (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
+placed AS MATERIALIZED (
+  SELECT doc_id, line, k, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lo,
+    len(regexp_extract_all(line, '{WORD}')) AS words FROM lines),
+units AS MATERIALIZED (SELECT *, trim(regexp_replace(lower(line), '[^\\pL\\pN]+', ' ', 'g')) AS plain FROM placed WHERE words >= {MIN_WORDS}),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY plain ORDER BY doc_id, k) AS r, first_value(doc_id) OVER (PARTITION BY plain ORDER BY doc_id, k) AS source FROM units),
+lost AS (
+  SELECT doc_id, count(*) AS n, sum(words)::BIGINT AS words, sum(length(line))::BIGINT AS chars, string_agg(lo || ':' || (lo + length(line)), ',' ORDER BY lo) AS spans,
+    list_sort(list_distinct(list(source))) AS sources FROM ranked WHERE r > 1 GROUP BY doc_id)
+SELECT d.doc_id, coalesce(u.n, 0) AS n_units, coalesce(l.n, 0) AS n_removed, coalesce(l.words, 0) AS removed_words, coalesce(l.chars, 0) AS removed_chars,
+  coalesce(l.spans, '') AS spans, coalesce(l.sources, CAST([] AS BIGINT[])) AS sources
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM units GROUP BY doc_id) u ON u.doc_id = d.doc_id LEFT JOIN lost l ON l.doc_id = d.doc_id"""
+
+ORACLES: dict[str, str] = {
+    "op1_repetition_quality": OP1,
+    "op4_vector_near_dedup": OP4,
+    "op5_mix_to_weights": OP5,
+    "op8_line_hash_dedup": OP8,
+}
