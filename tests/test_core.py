@@ -135,24 +135,24 @@ def test_quantiles(spark, values):
 
 
 def feature_rows(spark, values):
-    """Feature rows of one source: the first feature varies, the third is undefined, the others are constant."""
-    data = [("s", *[float(v) if j == 0 else None if j == 2 else 1.0 for j in range(9)]) for v in values]
+    """Feature rows of one source: the fourth feature varies, the third is undefined, the others are constant."""
+    data = [("s", *[float(v) if j == 3 else None if j == 2 else 1.0 for j in range(9)]) for v in values]
     return spark.createDataFrame(data, "source_id string, " + ", ".join(f"{n} double" for n in NAMES))
 
 
 def test_histograms_and_scores(spark):
     fit = FitSpec(bins=50, alpha=0.1)
-    h = {r["name"]: r for r in baseline.histograms(feature_rows(spark, range(1, 101)), fit).collect()}
-    first, undefined, constant = h[NAMES[0]], h[NAMES[2]], h[NAMES[5]]
-    assert len(first["bin_masses"]) == 50 and math.isclose(sum(first["bin_masses"]), 1) and math.isclose(first["out_of_range_mass"], 0.1 / 105)
-    assert (undefined["bin_masses"], undefined["out_of_range_mass"], undefined["bin_width"]) == ([], 1.0, 0.0) and math.isclose(undefined["p_undefined"], 100.1 / 100.2)
+    h = {r["name"]: r for r in baseline.histograms(feature_rows(spark, range(101)), fit).collect()}
+    first, undefined, constant = h[NAMES[3]], h[NAMES[2]], h[NAMES[5]]
+    assert len(first["bin_masses"]) == 50 and math.isclose(sum(first["bin_masses"]), 1) and math.isclose(first["out_of_range_mass"], 0.1 / 106)
+    assert (undefined["bin_masses"], undefined["out_of_range_mass"], undefined["bin_width"]) == ([], 1.0, 0.0) and math.isclose(undefined["p_undefined"], 101.1 / 101.2)
     assert constant["bin_masses"] == [1.0] and constant["bin_width"] == 0
-    models = baseline.histogram_arrays(baseline.histograms(feature_rows(spark, range(1, 101)), fit))
+    models = baseline.histogram_arrays(baseline.histograms(feature_rows(spark, range(101)), fit))
     assert models.select(F.forall("histograms", baseline.valid_histogram)).first()[0]
-    probe = feature_rows(spark, [100, 1, 1000]).join(models, "source_id").select(NAMES[0], baseline.raw_score(F.col("histograms")).alias("s")).collect()
+    probe = feature_rows(spark, [100, 1, 1000]).join(models, "source_id").select(NAMES[3], baseline.raw_score(F.col("histograms")).alias("s")).collect()
     by = {r[0]: r["s"] for r in probe}
-    p = 0.1 / 100.2
-    rest = -math.log(100.1 / 100.2) - 7 * math.log(1 - p)
+    p = 0.1 / 101.2
+    rest = -math.log(101.1 / 101.2) - 7 * math.log(1 - p)
     assert math.isclose(by[100.0], -math.log((1 - p) * first["bin_masses"][49]) + rest)
     assert math.isclose(by[1000.0], -math.log((1 - p) * first["out_of_range_mass"]) + rest)
     n = spark.range(1).select(*(baseline.normalised(F.lit(x), F.array(*map(F.lit, (1.0, 2.0, 2.0, 3.0)))) for x in (0.5, 2.0, 9.0))).first()
@@ -190,7 +190,7 @@ def test_runs_and_models(spark):
 
 
 def test_baseline_runs_and_refresh(spark):
-    features = feature_rows(spark, range(1, 101)).withColumn("visitor_id", F.lit("v"))
+    features = feature_rows(spark, range(101)).withColumn("visitor_id", F.lit("v"))
     counts = spark.sql("select 's' source_id, 100L event_count, 100L window_count, 5L distinct_visitors, true passes union all select 't', 9L, 1L, 1L, false")
     spec = WindowSpec()
     runs = baseline.fit_baselines(features, counts, spec, FitSpec(min_windows=1, min_visitors=1), F.lit("2024-01-01").cast("timestamp"), first_id=7)
