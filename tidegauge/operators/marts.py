@@ -133,3 +133,11 @@ EXPORT = (
 def export_mart(mart: DataFrame, path: str) -> None:
     """Writes the mart's public columns as Parquet, in the order of source and day across and inside the files."""
     mart.select(*EXPORT).repartitionByRange(*DAY).sortWithinPartitions(*DAY).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def materialise(views: dict[str, DataFrame], tables: dict[str, DataFrame]) -> None:
+    """Registers staging and intermediate tables as temporary views and saves marts as tables."""
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    for name, df in tables.items():
+        df.write.mode("overwrite").saveAsTable(name)

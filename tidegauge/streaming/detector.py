@@ -51,15 +51,17 @@ class VisitorWindows(StatefulProcessor):
 
     A micro-batch's events are taken in (partition, offset) order. One older than the newest is dropped, one whose id is in
     the window is a redelivery; any other joins the window and, if the cadence has passed since the last evaluation, is
-    evaluated, whether or not the window has enough events. State and output are committed together.
+    evaluated, whether or not the window has enough events. State and output are committed together. With idle_ms, a
+    visitor's state expires so long after its last write; live traffic in order gives the same results, for the cadence is
+    not longer than the window.
     """
 
-    def __init__(self, spec: WindowSpec):
-        self.spec = spec
+    def __init__(self, spec: WindowSpec, idle_ms: int | None = None):
+        self.spec, self.idle_ms = spec, idle_ms
 
     def init(self, handle) -> None:
-        self.ring = handle.getListState("ring", RING)
-        self.clocks = handle.getValueState("clocks", CLOCKS)
+        self.ring = handle.getListState("ring", RING, ttlDurationMs=self.idle_ms)
+        self.clocks = handle.getValueState("clocks", CLOCKS, ttlDurationMs=self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived = pd.concat(list(rows), ignore_index=True).sort_values(["partition", "offset"], kind="stable")
@@ -87,16 +89,17 @@ class VisitorWindows(StatefulProcessor):
         pass
 
 
-def evaluated_windows(events: DataFrame, spec: WindowSpec) -> DataFrame:
+def evaluated_windows(events: DataFrame, spec: WindowSpec, idle_ms: int | None = None) -> DataFrame:
     """The windows that the detector evaluates, from a stream of decoded events with their place in the topic.
 
-    The session must keep state in RocksDB.
+    The session must keep state in RocksDB. idle_ms sets the expiry of idle visitors in processing time; it goes with a
+    processing-time trigger, for such a query has timer batches without end and so no last one.
     """
     rows = events.select(
         "source_id", "visitor_id", "partition", "offset", "event_id", "event_time", F.unix_micros("event_time").alias("t"),
         "http_method", endpoint_path(F.col("uri")).alias("endpoint"), "status_code", "referrer_present", "resource_type",
     )
-    return rows.groupBy("source_id", "visitor_id").transformWithStateInPandas(VisitorWindows(spec), EVALUATED, "append", "none")
+    return rows.groupBy("source_id", "visitor_id").transformWithStateInPandas(VisitorWindows(spec, idle_ms), EVALUATED, "append", "none" if idle_ms is None else "processingTime")
 
 
 def decide_batches(read_models: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], policy: dict = POLICY_V1) -> Callable[[DataFrame, int], None]:
