@@ -333,7 +333,7 @@ def test_vectors(spark, monkeypatch):
     assert by_row(vectors.vector_components(df), *columns) == want
     assert sum(r[1] > 0 for r in want) > 100
     monkeypatch.setattr(vectors, "CHUNK_ROWS", 20)  # cells cut into grids of chunks
-    monkeypatch.setattr(vectors.choose_pivots, "__defaults__", (25, 512))
+    monkeypatch.setattr(vectors, "CELL_ROWS", 15)  # and several pivots
     assert by_row(vectors.vector_components(df), *columns) == want
     assert vectors.vector_components(df.limit(0)).count() == 0
 

@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import cut
+from tidegauge.llm.common import broadcast_if_small, cut
 from tidegauge.llm.components import connected_components
 from tidegauge.llm.simhash import CHUNK_ROWS, forest, groups
 
 LEAST_COSINE = 0.98
-#: Vectors of a cell that one more pivot is worth, and the most pivots; they go to the tasks with the code.
+#: Vectors of a label that one more pivot is worth, and the most pivots; they go to the tasks with the code.
 CELL_ROWS = 3000
 MOST_PIVOTS = 512
 #: Added to distances that prune, for rounding; pairs are decided by their cosine alone.
@@ -41,9 +41,8 @@ def _valid(column: str):
     return v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def choose_pivots(classes: DataFrame, n: int, cell_rows: int = CELL_ROWS, most: int = MOST_PIVOTS) -> dict[int, np.ndarray]:
-    """For each vector length a few of the vectors, the first in the order of a hash. At most `most` rows are collected."""
-    count = max(1, min(most, math.ceil(n / cell_rows)))
+def choose_pivots(classes: DataFrame, count: int) -> dict[int, np.ndarray]:
+    """For each vector length a few of the vectors, the first in the order of a hash. count rows are collected."""
     rows = classes.orderBy(F.xxhash64("vector", "label"), "class").limit(count).select("vector").collect()
     out: dict[int, list] = {}
     for r in rows:
@@ -57,7 +56,8 @@ def assign_cells(classes: DataFrame, pivots: dict[int, np.ndarray], radius: floa
     of the nearest pivot, and for each other cell that may hold a vector within radius.
 
     If q lies in cell j and d(v, q) <= radius, then d(v, p_j) <= d(q, p_j) + radius <= d(q, p_i) + radius <= d(v, p_i) +
-    2 radius for every pivot i. Vectors of a length that no pivot has form one cell.
+    2 radius for every pivot i. A label uses the first k pivots, by its own number of vectors, so a small label isn't
+    split for a large one. Vectors of a length that no pivot has form one cell.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,15 +68,16 @@ def assign_cells(classes: DataFrame, pivots: dict[int, np.ndarray], radius: floa
                 x = unit_rows(batch)
                 p = pivots.get(int(dim), np.zeros((1, int(dim))))
                 d = np.sqrt(np.maximum(0, (x * x).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2 * x @ p.T))
+                d[np.arange(p.shape[0])[None, :] >= np.maximum(1, batch.column("k").to_numpy())[:, None]] = np.inf
                 home = d.argmin(axis=1)
                 i, j = np.nonzero(d <= d.min(axis=1, keepdims=True) + 2 * radius + SLACK)
                 taken = batch.take(pa.array(i))
                 columns = [*(taken.column(c) for c in ("class", "label", "dim", "copies", "vector")), pa.array(home[i] == j), pa.array(j.astype(np.int32)), pa.array(d[i, j])]
                 yield pa.RecordBatch.from_arrays(columns, names=["class", "label", "dim", "copies", "vector", "home", "cell", "d"])
 
-    own = classes.select("class", "label", "dim", "copies", "vector")
+    own = classes.select("class", "label", "dim", "copies", "vector", "k")
     more = [T.StructField("home", T.BooleanType()), T.StructField("cell", T.IntegerType()), T.StructField("d", T.DoubleType())]
-    return own.mapInArrow(run, T.StructType([*own.schema.fields, *more]))
+    return own.mapInArrow(run, T.StructType([*own.schema.fields[:-1], *more]))
 
 
 def vector_links(classes: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
@@ -88,7 +89,10 @@ def vector_links(classes: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """
     radius = math.sqrt(max(0.0, 2 - 2 * least))
     rows = classes.withColumn("dim", F.size("vector"))
-    pivots = choose_pivots(rows, rows.count())
+    k = F.greatest(F.lit(1), F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("n") / CELL_ROWS))).cast("int")
+    labels = cut(rows.groupBy("label", "dim").agg(F.count("*").alias("n")).select("label", "dim", k.alias("k")))
+    pivots = choose_pivots(rows, labels.agg(F.coalesce(F.max("k"), F.lit(1))).first()[0])
+    rows = rows.join(broadcast_if_small(labels), ["label", "dim"])
     cells = cut(assign_cells(rows, pivots, radius).withColumn("key", F.xxhash64("label", "dim", "cell")))
     sizes = cells.groupBy("key").agg(F.count("*").alias("n"))
     hot = cut(sizes.where(F.col("n") > CHUNK_ROWS).select("key", F.ceil(F.col("n") / CHUNK_ROWS).cast("long").alias("parts")))
