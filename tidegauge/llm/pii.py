@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,7 +17,9 @@ from tidegauge.llm.common import slices, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
-#: Most tokens that the field is fitted on, taken in the order of a seeded hash.
+#: The field is fitted on some FIT_DOCS documents, chosen by a seeded hash, and on at most FIT_TOKENS of their tokens, the
+#: first in the order of a seeded hash. What reaches the driver doesn't grow with the corpus.
+FIT_DOCS = 50_000
 FIT_TOKENS = 20_000
 SEED = 17
 #: A token is added to the spans if its label has at least this marginal.
@@ -223,11 +226,14 @@ def marginals(g: Graph, field: Field, sweeps: int = SWEEPS) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True) if n else p
 
 
-def fit_on(docs: DataFrame, most: int = FIT_TOKENS, seed: int = SEED) -> Field:
-    """The field, fitted on at most that many candidate tokens of docs, labelled by the base patterns.
+def fit_on(docs: DataFrame, sample_docs: int = FIT_DOCS, most: int = FIT_TOKENS, seed: int = SEED) -> Field:
+    """The field, fitted on at most `most` candidate tokens of some sample_docs documents, labelled by the base patterns.
 
-    The sample is the first tokens in the order of a seeded hash of the token's place, so it doesn't depend on partitions.
+    Both samples follow seeded hashes of doc_id and of the token's place, so they don't depend on partitions.
     """
+    grain = 1_000_000_000
+    share = min(grain, math.ceil(grain * sample_docs / max(1, docs.count())))
+    chosen = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(grain)) < share
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -243,7 +249,7 @@ def fit_on(docs: DataFrame, most: int = FIT_TOKENS, seed: int = SEED) -> Field:
             columns += [pa.array(c, pa.int32()) for c in (g.label, before, similar)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "features", "label", "before", "similar"])
 
-    rows = docs.where(F.col("text").rlike("[0-9@]")).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
+    rows = docs.where(chosen & F.col("text").rlike("[0-9@]")).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
     found = rows.mapInArrow(tokens, "doc_id long, start long, features array<int>, label int, before int, similar int")
     sample = found.orderBy(F.xxhash64(F.lit(seed), "doc_id", "start"), "doc_id", "start", F.col("features").cast("string")).limit(most).collect()
     return fit_field([r["features"] for r in sample], *([r[c] for r in sample] for c in ("label", "before", "similar")))
