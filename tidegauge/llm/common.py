@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,33 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a table that may be broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 50_000
+from tidegauge.operators.materialize import broadcast_if_small, checkpoint_dir, cut  # noqa: F401  (used by the operators)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a local one only where none is named (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidegauge-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises df once in the shared checkpoint folder, so that later reads survive lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a checkpointed narrow table for broadcast if its counted rows allow it; else it stays as it is."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
-
-
 def utf8(column: str = "text") -> Column:
     """A text column as bytes, null as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
