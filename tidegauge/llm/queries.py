@@ -33,7 +33,7 @@ def op1_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_line_dedup(read_table(spark, sf_dir, "documents")).drop("row_key")
+    return fuzzy_line_dedup(read_table(spark, sf_dir, "documents"), whole=True).drop("row_key")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
