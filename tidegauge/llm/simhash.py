@@ -164,11 +164,14 @@ def group_ends(keys: np.ndarray) -> np.ndarray:
     return np.repeat(ends, np.diff(ends, prepend=0))
 
 
-def choose_scheme(fps: DataFrame) -> tuple[tuple[int, int], DataFrame]:
+def choose_scheme(fps: DataFrame, radius: int = RADIUS) -> tuple[tuple[int, int], DataFrame]:
     """The coarsest scheme whose buckets hold no more than PAIRS_PER_ROW pairs a fingerprint, and its bucket sizes.
 
-    Any scheme finds all pairs; finer ones make more rows and fewer pairs. The last is taken if none is below.
+    Any scheme finds all pairs within RADIUS bits; finer ones make more rows and fewer pairs. The last is taken if none is
+    below. Raises for a radius that some scheme doesn't cover.
     """
+    if any(blocks - radius < chosen for blocks, chosen in SCHEMES):
+        raise ValueError(f"the bucket schemes {SCHEMES} don't find all pairs within {radius} bits")
     for scheme in SCHEMES:
         counts = cut(keyed(fps, scheme).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
         if scheme == SCHEMES[-1]:
@@ -185,7 +188,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     fps: distinct fp. In each bucket the pivot distance table discards pairs, the rest is compared, and of the pairs found
     only a spanning forest leaves the task, so a group of g near copies makes g - 1 rows, not g * g / 2.
     """
-    scheme, counts = choose_scheme(fps)
+    scheme, counts = choose_scheme(fps, radius)
     pivots = pivot_table()
     d0 = F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(pivots[:1].view(np.int64)[0])).cast("long"))).cast("byte")
 
