@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -296,6 +297,22 @@ def test_entropy(spark):
         assert abs(best - r["e"]) < 1e-9, r
 
 
+def test_entropy_of_long_runs_is_found_in_seconds(spark):
+    random.seed(3)
+    blob = "".join(random.choice(secrets.TOKEN_CHARS) for _ in range(1_000_000))
+    many = " ".join(f"k{i}=" + "".join(random.choice(secrets.TOKEN_CHARS[:62]) for _ in range(24)) + "7b" for i in range(700))
+    letters = "".join(random.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(40))
+    rows = [(1, f"x {blob} y"), (2, many), (3, letters), (4, "a/b_" * 200_000), (5, "thisIsAnIdentifierOfSomeWords and/a/path/of/plain/words/only")]
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1]["spans"] == "entropy_token:2:1000002" and got[3]["spans"] == "entropy_token:0:40"
+    assert got[4]["spans"] == got[5]["spans"] == ""
+    starts = [m.start() for m in re.finditer(r"(?<==)", many)]
+    found, every = got[2]["spans"].split(","), [f"entropy_token:{a}:{a + 26}" for a in starts]
+    assert set(found) <= set(every) and len(found) >= 690  # a short random run may have too few kinds of characters
+
+
 # 4: vectors
 
 
@@ -467,34 +484,98 @@ def test_sharding(odd, small, texts):
 # 8: line hashing
 
 
-def test_unit_dedup(odd, small, texts):
-    for name, docs in both(odd, small):
-        seen, want = set(), []
-        for d, t in sorted(set(texts[name]), key=lambda r: (r[0] is None, r[0] or 0)):
-            at, units, cuts = 0, 0, []
-            for line in (t or "").split("\n"):
-                if len(WORD.findall(line)) >= 10:
-                    units += 1
-                    k = " ".join(re.findall(r"[^\W_]+", line.lower()))
-                    if k in seen:
-                        cuts.append((at, at + len(line)))
-                    seen.add(k)
-                at += len(line) + 1
-            want.append((d, units, len(cuts), sum(b - a for a, b in cuts), ",".join(f"{a}:{b}" for a, b in cuts)))
-        got = by_row(unit_dedup.unit_dedup(docs), "doc_id", "n_units", "n_removed", "removed_chars", "spans")
-        assert [g for g in got if g[0] is not None] == [w for w in sorted(want, key=str) if w[0] is not None]
-        out = {r["doc_id"]: r for r in unit_dedup.dedup_documents(docs).collect()}
-        for d, _, n, _, spans in want:
-            text = dict(texts[name])[d]
-            if n and d is not None:
-                cuts = [tuple(map(int, s.split(":"))) for s in spans.split(",")]
-                lines = text.split("\n")
-                starts = np.cumsum([0, *(len(x) + 1 for x in lines)])
-                kept = "\n".join(x for x, s in zip(lines, starts) if s not in {a for a, _ in cuts})
-                assert out[d]["text"] == kept and out[d]["removed"] == spans
-            elif d is not None:
-                assert out[d]["text"] == text
+def units_by_force(text):
+    """(start, end, words) of the units of five words or more, found by walking over the characters."""
+    found, at, i = [], 0, 0
+    edges = []
+    while i < len(text):
+        if text[i] == "\n":
+            edges.append((at, i))
+            at = i = i + 1
+            continue
+        j = i
+        while j < len(text) and text[j] in ".!?":
+            j += 1
+        k = j
+        while k < len(text) and text[k] in " \t":
+            k += 1
+        if j > i and k > j:
+            edges.append((at, k))
+            at = i = k
+        elif text[i] in "。！？":
+            while i < len(text) and text[i] in "。！？":
+                i += 1
+            while i < len(text) and text[i] in " \t":
+                i += 1
+            edges.append((at, i))
+            at = i
+        else:
+            i = max(j, i + 1)
+    for a, b in [*edges, (at, len(text))]:
+        spaced = "".join(f" {c} " if "\u3400" <= c <= "\u9fff" or "\u3041" <= c <= "\u30fa" else c if c.isalnum() else " " for c in text[a:b].lower())
+        if len(words := spaced.split()) >= 5:
+            found.append((a, b, words))
+    return found
+
+
+def dedup_by_force(rows):
+    rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    held, places = {}, defaultdict(list)
+    for i, (_, t) in enumerate(rows):
+        held[i] = units_by_force(t or "")
+        for k, (_, _, words) in enumerate(held[i]):
+            places[tuple(words)].append((i, k))
+    want = []
+    for i, (d, _) in enumerate(rows):
+        cuts, passage, repeated, run = [], 0, 0, []
+        for k, (a, b, words) in enumerate([*held[i], (0, 0, [])]):
+            at = places[tuple(words)] if words else []
+            if len(at) > 1:
+                run.append((a, b, len(words), at[0] != (i, k), at[0][0] != at[-1][0]))
+                continue
+            shared = sum(n for _, _, n, _, across in run if across)
+            passage, repeated = max(passage, shared), repeated + shared
+            if sum(x[2] for x in run) >= 10:
+                cuts += [(x[0], x[1]) for x in run if x[3]]
+            run = []
+        want.append((d, len(held[i]), len(cuts), sum(b - a for a, b in cuts), ",".join(f"{a}:{b}" for a, b in cuts), repeated, passage, passage >= 25))
+    return sorted(want, key=str)
+
+
+def test_unit_dedup(spark, odd, small, texts):
+    p = "Once the tide had turned they rowed out again. The oars were wet! Every lamp on the far quay went dark. Nobody on the pier could say why. 海港的灯塔守护着。夜里归来的渔船！"
+    hard = [
+        (1, f"A keeper wrote in the ledger and {p} Then nothing."),
+        (2, f"- + = * / < > | ~ ^\n# # # # # # # # # #\nNobody saw it {p}\nNobody saw it at all that night"),
+        (3, "* * * * * * * * * *\n= = = = = = = = = =\nthe oars were wet\nevery\tlamp  on the far quay went dark"),
+        (4, "They sang one song and then one more. They sang one song and then one more. 海港的灯塔守护着。"),
+        (4, "海港的灯塔守护着。夜里归来的渔船！海港的灯塔守护着"),
+        (7, "e.g. a...b?! Once the tide had turned they rowed out again."),
+    ]
+    docs = spark.createDataFrame(hard, "doc_id long, text string")
+    for name, df, rows in (("odd", odd, texts["odd"]), ("small", small, texts["small"]), ("hard", docs, hard)):
+        want = dedup_by_force(rows)
+        got = by_row(unit_dedup.unit_dedup(df), "doc_id", "n_units", "n_removed", "removed_chars", "spans", "repeated_words", "passage_words", "has_passage")
+        assert [g for g in got if g[0] is not None] == [w for w in want if w[0] is not None], name
+        if name == "hard":
+            assert sum(r[-1] for r in got) == 2  # the passage is seen in both, the earliest included
+        out = {(r["doc_id"], r["removed_spans"] or "") : r["text"] for r in unit_dedup.dedup_documents(df).collect()}
+        for d, t in rows:
+            for spans in {w[4] for w in want if w[0] == d and d is not None and (d, w[4]) in out}:
+                gone = {i for x in spans.split(",") if x for i in range(*map(int, x.split(":")))}
+                if gone and t and any(max(gone) < len(t) for _ in [0]) and sum(x[0] == d for x in set(rows)) == 1:
+                    at, kept = 0, []
+                    for line in t.split("\n"):
+                        rest = "".join(c for i, c in enumerate(line, at) if i not in gone)
+                        if rest.strip() or not gone & set(range(at, at + len(line))):
+                            kept.append(rest)
+                        at += len(line) + 1
+                    assert out[(d, spans)] == "\n".join(kept), (name, d)
+                elif not gone:
+                    assert t is None or t == "" or out[(d, "")] is not None
     assert unit_dedup.unit_dedup(small.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="removed_spans"):
+        unit_dedup.dedup_documents(docs.withColumn("removed_spans", F.lit(1)))
 
 
 # 9: personal data
@@ -618,7 +699,13 @@ def test_simhash(spark, odd, small, texts, monkeypatch):
     kept = sorted(r["doc_id"] for r in simhash.drop_near_copies(docs).collect())
     assert kept == sorted({r[2] for r in want})
     assert simhash.drop_near_copies(odd).columns[0] == "doc_id" and set(simhash.drop_near_copies(odd).columns) == set(odd.columns)
-    assert simhash.simhash_components(small.limit(0)).count() == 0
+    assert simhash.simhash_components(small.limit(0)).count() == 0 and simhash.drop_near_copies(small.limit(0)).count() == 0
+
+
+def test_another_text_of_a_dropped_doc_id_stays(spark):
+    a, b = "one long sentence about the harbour and its lamps", "quite other words about ships that never came home again"
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (None, a)], "doc_id long, text string")
+    assert sorted(((r["doc_id"], r["text"]) for r in simhash.drop_near_copies(docs).collect()), key=str) == sorted([(1, a), (5, b), (None, a)], key=str)
 
 
 def test_pairs_within_the_radius_are_found_by_every_scheme():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidegauge.llm.mixing import Mix
 from tidegauge.llm.repetition import MAX_COVERED, MAX_LONGEST, MIN_REPEAT_WORDS
-from tidegauge.llm.unit_dedup import MIN_WORDS
+from tidegauge.llm.unit_dedup import MIN_RUN, MIN_WORDS, PASSAGE_WORDS, UNSPACED
 from tidegauge.llm.vectors import LEAST_COSINE
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,19 +80,30 @@ ranked AS (SELECT *, sum(tokens) OVER (PARTITION BY {_LEAF} ORDER BY place) <= r
 SELECT doc_id, {_LEAF}, tokens, CAST(unnest(range(epochs + CASE WHEN taken THEN 1 ELSE 0 END)) AS BIGINT) AS epoch FROM ranked"""
 
 OP8 = f"""
-WITH lines AS MATERIALIZED (
+WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
+parts AS (SELECT doc_id, k, string_split(regexp_replace(line, '([.!?]+[ \\t]+|[。！？]+[ \\t]*)', '\\1' || chr(10), 'g'), chr(10)) AS p FROM lines),
+tiles AS (SELECT doc_id, k, unnest(p) AS tile, generate_subscripts(p, 1) AS j FROM parts),
 placed AS MATERIALIZED (
-  SELECT doc_id, line, k, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lo,
-    len(regexp_extract_all(line, '{WORD}')) AS words FROM lines),
-units AS MATERIALIZED (SELECT *, trim(regexp_replace(lower(line), '[^\\pL\\pN]+', ' ', 'g')) AS plain FROM placed WHERE words >= {MIN_WORDS}),
-ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY plain ORDER BY doc_id, k) AS r, first_value(doc_id) OVER (PARTITION BY plain ORDER BY doc_id, k) AS source FROM units),
+  SELECT *, coalesce(sum(length(tile)) OVER (PARTITION BY doc_id ORDER BY k, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + k - 1 AS lo,
+    trim(regexp_replace(regexp_replace(lower(tile), '([{UNSPACED}])', ' \\1 ', 'g'), '[^\\pL\\pN]+', ' ', 'g')) AS plain FROM tiles),
+units AS MATERIALIZED (
+  SELECT doc_id, lo, lo + length(tile) AS hi, plain, len(string_split(plain, ' ')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS u
+  FROM placed WHERE plain <> '' AND len(string_split(plain, ' ')) >= {MIN_WORDS}),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY plain ORDER BY doc_id, u) > 1 AS later, count(*) OVER (PARTITION BY plain) AS copies,
+    min(doc_id) OVER (PARTITION BY plain) AS source, max(doc_id) OVER (PARTITION BY plain) AS latest FROM units),
+repeated AS (SELECT *, CASE WHEN source <> latest THEN words ELSE 0 END AS shared, u - row_number() OVER (PARTITION BY doc_id ORDER BY u) AS run FROM ranked WHERE copies > 1),
+runs AS MATERIALIZED (SELECT *, sum(shared) OVER (PARTITION BY doc_id, run) AS run_shared, later AND sum(words) OVER (PARTITION BY doc_id, run) >= {MIN_RUN} AS gone FROM repeated),
 lost AS (
-  SELECT doc_id, count(*) AS n, sum(words)::BIGINT AS words, sum(length(line))::BIGINT AS chars, string_agg(lo || ':' || (lo + length(line)), ',' ORDER BY lo) AS spans,
-    list_sort(list_distinct(list(source))) AS sources FROM ranked WHERE r > 1 GROUP BY doc_id)
+  SELECT doc_id, count(*) AS n, sum(words)::BIGINT AS words, sum(hi - lo)::BIGINT AS chars, string_agg(lo || ':' || hi, ',' ORDER BY lo) AS spans,
+    list_sort(list_distinct(list(source))) AS sources FROM runs WHERE gone GROUP BY doc_id),
+passages AS (SELECT doc_id, sum(shared)::BIGINT AS repeated_words, max(run_shared)::BIGINT AS passage_words FROM runs GROUP BY doc_id)
 SELECT d.doc_id, coalesce(u.n, 0) AS n_units, coalesce(l.n, 0) AS n_removed, coalesce(l.words, 0) AS removed_words, coalesce(l.chars, 0) AS removed_chars,
-  coalesce(l.spans, '') AS spans, coalesce(l.sources, CAST([] AS BIGINT[])) AS sources
-FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM units GROUP BY doc_id) u ON u.doc_id = d.doc_id LEFT JOIN lost l ON l.doc_id = d.doc_id"""
+  coalesce(l.spans, '') AS spans, coalesce(l.sources, CAST([] AS BIGINT[])) AS sources,
+  coalesce(p.repeated_words, 0) AS repeated_words, coalesce(p.passage_words, 0) AS passage_words, coalesce(p.passage_words, 0) >= {PASSAGE_WORDS} AS has_passage
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM units GROUP BY doc_id) u ON u.doc_id = d.doc_id LEFT JOIN lost l ON l.doc_id = d.doc_id
+LEFT JOIN passages p ON p.doc_id = d.doc_id"""
 
 ORACLES: dict[str, str] = {
     "op1_repetition_quality": OP1,

@@ -22,74 +22,101 @@ TOKEN_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_
 HEX_BITS = 3.0
 TOKEN_BITS = 3.7
 
-#: A candidate that has one of these is no secret: placeholders, hashes that say so, paths and identifiers.
+#: A candidate that has one of these is no secret: placeholders near its start (elsewhere a long random run has them by chance),
+#: hashes that say so, numbers.
 ALLOWED = (
-    r"(?i)(?:example|placeholder|changeme|dummy|redacted|xxxx|lorem)"
+    r"(?i)^.{0,40}(?:example|placeholder|changeme|dummy|redacted|xxxx|lorem)"
     r"|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
     r"|(?i)^(?:sha(?:1|224|256|384|512)|md5)[-_]"
-    r"|^[A-Za-z]+(?:[-_/][A-Za-z]+)*$"
     r"|^[0-9_/+-]+$"
 )
+#: Paths and identifiers: letters and signs whose case turns upwards no more than once in so many characters.
+NAMES = r"^[A-Za-z_/-]+$"
+NAME_CHARS = 4
+
+#: Windows that begin in one piece of a candidate, and matches whose offsets are summed together. Neither changes a result:
+#: they keep a step's cost the same however long a candidate or a text is.
+PIECE = 256
 
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping matches; offsets are code points.
 
-    split() gives what lies between the matches that regexp_extract_all() gives, so their lengths give the offsets.
+    split() gives what lies between the matches that regexp_extract_all() gives, so their lengths give the offsets. They are
+    summed within blocks of matches, and the totals of the blocks over the text.
     """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), values.alias("value"))
+    nothing = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
     def add(acc: Column, pair: Column) -> Column:
         at = acc["at"] + F.length(pair["gap"])
         end = at + F.length(pair["value"])
         return F.struct(end.alias("at"), F.array_append(acc["found"], F.struct(at.alias("start"), end.alias("end"), pair["value"].alias("value"))).alias("found"))
 
-    return F.aggregate(F.arrays_zip(between.alias("gap"), values.alias("value")), start, lambda a, p: F.when(p["value"].isNull(), a).otherwise(add(a, p)), lambda a: a["found"])
+    def block(some: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), nothing.alias("found"))
+        return F.aggregate(some, start, lambda a, p: F.when(p["value"].isNull(), a).otherwise(add(a, p)))
+
+    def shift(acc: Column, some: Column) -> Column:
+        moved = F.transform(some["found"], lambda m: F.struct((m["start"] + acc["at"]).alias("start"), (m["end"] + acc["at"]).alias("end"), m["value"].alias("value")))
+        return F.struct((acc["at"] + some["at"]).alias("at"), F.array_append(acc["parts"], moved).alias("parts"))
+
+    # transform over a one-element array binds the pairs once.
+    bound = F.transform(F.array(pairs), lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / PIECE).cast("int")), lambda b: block(F.slice(all_, b * PIECE + 1, PIECE))))
+    whole = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,value:string>>>").alias("parts"))
+    return F.aggregate(F.get(bound, F.lit(0)), whole, shift, lambda a: F.flatten(a["parts"]))
 
 
-def _place(value: Column, i: Column, alphabet: str) -> Column:
-    """0-based place in the alphabet of the i-th character of value; the last place for any other."""
-    at = F.call_function("locate", F.substr(value, i, F.lit(1)), F.lit(alphabet))
-    return F.when(at == 0, F.lit(len(alphabet))).otherwise(at - 1)
+def _times(c: Column, window: Column) -> Column:
+    """How often a character is in a window."""
+    return F.length(window) - F.length(F.replace(window, c, F.lit("")))
 
 
 def window_entropy(value: Column, alphabet: str, window: int = WINDOW) -> Column:
     """The highest Shannon entropy, in bits, of the windows of value; characters outside the alphabet count as one class.
 
-    The counts of the window are kept: a step adds the character that enters and takes the one that leaves, and adjusts the
-    sum of n * log2(n) by these two counts alone. Values shorter than a window are one window.
+    The sum of n * log2(n) over the counts n of the window is kept: a step adds the character that enters and takes the one
+    that leaves, and adjusts the sum by the counts of these two alone. Values shorter than a window are one window. Long
+    values are cut into pieces that overlap by a window, so a step reads a short string.
     """
-    zero = F.array_repeat(F.lit(0), len(alphabet) + 1)
     logs = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 2)])
-    width = F.least(F.length(value), F.lit(window))
-    start = F.struct(zero.alias("counts"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"))
+    others = "[^" + "".join(c if c.isalnum() else "\\" + c for c in alphabet) + "]"
+    plain = F.regexp_replace(value, others, " ")
+    pieces = F.regexp_extract_all(plain, F.lit(f"(?s)(?=(.{{1,{PIECE + window - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+
+    def change(times: Column, by: int) -> Column:
+        return F.get(logs, times + by) - F.get(logs, times)
+
+    def least(piece: Column, width: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            seen = F.struct(
+                F.substr(piece, i, F.lit(1)).alias("enters"),
+                F.substr(piece, F.greatest(i - width, F.lit(1)), F.least(width, i - 1)).alias("before"),
+                F.when(i > width, F.substr(piece, i - width, F.lit(1))).alias("leaves"),
+            )
 
-    def bump(counts: Column, at: Column, by: int) -> Column:
-        return F.transform(counts, lambda n, i: n + F.when(i == at, by).otherwise(0))
+            def move(s: Column) -> Column:
+                total = acc["sum"] + change(_times(s["enters"], s["before"]), 1)
+                left = _times(s["leaves"], s["before"]) + (s["leaves"] == s["enters"]).cast("int")
+                return F.when(s["leaves"].isNull(), total).otherwise(total + change(left, -1))
 
-    def step(acc: Column, i: Column) -> Column:
-        enters = _place(value, i, alphabet)
-        had = F.get(acc["counts"], enters)
-        counts, total = bump(acc["counts"], enters, 1), acc["sum"] + F.get(logs, had + 1) - F.get(logs, had)
-        grown = F.struct(counts.alias("counts"), total.alias("sum"), acc["least"].alias("least"))
+            moved = F.transform(F.transform(F.array(seen), move), lambda t: F.struct(t.alias("sum"), F.when(i >= width, F.least(acc["least"], t)).otherwise(acc["least"]).alias("least")))
+            return F.get(moved, F.lit(0))
 
-        def shrink(g: Column) -> Column:
-            leaves = _place(value, i - width, alphabet)
-            has = F.get(g["counts"], leaves)
-            return F.struct(bump(g["counts"], leaves, -1).alias("counts"), (g["sum"] + F.get(logs, has - 1) - F.get(logs, has)).alias("sum"), g["least"].alias("least"))
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"))
+        return F.aggregate(F.sequence(F.lit(1), F.length(piece)), start, step, lambda a: a["least"])
 
-        def judge(g: Column) -> Column:
-            return F.struct(g["counts"].alias("counts"), g["sum"].alias("sum"), F.when(i >= width, F.least(g["least"], g["sum"])).otherwise(g["least"]).alias("least"))
+    # transform over a one-element array binds the width once: a long value isn't measured anew at every step.
+    widths = F.array(F.least(F.length(value), F.lit(window)))
+    best = F.transform(widths, lambda w: F.log2(w.cast("double")) - F.array_min(F.transform(pieces, lambda p: least(p, w))) / w)
+    return F.when(F.length(value) > 0, F.get(best, F.lit(0))).otherwise(0.0)
 
-        # transform over a one-element array binds the grown state once.
-        moved = F.transform(F.array(grown), lambda g: F.when(i > width, shrink(g)).otherwise(g))
-        return F.get(F.transform(moved, judge), F.lit(0))
 
-    steps = F.sequence(F.lit(1), F.length(value))
-    best = F.aggregate(steps, start, step, lambda a: F.log2(width.cast("double")) - a["least"] / width)
-    return F.when(F.length(value) > 0, best).otherwise(0.0)
+def reads_as_name(value: Column) -> Column:
+    """Whether value is a path or an identifier by its characters and the turns of its case."""
+    turns = F.length(value) - F.length(F.regexp_replace(value, "(?<=[a-z])[A-Z]", ""))
+    return value.rlike(NAMES) & (turns * NAME_CHARS <= F.length(value))
 
 
 def _spans(found: Column, kind: str, order: int) -> Column:
@@ -104,8 +131,8 @@ def scan_secrets(docs: DataFrame, window: int = WINDOW, hex_bits: float = HEX_BI
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy_hex and n_entropy_token of every row.
 
     Base spans come from the patterns. An entropy span is a run of window characters or more of one class (hex digits or
-    token characters) of which some window has at least that many bits, which the allow list doesn't suppress, and which no
-    base span and no earlier entropy kind overlaps. spans has all, by start, then kind.
+    token characters) of which some window has at least that many bits, which is neither in the allow list nor a path or an
+    identifier, and which no base span and no earlier entropy kind overlaps. spans has all, by start, then kind.
 
     Null and empty texts have no spans (base_sha256 of the empty string). Repeated rows are scanned each; a null doc_id stays
     null; other columns are ignored; an empty table gives an empty result. Rows are independent: there is no shuffle, and a
@@ -131,7 +158,7 @@ def scan_secrets(docs: DataFrame, window: int = WINDOW, hex_bits: float = HEX_BI
 
     def strange(runs: str, taken: Column, alphabet: str, bits: float) -> Column:
         apart = F.filter(runs, lambda m: ~F.exists(taken, lambda t: (t["start"] < m["end"]) & (m["start"] < t["end"])))
-        named = F.filter(apart, lambda m: ~m["value"].rlike(allowed))
+        named = F.filter(apart, lambda m: ~m["value"].rlike(allowed) & ~reads_as_name(m["value"]))
         return F.filter(named, lambda m: window_entropy(m["value"], alphabet, window) >= bits)
 
     rows = rows.withColumn("base", base)

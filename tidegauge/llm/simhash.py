@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.common import cut, numpy_components, slices, utf8
 from tidegauge.llm.components import connected_components
+from tidegauge.llm.unit_dedup import row_key
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -51,14 +52,15 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long of every row; null and empty texts have 0."""
+    """(doc_id, row_key, fp): the fingerprint as a signed long of every row; null and empty texts have 0. row_key is a hash of
+    doc_id and text that tells apart rows of one doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             fp = np.fromiter((simhash(t, words, seed) for t in part.column("text").to_pylist()), np.uint64, part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(fp.view(np.int64))], names=["doc_id", "row_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), utf8().alias("text")).mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
 def pivot_table(n: int = PIVOTS, seed: int = SEED) -> np.ndarray:
@@ -204,6 +206,17 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.repartition("g").sortWithinPartitions("g", "d0").select("g", "fp").mapInArrow(run, "a long, b long")
 
 
+def _components(docs: DataFrame, radius: int) -> DataFrame:
+    """doc_id, row_key, fp and component_id of every row."""
+    fps = cut(fingerprints(docs))
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    parts = connected_components(fingerprint_links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    rooted = classes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    lowest = rooted.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = rooted.join(lowest, "component").select("fp", "component_id")
+    return fps.join(named, "fp").select("doc_id", "row_key", "fp", "component_id")
+
+
 def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row.
 
@@ -212,19 +225,16 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     fingerprint zero and link like any other. Repeated rows are returned each. A null doc_id isn't a smallest one; a group
     with no other gives null. Other columns are ignored; an empty table gives an empty result.
     """
-    fps = cut(fingerprints(docs))
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    parts = connected_components(fingerprint_links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    rooted = classes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    lowest = rooted.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "component").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _components(docs, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents of which each group of near copies keeps the one with the smallest doc_id.
+    """The documents of which each group of near copies keeps the one with the smallest doc_id; all columns stay.
 
-    Rows that repeat the kept doc_id stay; rows with a null doc_id stay, for they can't be told apart.
+    A row goes by its doc_id and text, so another text of the same doc_id is judged apart. Rows that repeat the kept doc_id
+    within its group stay; rows with a null doc_id stay, for they can't be told apart. Null and empty texts are one group.
+    An empty table gives an empty result.
     """
-    gone = cut(simhash_components(docs, radius).where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = _components(docs, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_row")).distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").cast("long").alias("_own"), row_key().alias("_key"))
+    return whole.join(gone, (F.col("_own") == F.col("_id")) & (F.col("_key") == F.col("_row")), "left_anti").select(*(F.col(f"_doc.`{c}`").alias(c) for c in docs.columns))

@@ -1,4 +1,4 @@
-"""Substring dedup by hashes of lines (operator 8)."""
+"""Substring dedup by hashes of lines and their sentences (operator 8)."""
 
 from __future__ import annotations
 
@@ -6,45 +6,67 @@ import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import cut, slices, utf8
 
-#: A shorter line is too common in any prose to be a copied passage.
-MIN_WORDS = 10
-LINES = "\n"
-PARAGRAPHS = "\n\n"
+#: Words of the shortest unit. Shorter ones repeat by chance; they neither end nor lengthen a run.
+MIN_WORDS = 5
+#: Words of a run of adjacent repeated units from which its later copies are removed.
+MIN_RUN = 10
+#: Words of a run of adjacent units, each in another document too, from which it is reported as a passage.
+PASSAGE_WORDS = 25
+#: Ends of units: lines and sentences, or lines alone, or paragraphs. A unit keeps its full stops and the blanks after them.
+SENTENCES = r"\n|[.!?]+[ \t]+|[。！？]+[ \t]*"
+LINES = r"\n"
+PARAGRAPHS = r"\n\n"
+#: Characters of scripts without blanks, each of which is a word: kana and Han.
+UNSPACED = "ぁ-ゖァ-ヺ㐀-䶿一-鿿"
 
-UNITS = "doc_id long, row_key long, n_units int, unit int, start long, end long, n_words int, digest binary"
+UNITS = "doc_id long, row_key long, unit int, start int, end int, n_words int, digest binary"
 
-_LETTERS = re.compile(r"[^\W_]+")
+_WORDS = re.compile(rf"[{UNSPACED}]|[^\W_{UNSPACED}]+")
 
 
-def normalise(unit: str) -> str:
-    """Lower case, runs of anything but letters and digits as one space, none at the ends."""
-    return " ".join(_LETTERS.findall(unit.lower()))
+def normalise(unit: str) -> list[str]:
+    """The words of a unit in lower case: runs of letters and digits, and each character of a script without blanks."""
+    return _WORDS.findall(unit.lower())
 
 
-def units(docs: DataFrame, separator: str = LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, row_key, n_units of the row, unit number, start and end (code points of the original text), words and digest of each unit of
-    min_words words or more. row_key is a hash of the row's doc_id and text; it tells apart rows that share a doc_id."""
+def tiles(text: str, ends: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Start and end of the units of text, in order; line ends lie between them."""
+    at = 0
+    for m in ends.finditer(text):
+        yield at, m.start() if "\n" in m[0] else m.end()
+        at = m.end()
+    yield at, len(text)
+
+
+def units(docs: DataFrame, ends: str = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, row_key, number (from 0) of the unit in its row, start and end (code points of the original text), words
+    and digest of each unit of min_words words or more. row_key tells apart rows that share a doc_id."""
+    pattern = re.compile(ends)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            rows = []
+        for part in slices(batches, max_bytes=1 << 20):
+            columns: list[list] = [[] for _ in range(7)]
+            docs_, rows, numbers, starts, stops, sizes, digests = columns
             for doc, row, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "row_key", "text"))):
-                at, own = 0, []
-                for k, unit in enumerate(text.decode("utf-8", "replace").split(separator)):
-                    words = len(unit.encode().split())
-                    if words >= min_words:
-                        own.append((k, at, at + len(unit), words, blake2b(normalise(unit).encode(), digest_size=16).digest()))
-                    at += len(unit) + len(separator)
-                rows += [(doc, row, len(own), *x) for x in own]
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, types)], names=["doc_id", "row_key", "n_units", "unit", "start", "end", "n_words", "digest"])
+                whole, k = text.decode("utf-8", "replace"), 0
+                for a, b in tiles(whole, pattern):
+                    if b - a >= min_words and len(words := normalise(whole[a:b])) >= min_words:
+                        docs_.append(doc)
+                        rows.append(row)
+                        numbers.append(k)
+                        starts.append(a)
+                        stops.append(b)
+                        sizes.append(len(words))
+                        digests.append(blake2b(" ".join(words).encode(), digest_size=16).digest())
+                        k += 1
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "row_key", "unit", "start", "end", "n_words", "digest"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), utf8().alias("text")).mapInArrow(run, UNITS)
 
@@ -55,31 +77,49 @@ def row_key():
 
 
 def repeated_units(found: DataFrame) -> DataFrame:
-    """The units of found that aren't the earliest of their digest. Rank: doc_id (null last), row_key, unit number.
+    """The units of found whose digest is in another place too, with later (an earlier one stays), across (it is in another
+    row too) and first_doc_id. Rank: doc_id (null last), row_key, number.
 
-    The earliest is a partial aggregate and the join back repeats a digest once for each of its units, so a line that a
-    third of all documents hold is dealt out as any skewed join side.
+    The first and the last of a digest are partial aggregates and the join back repeats a digest once for each of its
+    units, so a line that a third of all documents hold is dealt out as any skewed join side.
     """
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "unit")
-    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    back = found.join(first, "digest")
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "unit")
-    return back.where(own > F.col("first")).select("doc_id", "row_key", "unit", "start", "end", "n_words", "copies", F.col("first.doc_id").alias("first_doc_id"))
+    ends = found.groupBy("digest").agg(F.min(own).alias("first"), F.max(own).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
+    across = ~F.struct("first.doc_id", "first.row_key").eqNullSafe(F.struct("last.doc_id", "last.row_key"))
+    firsts = ends.select("digest", "first", across.alias("across"))
+    return found.join(firsts, "digest").select("doc_id", "row_key", "unit", "start", "end", "n_words", (own > F.col("first")).alias("later"), "across", F.col("first.doc_id").alias("first_doc_id"))
 
 
-def unit_dedup(docs: DataFrame, separator: str = LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def unit_dedup(docs: DataFrame, ends: str = SENTENCES, min_words: int = MIN_WORDS, min_run: int = MIN_RUN, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """For every row: doc_id, n_units, n_removed, removed_words, removed_chars, spans (start:end of the removed units in
-    the original text, code points, comma-joined) and sources (the distinct doc_ids that keep them, ascending).
+    the original text, code points, comma-joined), sources (the distinct doc_ids that keep them, ascending), repeated_words,
+    passage_words and has_passage.
 
-    Units are lines (or paragraphs) of min_words words or more; equal ones after normalisation are copies, of which the
-    earliest ranked stays. Null and empty texts have no units. Rows that are equal in doc_id and text are one document and
-    give one row. A null doc_id ranks last. Other columns are ignored; an empty table gives an empty result.
+    Units are lines, cut further at the ends of sentences, of min_words words or more; equal ones after normalisation
+    are copies. Repeated units that follow each other (shorter units between them don't count) form a run; of a run of
+    min_run words or more all units go but those that are the earliest ranked of their copies. repeated_words counts the
+    words of units that another row has too, the earliest one included; passage_words those of the longest run of them,
+    and has_passage tells whether that is passage_words or more.
+
+    Null and empty texts, and units without letters or digits, have no digest. Rows that are equal in doc_id and text are
+    one document and give one row. A null doc_id ranks last. Other columns are ignored; an empty table gives an empty result.
     """
-    found = cut(units(docs, separator, min_words))
-    gone = repeated_units(found)
-    # A row that occurs twice has each of its units twice; sets count them once.
-    every = found.groupBy("doc_id", "row_key").agg(F.max("n_units").cast("long").alias("n_units"))
-    lost = gone.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "n_words"))).alias("cuts"), F.array_sort(F.collect_set("first_doc_id")).alias("sources"))
+    found = cut(units(docs, ends, min_words))
+    every = found.groupBy("doc_id", "row_key").agg((F.max("unit") + 1).cast("long").alias("n_units"))
+    of = Window.partitionBy("doc_id", "row_key")
+    # A row that occurs twice has each of its units twice; they count once.
+    runs = repeated_units(found).repartition("doc_id", "row_key").dropDuplicates(["doc_id", "row_key", "unit"])
+    runs = runs.withColumn("run", F.col("unit") - F.row_number().over(of.orderBy("unit")))
+    words = F.when(F.col("across"), F.col("n_words")).otherwise(0)
+    inside = Window.partitionBy("doc_id", "row_key", "run")
+    runs = runs.withColumns({"run_words": F.sum("n_words").over(inside), "run_across": F.sum(words).over(inside)})
+    gone = F.col("later") & (F.col("run_words") >= min_run)
+    lost = runs.groupBy("doc_id", "row_key").agg(
+        F.array_sort(F.collect_list(F.when(gone, F.struct("start", "end", "n_words")))).alias("cuts"),
+        F.array_sort(F.collect_set(F.when(gone, F.col("first_doc_id")))).alias("sources"),
+        F.sum(words).alias("repeated_words"),
+        F.max("run_across").alias("passage_words"),
+    )
     zero = F.lit(0).cast("long")
     lost = lost.withColumns({
         "n_removed": F.size("cuts").cast("long"),
@@ -98,35 +138,51 @@ def unit_dedup(docs: DataFrame, separator: str = LINES, min_words: int = MIN_WOR
         *(F.coalesce(F.col(c), zero).alias(c) for c in ("n_units", "n_removed", "removed_words", "removed_chars")),
         F.concat_ws(",", F.transform("cuts", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))).alias("spans"),
         F.coalesce("sources", F.array().cast("array<long>")).alias("sources"),
+        *(F.coalesce(F.col(c), zero).alias(c) for c in ("repeated_words", "passage_words")),
+        (F.coalesce("passage_words", zero) >= passage_words).alias("has_passage"),
     )
 
 
-def remove_spans(text: str, cuts: list[tuple[int, int]], separator: str = LINES) -> str:
-    """text without the given units and the separator that follows each, or leads to it at the end of the text."""
-    out, at = [], 0
-    for start, end in cuts:
-        out.append(text[at:start])
-        at = min(end + len(separator), len(text))
-    out.append(text[at:])
-    kept = "".join(out)
-    return kept.removesuffix(separator) if cuts and cuts[-1][1] == len(text) else kept
-
-
-def dedup_documents(docs: DataFrame, separator: str = LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with repeated units removed from text, all columns kept, and removed: their original offsets.
-
-    A column of the documents that is itself named removed is replaced.
+def remove_spans(text: str, cuts: list[tuple[int, int]]) -> str:
+    """text without the given units. A line of which nothing but blanks stays goes with its line end."""
+    out, line_start = [], 0
+    cuts = sorted(cuts)
+    k = 0
+    for line in text.split("\n"):
+        line_end, at, kept, touched = line_start + len(line), line_start, [], False
+        while k < len(cuts) and cuts[k][0] <= line_end:
+            start, end = cuts[k]
+            kept.append(text[at:start])
+            at, touched = min(end, line_end), True
+            if end > line_end:
+                cuts[k] = (line_end + 1, end)
+                break
+            k += 1
+        kept.append(text[at:line_end])
+        rest = "".join(kept)
+        if not touched or rest.strip():
+            out.append(rest)
+        line_start = line_end + 1
+    return "\n".join(out)
+
+
+def dedup_documents(docs: DataFrame, ends: str = SENTENCES, min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> DataFrame:
+    """The documents with repeated units removed from text, all columns kept, and removed_spans: their original offsets.
+
+    removed_spans is null for a row that keeps its whole text. Raises if the documents have a column of that name.
     """
+    if "removed_spans" in docs.columns:
+        raise ValueError("the documents have a column named removed_spans")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(whole.alias("_doc"), row_key().alias("_row"))
-    spans = unit_dedup(docs, separator, min_words).where("n_removed > 0").select(F.col("row_key").alias("_row"), F.col("spans").alias("removed")).dropDuplicates(["_row"])
+    keyed = docs.select(whole.alias("_doc"), F.col("doc_id").cast("long").alias("_id"), row_key().alias("_row"))
+    spans = unit_dedup(docs, ends, min_words, min_run).where("n_removed > 0").select(F.col("doc_id").alias("_same"), F.col("row_key").alias("_key"), F.col("spans").alias("removed_spans"))
 
     @F.pandas_udf("string")
     def without(text, removed):
         import pandas as pd
 
-        return pd.Series([t if r is None or t is None else remove_spans(t, [tuple(map(int, x.split(":"))) for x in r.split(",")], separator) for t, r in zip(text, removed)], dtype=object)
+        return pd.Series([t if r is None or t is None else remove_spans(t, [tuple(map(int, x.split(":"))) for x in r.split(",")]) for t, r in zip(text, removed)], dtype=object)
 
-    text = without("_doc.text", "removed")
-    columns = [text.alias(c) if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c != "removed"]
-    return keyed.join(spans, "_row", "left").select(*columns, "removed")
+    text = without("_doc.text", "removed_spans")
+    columns = [text.alias(c) if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns]
+    return keyed.join(spans, F.col("_id").eqNullSafe(F.col("_same")) & (F.col("_row") == F.col("_key")), "left").select(*columns, "removed_spans")
