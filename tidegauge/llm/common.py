@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.operators.materialize import broadcast_if_small, checkpoint_dir, cut  # noqa: F401  (used by the operators)
+from tidegauge.operators.materialize import broadcast_if_small, checkpoint_dir, cut, remove_folder, store  # noqa: F401  (used by the operators)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
