@@ -7,6 +7,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parent.parent
 
 
@@ -17,9 +19,12 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_entry_without_the_optional_parts(tmp_path):
-    for name in ("__spark_entry__.py", "tidegauge"):
-        (tmp_path / name).symlink_to(ROOT / name) if name.endswith(".py") else None
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_entry_without_the_optional_parts(tmp_path, pipeline):
+    """With the pipeline file left where it is, or deleted as well."""
+    for name in ("__spark_entry__.py", *(["corpus_pipeline.py"] if pipeline else [])):
+        if (ROOT / name).exists():
+            (tmp_path / name).symlink_to(ROOT / name)
     package = tmp_path / "tidegauge"
     package.mkdir()
     for p in (ROOT / "tidegauge").iterdir():
