@@ -28,22 +28,28 @@ def test_decisions(spark):
     assert check(status="'no_baseline'", baseline_run_id="cast(null as bigint)", **none) == []
     assert check(status="'no_baseline'", **none) == ["status and nulls disagree"]
     assert check(**none) == ["status and nulls disagree"]
+    assert check(score_raw="-0.1D") == ["score_raw is negative"] and check(score_raw="0D") == []
     assert check(score_normalized="1.5D") == ["score_normalized out of range"]
     assert check(action="'odd'") == ["action"] and check(visitor_id="repeat('x', 129)") == ["visitor_id length"]
     assert check(event_id="cast(null as string)") == ["event_id is null"]
 
 
 def test_other_tables(spark):
-    event = dict(id="'1'", event_time="now()", ingested_at="1L", payload="'{}'", source_id="'s'", visitor_id="'v'")
+    event = dict(id="'1'", event_time="now()", ingested_at="1L", payload="'{}'", features="'{\"a\": 1}'", source_id="'s'", visitor_id="'v'")
     assert said(spark, event, validation.event_constraints()) == []
+    assert said(spark, event, validation.event_constraints(), source_id="''", visitor_id="''") == []
     assert said(spark, event, validation.event_constraints(), source_id="repeat('x', 65)", payload="'[]'") == ["source_id length", "payload is no object"]
-    run = dict(window_count="1", distinct_visitors="1", event_count="1", registry_hash="repeat('a', 64)", status="'succeeded'", baseline="'m'")
+    assert said(spark, event, validation.event_constraints(), payload="'{garbage'", features="cast(null as string)") == ["payload is no object", "features is no object"]
+    run = dict(source_id="'s'", fit_at="now()", features_fit="array('f')", window_count="1", distinct_visitors="1", event_count="1", registry_hash="repeat('a', 64)", status="'succeeded'", baseline="'m'")
     assert said(spark, run, validation.run_constraints()) == []
     assert said(spark, run, validation.run_constraints(), window_count="-1", status="'failed'") == ["window_count is negative", "model present iff succeeded"]
+    assert said(spark, run, validation.run_constraints(), source_id="repeat('x', 65)", fit_at="cast(null as timestamp)", features_fit="cast(null as array<string>)") == ["source_id length", "fit_at is null", "features_fit is null"]
     policy = dict(version="'v1'", active="true", policy="'{}'")
     assert said(spark, policy, validation.policy_row_constraints()) == []
-    assert said(spark, policy, validation.policy_row_constraints(), version="''") == ["version length"]
-    label = dict(decision_id="'1'", label="'benign'")
+    assert said(spark, policy, validation.policy_row_constraints(), version="repeat('v', 65)", policy="'[1]'") == ["version length", "policy is no object"]
+    label = dict(decision_id="'1'", label="'true_positive'")
+    for known in ("'false_positive'", "'false_negative'"):
+        assert said(spark, label, validation.label_constraints(), label=known) == []
     assert said(spark, label, validation.label_constraints()) == [] and said(spark, label, validation.label_constraints(), label="'odd'") == ["label"]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.schemas import ACTIONS, MAX_BODY_BYTES, MAX_SOURCE_ID, MAX_VISITOR_ID, RAW_EVENT, RISK_LEVELS, RUN_STATUSES, STATUSES
+from tidegauge.schemas import ACTIONS, LABELS, MAX_BODY_BYTES, MAX_SOURCE_ID, MAX_VISITOR_ID, RAW_EVENT, RISK_LEVELS, RUN_STATUSES, STATUSES
 
 
 def violations(*checks: tuple[Column, str | Column]) -> Column:
@@ -44,12 +44,24 @@ def strict_decode(bodies: DataFrame, column: str = "body") -> DataFrame:
 
 
 def _length(column: str, most: int) -> Column:
-    return F.length(column).between(1, most)
+    """At most so many characters; empty ones are allowed."""
+    return F.length(column) <= most
+
+
+def _object(column: str) -> Column:
+    """Whether a JSON text is an object."""
+    return F.json_object_keys(F.col(column)).isNotNull()
 
 
 def event_constraints() -> Column:
-    names = ("id", "event_time", "ingested_at", "payload")
-    return violations(*((F.col(c).isNotNull(), f"{c} is null") for c in names), (_length("source_id", MAX_SOURCE_ID), "source_id length"), (_length("visitor_id", MAX_VISITOR_ID), "visitor_id length"), (F.ltrim("payload").startswith("{"), "payload is no object"))
+    names = ("id", "event_time", "ingested_at")
+    return violations(
+        *((F.col(c).isNotNull(), f"{c} is null") for c in names),
+        (_length("source_id", MAX_SOURCE_ID), "source_id length"),
+        (_length("visitor_id", MAX_VISITOR_ID), "visitor_id length"),
+        (_object("payload"), "payload is no object"),
+        (_object("features"), "features is no object"),
+    )
 
 
 def decision_constraints() -> Column:
@@ -61,7 +73,7 @@ def decision_constraints() -> Column:
         *((F.col(c).isNotNull(), f"{c} is null") for c in ("id", "event_id", "decided_at", "action", "policy_version")),
         (_length("source_id", MAX_SOURCE_ID), "source_id length"),
         (_length("visitor_id", MAX_VISITOR_ID), "visitor_id length"),
-        (F.col("score_raw").isNull() | ~F.isnan("score_raw"), "score_raw is no number"),
+        (F.col("score_raw").isNull() | (F.col("score_raw") >= 0), "score_raw is negative"),
         (F.col("score_normalized").isNull() | F.col("score_normalized").between(0, 1), "score_normalized out of range"),
         (F.col("status").isin(*STATUSES), "status"),
         (F.col("risk_level").isNull() | F.col("risk_level").isin(*RISK_LEVELS), "risk_level"),
@@ -80,6 +92,8 @@ def _all(conditions: list[Column]) -> Column:
 def run_constraints() -> Column:
     counts = ("window_count", "distinct_visitors", "event_count")
     return violations(
+        (_length("source_id", MAX_SOURCE_ID), "source_id length"),
+        *((F.col(c).isNotNull(), f"{c} is null") for c in ("fit_at", "features_fit")),
         *((F.col(c) >= 0, f"{c} is negative") for c in counts),
         (F.length("registry_hash") == 64, "registry_hash length"),
         (F.col("status").isin(*RUN_STATUSES), "status"),
@@ -88,11 +102,11 @@ def run_constraints() -> Column:
 
 
 def policy_row_constraints() -> Column:
-    return violations((_length("version", 64), "version length"), (F.col("active").isNotNull(), "active is null"), (F.col("policy").isNotNull(), "policy is null"))
+    return violations((_length("version", 64), "version length"), (F.col("active").isNotNull(), "active is null"), (_object("policy"), "policy is no object"))
 
 
 def label_constraints() -> Column:
-    return violations((F.col("decision_id").isNotNull(), "decision_id is null"), (F.col("label").isin("benign", "malicious", "unsure"), "label"))
+    return violations((F.col("decision_id").isNotNull(), "decision_id is null"), (F.col("label").isin(*LABELS), "label"))
 
 
 def violating(rows: DataFrame, constraints: Column) -> DataFrame:

@@ -218,7 +218,53 @@ ERRORS = "CASE WHEN arrival % 3 = 0 THEN 'http_method required' END, CASE WHEN a
 PERCENT = "coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0) * 100, 0.0)"
 _ALL_ACTIONS = " + ".join(f"sum({a}_action_count)" for a in ACTIONS)
 
+
+
+def _nth(n: int, broken: str, column: str) -> str:
+    return f"CASE WHEN CAST(event_id AS BIGINT) % {n} = 0 THEN {broken} ELSE {column} END AS {column}"
+
+
+def _listed(rows: str, columns: str, *checks: tuple[str, str]) -> str:
+    """The rows that break a check, with what they break; an unknown outcome is a failure."""
+    said = ", ".join(f"CASE WHEN NOT coalesce({ok}, false) THEN '{message}' END" for ok, message in checks)
+    return f"SELECT * FROM (SELECT {columns}, concat_ws('; ', {said}) AS violations FROM ({rows})) WHERE violations <> ''"
+
+
+_OBJECT = "CASE WHEN json_valid({0}) THEN json_type({0}) END = 'OBJECT'"
+_NULLS = "score_raw IS {0} NULL AND score_normalized IS {0} NULL AND risk_level IS {0} NULL"
+_LABEL_ROWS = "SELECT event_id, CASE arrival % 5 WHEN 0 THEN 'true_positive' WHEN 1 THEN 'false_positive' WHEN 2 THEN 'false_negative' WHEN 3 THEN 'benign' END AS label FROM ev"
+_EVENT_ROWS = (
+    f"SELECT event_id, {_nth(11, 'repeat(chr(115), 65)', 'source_id')}, {_nth(13, 'repeat(chr(118), 128)', 'visitor_id')}, {_nth(23, 'NULL', 'event_time')}, "
+    f"{_nth(17, chr(39) + '{garbage' + chr(39), 'payload')}, {_nth(19, chr(39) + '[]' + chr(39), 'features')} "
+    "FROM (SELECT *, CAST(to_json({'uri': uri}) AS VARCHAR) AS payload, '{}' AS features FROM ev)"
+)
+_DECISION_ROWS = f"SELECT * REPLACE ({', '.join((_nth(5, '-0.5', 'score_raw'), _nth(7, '1.5', 'score_normalized'), _nth(11, chr(39) + 'odd' + chr(39), 'action'), _nth(13, 'NULL', 'risk_level'), _nth(17, 'repeat(chr(115), 65)', 'source_id')))}) FROM dec"
+_POLICY_ROWS = """SELECT n_name, repeat(n_name, CAST(n_nationkey % 12 AS BIGINT)) AS version, CASE n_nationkey % 4 WHEN 0 THEN '{"bands": []}' WHEN 1 THEN '[1]' WHEN 2 THEN '{bad' ELSE '{}' END AS policy,
+  CASE WHEN n_nationkey % 7 > 0 THEN n_nationkey % 5 = 0 END AS active FROM nation"""
+
 ORACLES: dict[str, str] = {
+    "event_constraint_violations": sql(
+        "ev", _listed(_EVENT_ROWS, "event_id", ("event_time IS NOT NULL", "event_time is null"), ("length(source_id) <= 64", "source_id length"), ("length(visitor_id) <= 128", "visitor_id length"), (_OBJECT.format("payload"), "payload is no object"), (_OBJECT.format("features"), "features is no object"))
+    ),
+    "decision_constraint_violations": sql(
+        "dec",
+        _listed(
+            _DECISION_ROWS,
+            "event_id",
+            ("length(source_id) <= 64", "source_id length"),
+            ("score_raw IS NULL OR score_raw >= 0", "score_raw is negative"),
+            ("score_normalized IS NULL OR score_normalized BETWEEN 0 AND 1", "score_normalized out of range"),
+            (f"action IN {ACTIONS}", "action"),
+            (
+                f"(status = 'scored' AND {_NULLS.format('NOT')} AND baseline_run_id IS NOT NULL) OR (status = 'insufficient_history' AND {_NULLS.format('')} AND baseline_run_id IS NOT NULL) "
+                f"OR (status = 'no_baseline' AND {_NULLS.format('')} AND baseline_run_id IS NULL)",
+                "status and nulls disagree",
+            ),
+        ),
+    ),
+    "label_constraint_violations": sql("ev", _listed(_LABEL_ROWS, "event_id, label", ("label IN ('true_positive', 'false_positive', 'false_negative')", "label"))),
+    "run_constraint_violations": sql("runs", _listed("SELECT source_id, status, window_count - 100 AS window_count FROM runs", "source_id", ("window_count >= 0", "window_count is negative"), ("source_id <> 'src-0'", "registry_hash length"), ("status = 'succeeded'", "model present iff succeeded"))),
+    "policy_row_violations": _listed(_POLICY_ROWS, "n_name", ("length(version) <= 64", "version length"), ("active IS NOT NULL", "active is null"), (_OBJECT.format("policy"), "policy is no object")),
     "http_events": sql("ev", "SELECT event_id, source_id, visitor_id, event_time, http_method, uri, status_code, referrer_present, user_agent, bytes, resource_type, endpoint FROM ev"),
     "event_validation": sql("ev", f"SELECT event_id, concat_ws('; ', {ERRORS}) AS errors FROM ev"),
     "resource_mix": sql("ev", "SELECT source_id, resource_type, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS total_bytes FROM ev GROUP BY ALL"),

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.functions.features import NAMES
-from tidegauge.operators import baseline, dashboard, marts, quality, reads
+from tidegauge.operators import baseline, dashboard, marts, quality, reads, validation
 from tidegauge.operators.materialize import cut
 from tidegauge.operators.validation import event_errors
 from tidegauge.operators.windows import mark_late, with_window_counts
 from tidegauge.plans import flows
 from tidegauge.plans.oracles import ORACLES  # noqa: F401  (part of the registry)
+from tidegauge.schemas import LABELS
 from tidegauge.sources.tables import http_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +67,68 @@ def event_validation(spark, sf_dir):
     return broken.select("event_id", F.array_join(event_errors(), "; ").alias("errors"))
 
 
+def listed(rows: DataFrame, constraints, *columns: str) -> DataFrame:
+    """The rows that break a constraint, with what they break."""
+    return validation.violating(rows, constraints).select(*columns, F.array_join("violations", "; ").alias("violations"))
+
+
+def nth(n: int, broken, column: str):
+    """column, but broken on every n-th event."""
+    return F.when(F.col("event_id").cast("long") % n == 0, broken).otherwise(F.col(column))
+
+
+@query
+def event_constraint_violations(spark, sf_dir):
+    """Stored events of which every few break a row constraint."""
+    rows = http_events(spark, sf_dir).select("event_id", F.col("event_id").alias("id"), "event_time", F.col("arrival").alias("ingested_at"), "source_id", "visitor_id", F.to_json(F.struct("uri")).alias("payload"), F.lit("{}").alias("features"))
+    broken = {
+        "source_id": nth(11, F.repeat(F.lit("s"), F.lit(65)), "source_id"),
+        "visitor_id": nth(13, F.repeat(F.lit("v"), F.lit(128)), "visitor_id"),
+        "payload": nth(17, F.lit("{garbage"), "payload"),
+        "features": nth(19, F.lit("[]"), "features"),
+        "event_time": nth(23, F.lit(None), "event_time"),
+    }
+    return listed(rows.withColumns(broken), validation.event_constraints(), "event_id")
+
+
+@query
+def decision_constraint_violations(spark, sf_dir):
+    """Decisions of which every few break a row constraint."""
+    rows = flows.decisions(spark, sf_dir).withColumnRenamed("decision_id", "id")
+    broken = {
+        "score_raw": nth(5, F.lit(-0.5), "score_raw"),
+        "score_normalized": nth(7, F.lit(1.5), "score_normalized"),
+        "action": nth(11, F.lit("odd"), "action"),
+        "risk_level": nth(13, F.lit(None), "risk_level"),
+        "source_id": nth(17, F.repeat(F.lit("s"), F.lit(65)), "source_id"),
+    }
+    return listed(rows.withColumns(broken), validation.decision_constraints(), "event_id")
+
+
+@query
+def label_constraint_violations(spark, sf_dir):
+    """Analyst labels on events, of which every fifth is no known one."""
+    names = F.array(*(F.lit(x) for x in (*LABELS, "benign", None)))
+    rows = http_events(spark, sf_dir).select("event_id", F.col("event_id").alias("decision_id"), F.get(names, (F.col("arrival") % 5).cast("int")).alias("label"))
+    return listed(rows, validation.label_constraints(), "event_id", "label")
+
+
+@query
+def run_constraint_violations(spark, sf_dir):
+    """Fitted runs with counts below zero, a hash of wrong length and a model where there must be none."""
+    rows = flows.runs(spark, sf_dir).withColumns({"window_count": F.col("window_count") - 100, "registry_hash": F.when(F.col("source_id") == "src-0", "short").otherwise(F.col("registry_hash")), "baseline": F.lit("{}")})
+    return listed(rows, validation.run_constraints(), "source_id")
+
+
+@query
+def policy_row_violations(spark, sf_dir):
+    """Policy rows named after nations, of which some are too long, no object or without active."""
+    key = F.col("n_nationkey")
+    texts = F.array(F.lit('{"bands": []}'), F.lit("[1]"), F.lit("{bad"), F.lit("{}"))
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.repeat("n_name", (key % 12).cast("int")).alias("version"), F.get(texts, (key % 4).cast("int")).alias("policy"), F.when(key % 7 > 0, key % 5 == 0).alias("active"), "n_name")
+    return listed(rows, validation.policy_row_constraints(), "n_name")
+
+
 @query
 def resource_mix(spark, sf_dir):
     return http_events(spark, sf_dir).groupBy("source_id", "resource_type").agg(F.count("*").alias("n"), F.sum("bytes").alias("total_bytes"))

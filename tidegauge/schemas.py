@@ -11,6 +11,7 @@ RESOURCE_TYPES = ("html", "api", "script", "style", "image", "font", "media", "d
 STATUSES = ("scored", "no_baseline", "insufficient_history")
 RISK_LEVELS = ("low", "medium", "high", "critical")
 ACTIONS = ("allow", "log", "challenge", "block")
+LABELS = ("true_positive", "false_positive", "false_negative")
 RUN_STATUSES = ("succeeded", "insufficient_history", "failed")
 SCHEMA_VERSION = "v1"
 MAX_BODY_BYTES = 32 * 1024
