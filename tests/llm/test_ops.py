@@ -436,6 +436,18 @@ def test_sentencepiece(odd, small, texts):
     assert v.library.decode(row["ids"]) == row["decoded"]
 
 
+def test_models_are_known_by_content(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the harbour lamps")], "doc_id long, text string")
+    (tmp_path / "a").mkdir()
+    good = queries.model_path()
+    again = tmp_path / "a" / good.rsplit("/", 1)[-1]
+    again.write_bytes(b"no model at all")
+    assert sentencepiece_bpe.encode_documents(docs, good).count() == 1
+    with pytest.raises(Exception):
+        sentencepiece_bpe.encode_documents(docs, str(again)).collect()
+    assert sentencepiece_bpe.encode_documents(docs.limit(0), good).count() == 0
+
+
 def test_agenda_forms_agree_and_memory_turns_over():
     v = sentencepiece_bpe.Vocabulary(open(queries.model_path(), "rb").read())
     random.seed(4)

@@ -10,7 +10,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -279,22 +279,19 @@ class Encoder:
         return out
 
 
-def ship_model(spark: SparkSession, path: str) -> str:
-    """Copies the model file to the executors once; returns the name by which tasks find it."""
-    name = path.rsplit("/", 1)[-1]
-    known = {f.rsplit("/", 1)[-1] for f in spark.sparkContext.listFiles}
-    if name not in known:
-        spark.sparkContext.addFile(path)
-    return name
+def ship_model(spark: SparkSession, path: str) -> tuple[str, Broadcast]:
+    """The digest of the model file and its bytes (some 500 KB, for all data alike) as a broadcast; the digest names the model."""
+    with open(path, "rb") as f:
+        data = f.read()
+    return hashlib.blake2b(data, digest_size=16).hexdigest(), spark.sparkContext.broadcast(data)
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(name: str) -> Encoder:
+def _encoder(name: str, data: Broadcast) -> Encoder:
     if name not in _ENCODERS:
-        with open(SparkFiles.get(name), "rb") as f:
-            _ENCODERS[name] = Encoder(Vocabulary(f.read()))
+        _ENCODERS[name] = Encoder(Vocabulary(data.value))
     return _ENCODERS[name]
 
 
@@ -306,10 +303,10 @@ def encode_documents(docs: DataFrame, model_path: str, full: bool = False) -> Da
     id alone and decode to the empty text. Repeated rows are encoded each, other columns are ignored, an empty table gives
     an empty result. A long text is a slice of its own.
     """
-    name = ship_model(docs.sparkSession, model_path)
+    name, data = ship_model(docs.sparkSession, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(name)
+        encode = _encoder(name, data)
         for part in slices(batches, max_bytes=4 << 20):
             got = encode([t.decode("utf-8", "replace") for t in part.column("text").to_pylist()])
             sha = lambda x: hashlib.sha256(x).hexdigest()
