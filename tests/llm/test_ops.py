@@ -409,6 +409,16 @@ def mix_by_force(rows, mix):
     return sorted(out, key=str)
 
 
+def test_a_weight_of_zero_gives_nothing(spark):
+    rows = [(i, "word " * 10, lang, source) for i, (lang, source) in enumerate([(lang, s) for lang in ("en", "de") for s in ("src0", "src1") for _ in range(20)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    plain = mixing.mix_documents(docs, mixing.Mix(lang={}, source={}, budget=0.4)).collect()
+    got = mixing.mix_documents(docs, mixing.Mix(lang={"de": 0.0}, source={}, budget=0.4)).collect()
+    assert {r["lang"] for r in plain} == {"de", "en"} and {r["lang"] for r in got} == {"en"}
+    assert sum(r["tokens"] for r in got) == sum(r["tokens"] for r in plain) == 320
+    assert mixing.mix_documents(docs, mixing.Mix(lang={"de": 0.0, "en": 0.0}, source={})).count() == 0
+
+
 def test_mixing(odd, small):
     for docs in (odd, small):
         rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()]

@@ -18,7 +18,7 @@ BUCKET_DIGITS = 3
 class Mix:
     """Target weights of a domain-language-source tree.
 
-    A node's weight is relative to its siblings; names that aren't listed have weight 1. domains maps the last digits of a
+    A node's weight is relative to its siblings; names that aren't listed have weight 1, and one of weight 0 gives nothing. domains maps the last digits of a
     source's name, divided by five, to a domain. The budget is a fraction of all tokens; a leaf can give its tokens up to
     max_epochs times.
     """
@@ -62,13 +62,13 @@ def share_out(children: DataFrame, parents: list[str], name: str) -> DataFrame:
     they can take it and reaches ancestors only beyond that.
     """
     of = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))
-    up = of.orderBy((F.col("cap") / F.col("weight")).asc(), F.col(name).asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up = of.orderBy(F.try_divide("cap", "weight").asc_nulls_first(), F.col(name).asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     caps, weights = F.sum("cap").over(up) - F.col("cap"), F.sum("weight").over(up) - F.col("weight")
-    rows = children.withColumn("_level", (F.col("budget") - caps) / (F.sum("weight").over(of) - weights))
-    rows = rows.withColumn("_full", F.col("_level") * F.col("weight") >= F.col("cap"))
+    rows = children.withColumn("_level", F.try_divide(F.col("budget") - caps, F.sum("weight").over(of) - weights))
+    rows = rows.withColumn("_full", (F.col("weight") == 0) | F.coalesce(F.col("_level") * F.col("weight") >= F.col("cap"), F.lit(False)))
     over = F.sum(F.when(F.col("_full"), F.col("cap")).otherwise(0)).over(of)
     left = F.sum(F.when(F.col("_full"), 0.0).otherwise(F.col("weight"))).over(of)
-    rows = rows.withColumn("given", F.when(F.col("_full"), F.col("cap").cast("double")).otherwise(F.greatest(F.lit(0.0), (F.col("budget") - over) * F.col("weight") / left)))
+    rows = rows.withColumn("given", F.when(F.col("_full"), F.col("cap").cast("double")).otherwise(F.greatest(F.lit(0.0), F.coalesce(F.try_divide((F.col("budget") - over) * F.col("weight"), left), F.lit(0.0)))))
     return rows.drop("_level", "_full")
 
 
@@ -77,12 +77,16 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
 
     leaves: domain, lang, source, tokens. The tables have a row for each node of the tree; the top one has the domains.
     """
-    caps = leaves.withColumn("cap", F.col("tokens") * mix.max_epochs)
-    langs = caps.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"))
-    domains = langs.groupBy("domain").agg(F.sum("cap").alias("cap"))
-    whole = F.least(F.floor(F.sum("cap").over(Window.partitionBy(F.lit(0))) / mix.max_epochs * mix.budget), F.sum("cap").over(Window.partitionBy(F.lit(0))))
+    # What hangs on a weight of zero can give nothing, so its part goes to siblings like any shortage.
+    asked = F.lit(True)
+    for n in LEVELS:
+        asked = asked & (_weight(n, getattr(mix, n)) > 0)
+    caps = leaves.withColumn("cap", F.when(asked, F.col("tokens") * mix.max_epochs).otherwise(F.lit(0).cast("long")))
+    langs = caps.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
+    domains = langs.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
+    whole = F.least(F.floor(F.sum("tokens").over(Window.partitionBy(F.lit(0))) * mix.budget), F.sum("cap").over(Window.partitionBy(F.lit(0))))
     top = share_out(domains.withColumn("budget", whole.cast("double")).withColumn("weight", _weight("domain", mix.domain)), [], "domain")
-    mid = langs.join(top.select("domain", F.col("given").alias("budget")), "domain").withColumn("weight", _weight("lang", mix.lang))
+    mid = langs.drop("tokens").join(top.select("domain", F.col("given").alias("budget")), "domain").withColumn("weight", _weight("lang", mix.lang))
     mid = share_out(mid, ["domain"], "lang")
     low = caps.join(mid.select("domain", "lang", F.col("given").alias("budget")), ["domain", "lang"]).withColumn("weight", _weight("source", mix.source))
     low = share_out(low, ["domain", "lang"], "source")
