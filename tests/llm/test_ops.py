@@ -740,3 +740,26 @@ def test_pairs_within_the_radius_are_found_by_every_scheme():
             for bit in random.sample(range(64), 3):
                 b ^= 1 << bit
             assert any((a & m) == (b & m) for m in masks)
+
+
+def test_edit_distances_together(monkeypatch):
+    """Distances that are counted together are at most the limit exactly when those counted one by one are."""
+    rng = random.Random(3)
+    a, b, most = [], [], []
+    for k in range(600):
+        letters = ("ab", "abcdefgh ", "xyé中 ")[k % 3]
+        one = "".join(rng.choices(letters, k=(0, 1, 5, 63, 64, 65, 130, 300)[k % 8]))
+        other = list(one)
+        for _ in range(rng.randrange(len(one) // 3 + 2)):
+            at = rng.randrange(len(other) + 1)
+            other[at : at + rng.randrange(2)] = rng.choice(("", "Q", rng.choice(letters), "aa"))
+        a.append(one)
+        b.append("".join(other))
+        exact = fuzzy_lines.edit_distance(a[-1], b[-1], 1000)
+        most.append(max(exact + rng.choice((-2, -1, 0, 0, 1, 9)), abs(len(a[-1]) - len(b[-1]))))
+    expected = [fuzzy_lines.edit_distance(x, y, m) <= m for x, y, m in zip(a, b, most)]
+    assert 0 < sum(expected) < len(expected)
+    assert fuzzy_lines.within(a, b, most).tolist() == expected
+    monkeypatch.setattr(fuzzy_lines, "MOST_ENTRIES", 200)
+    assert fuzzy_lines.within(a, b, most).tolist() == expected
+    assert fuzzy_lines.within([], [], []).tolist() == []
