@@ -101,18 +101,23 @@ def vector_links(classes: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.lit(3), "class"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     asking = dealt.where("home").withColumn("g", F.xxhash64("key", "own", "other")).withColumn("asks", F.lit(True))
     asked = dealt.withColumn("g", F.xxhash64("key", "other", "own")).withColumn("asks", F.lit(False))
-    both = asking.unionByName(asked).select("g", "asks", "d", "class", "copies", "dim", "vector")
+    both = asking.unionByName(asked).select("g", "label", "asks", "d", "class", "copies", "dim", "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(batches):
             keys, asks, dist, ids, copies = (part.column(c).to_numpy(zero_copy_only=False) for c in ("g", "asks", "d", "class", "copies"))
-            cuts = np.append(np.flatnonzero(np.diff(keys, prepend=keys[0])), len(keys))
+            # Cells whose hashes are equal stay apart by label and length.
+            same = np.append(True, keys[1:] == keys[:-1])
+            for c in ("label", "dim"):
+                values = part.column(c).to_numpy(zero_copy_only=False)
+                same[1:] &= values[1:] == values[:-1]
+            cuts = np.append(np.flatnonzero(~same), len(keys))
             for a, b in zip(np.concatenate([[0], cuts[:-1]]), cuts):
                 mine, theirs = a + np.flatnonzero(asks[a:b]), a + np.flatnonzero(~asks[a:b])
                 if len(mine) and len(theirs):
                     yield _cell(part, mine, theirs, dist, ids, copies, radius, least)
 
-    return both.repartition("g").sortWithinPartitions("g", "d").select("g", "asks", "d", "class", "copies", "vector").mapInArrow(run, "a long, b long, n long")
+    return both.repartition("g").sortWithinPartitions("g", "label", "dim", "d").select("g", "label", "dim", "asks", "d", "class", "copies", "vector").mapInArrow(run, "a long, b long, n long")
 
 
 def _cell(part, mine, theirs, dist, ids, copies, radius: float, least: float) -> pa.RecordBatch:
