@@ -51,10 +51,6 @@ def counts_differ(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.crossJoin(F.broadcast(right)).where("left_count <> right_count")
 
 
-def _total(table: DataFrame, value: Column | None = None) -> Column:
-    return F.count("*") if value is None else F.coalesce(F.sum(value), F.lit(0))
-
-
 def _preserves(rows: DataFrame, sums: DataFrame, column: str) -> DataFrame:
     return counts_differ(rows.agg(F.count("*").alias("left_count")), sums.agg(F.coalesce(F.sum(column), F.lit(0)).alias("right_count")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.functions.features import NAMES, REGISTRY, registry_hash
+from tidegauge.functions.features import REGISTRY, registry_hash
 from tidegauge.operators.baseline import normalised, raw_score, valid_histogram, valid_quantiles
 from tidegauge.operators.materialize import broadcast_if_small
 from tidegauge.schemas import POLICY_V1, WindowSpec
@@ -69,7 +69,3 @@ def decide(features: DataFrame, models: DataFrame, decided_at: Column, policy: d
         version.alias("policy_version"),
         "baseline_run_id",
     )
-
-
-def empty_features() -> list[Column]:
-    return [F.lit(None).cast("double").alias(n) for n in NAMES]
