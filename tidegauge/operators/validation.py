@@ -110,7 +110,11 @@ def label_constraints() -> Column:
 
 
 def violating(rows: DataFrame, constraints: Column) -> DataFrame:
-    """The rows with violations, and these."""
+    """The rows with violations, and these.
+
+    Constraints name a column several times, so columns that are still uncut expressions would be written out as often: cut
+    computed rows first.
+    """
     return rows.withColumn("violations", constraints).where(F.size("violations") > 0)
 
 

@@ -94,7 +94,7 @@ def event_constraint_violations(spark, sf_dir):
 @query
 def decision_constraint_violations(spark, sf_dir):
     """Decisions of which every few break a row constraint."""
-    rows = flows.decisions(spark, sf_dir).withColumnRenamed("decision_id", "id")
+    rows = cut(flows.decisions(spark, sf_dir)).withColumnRenamed("decision_id", "id")
     broken = {
         "score_raw": nth(5, F.lit(-0.5), "score_raw"),
         "score_normalized": nth(7, F.lit(1.5), "score_normalized"),
