@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int
             yield batch.slice(a, b - a)
 
 
+def store_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the checkpoint folder, and its path for remove_folder."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def numpy_components(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     """For each of the nodes 0..n-1 the smallest node that the links u-v reach."""
     parent = np.arange(n)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from tidegauge.llm import compression
 from tidegauge.llm.mixing import Mix
 from tidegauge.llm.repetition import MAX_COVERED, MAX_LONGEST, MIN_REPEAT_WORDS
+from tidegauge.llm.resampling import POLYNOMIAL, Resample
 from tidegauge.llm.unit_dedup import MIN_RUN, MIN_WORDS, PASSAGE_WORDS, UNSPACED
 from tidegauge.llm.vectors import LEAST_COSINE
 
@@ -105,9 +107,73 @@ SELECT d.doc_id, coalesce(u.n, 0) AS n_units, coalesce(l.n, 0) AS n_removed, coa
 FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM units GROUP BY doc_id) u ON u.doc_id = d.doc_id LEFT JOIN lost l ON l.doc_id = d.doc_id
 LEFT JOIN passages p ON p.doc_id = d.doc_id"""
 
+
+
+def _op12() -> str:
+    """The rounds as plain rescans: every part against every entry, each time."""
+    parts, scale, rounds = compression.PARTS, compression.SCALE, compression.ROUNDS
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT p.vec_id, p.m, min_by(b.k, [p.xx - 2 * list_inner_product(p.x, b.x) + b.xx, b.k]) AS k, min(p.xx - 2 * list_inner_product(p.x, b.x) + b.xx) AS d
+  FROM p JOIN b{r} b ON b.m = p.m GROUP BY p.vec_id, p.m)""")
+        if r < rounds:
+            steps.append(f"""
+u{r} AS (SELECT m, k, list(v ORDER BY i) AS x FROM (
+  SELECT a.m, a.k, i, floor(sum(p.x[i]) / count(*)) AS v FROM a{r} a JOIN p ON p.vec_id = a.vec_id AND p.m = a.m, (SELECT unnest(range(1, (SELECT max(len(x)) FROM p) + 1)) AS i) GROUP BY a.m, a.k, i) GROUP BY m, k),
+b{r + 1} AS MATERIALIZED (SELECT m, k, x, list_inner_product(x, x) AS xx FROM (SELECT b.m, b.k, coalesce(u.x, b.x) AS x FROM b{r} b LEFT JOIN u{r} u ON u.m = b.m AND u.k = b.k))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda c: floor({scale} * CAST(c AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS MATERIALIZED (SELECT vec_id, m, x, list_inner_product(x, x) AS xx FROM (
+  SELECT vec_id, m, e[m * (len(e) // {parts}) + 1:(m + 1) * (len(e) // {parts})] AS x FROM (SELECT vec_id, e, unnest(range({parts})) AS m FROM kept))),
+b0 AS MATERIALIZED (
+  SELECT p.m, s.k, p.x, p.xx FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM kept QUALIFY k < {compression.ENTRIES}) s JOIN p ON p.vec_id = s.vec_id),
+{",".join(steps)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', k), '' ORDER BY m) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+book AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda c: CAST(c AS BIGINT)), ','), ',' ORDER BY m, k)) AS h FROM b{rounds})
+SELECT c.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY t.label) AS BIGINT) AS label_error, (SELECT h FROM book) AS codebooks_sha256
+FROM coded c JOIN kept t ON t.vec_id = c.vec_id"""
+
+
+def _op13() -> str:
+    """Checksums byte by byte, once for each distinct word; a word of other tables than these counts alike."""
+    s = Resample()
+    up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = lambda t: f"regexp_extract_all(translate(coalesce({t}, ''), '{up}', '{low}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    byte_step = f"CASE WHEN t & 1 = 1 THEN xor(t >> 1, {POLYNOMIAL}) ELSE t >> 1 END"
+    return f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words("text")} AS w FROM documents),
+mine AS MATERIALIZED (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(w) AS w FROM docs) GROUP BY r, w),
+goal AS MATERIALIZED (SELECT w, count(*) AS n FROM (SELECT unnest({words("text")}) AS w FROM benchmark) GROUP BY w),
+tbl AS MATERIALIZED (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda t, i: {byte_step}, b)) AS t),
+sums AS MATERIALIZED (
+  SELECT w, xor(4294967295, list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) % {s.buckets} AS bucket
+  FROM (SELECT w, list_transform(range(len(hex(w)) // 2), lambda i: CAST('0x' || hex(w)[2 * i + 1:2 * i + 2] AS BIGINT)) AS bytes FROM (SELECT w FROM mine UNION SELECT w FROM goal)), tbl),
+source AS (SELECT bucket, sum(n) AS s FROM mine JOIN sums USING (w) GROUP BY bucket),
+target AS (SELECT bucket, sum(n) AS t FROM goal JOIN sums USING (w) GROUP BY bucket),
+gains AS MATERIALIZED (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM source) + {s.buckets})::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM target) + {s.buckets})::DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT DISTINCT bucket FROM sums) b LEFT JOIN source USING (bucket) LEFT JOIN target USING (bucket)),
+weights AS (SELECT r, sum(n * gain) AS weight FROM mine JOIN sums USING (w) JOIN gains USING (bucket) GROUP BY r),
+scored AS MATERIALIZED (
+  SELECT d.r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{s.seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM docs d LEFT JOIN weights v ON v.r = d.r),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS k, count(*) OVER () AS n FROM scored WHERE n_features >= {s.least_words})
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= {s.percent} * n // 100 THEN k END AS rank FROM scored s LEFT JOIN ranked k ON k.r = s.r"""
+
+
+OP12 = _op12()
+OP13 = _op13()
+
 ORACLES: dict[str, str] = {
     "op1_repetition_quality": OP1,
     "op4_vector_near_dedup": OP4,
     "op5_mix_to_weights": OP5,
     "op8_line_hash_dedup": OP8,
+    "op12_vector_codes": OP12,
+    "op13_importance_resampling": OP13,
 }

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.llm.byte_bpe import encode_bytes
 from tidegauge.llm.common import read_table
+from tidegauge.llm.compression import compress_vectors
 from tidegauge.llm.fuzzy_lines import fuzzy_line_dedup
 from tidegauge.llm.mixing import mix_documents
 from tidegauge.llm.pii import find_personal_data
 from tidegauge.llm.repetition import repetition_quality
+from tidegauge.llm.resampling import resample_documents
 from tidegauge.llm.secrets import scan_secrets
 from tidegauge.llm.sentencepiece_bpe import encode_documents
 from tidegauge.llm.sharding import shard_documents
@@ -68,6 +71,20 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_bytes(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,5 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_hash_dedup,
         op9_personal_data,
         op10_simhash_near_dedup,
+        op11_byte_bpe,
+        op12_vector_codes,
+        op13_importance_resampling,
     )
 }
