@@ -6,15 +6,17 @@ import math
 import random
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.functions.features import NAMES, REGISTRY, entropy, registry_hash, transformed
+from tests.tasks import many_partitions, most_rows_read
+from tidegauge.functions.features import NAMES, REGISTRY, registry_hash, transformed
 from tidegauge.functions.uri import endpoint_path, extension, media_class, resource_type
-from tidegauge.operators import baseline, reads, scoring, validation
+from tidegauge.operators import baseline, features, reads, scoring, validation
 from tidegauge.operators.features import window_features
 from tidegauge.operators.ranking import quantile_grid, value_ranks
-from tidegauge.operators.windows import fit_samples, mark_late, serve_samples, with_window_counts
+from tidegauge.operators.windows import cadence_gate, fit_samples, gate_steps, mark_late, serve_samples, with_window_counts
 from tidegauge.schemas import POLICY_V1, FitSpec, WindowSpec
 from tidegauge.sources.tables import access_log, active_policy, classified, inspect_snapshots, latest_succeeded, publish_view, rehydrated, snapshot_events
 from tidegauge.streaming.detector import features_of
@@ -104,6 +106,63 @@ def test_windows_and_features(spark):
             assert (g is None) == (w is None) and (w is None or math.isclose(g, w, rel_tol=1e-9, abs_tol=1e-9)), (i, name, g, w)
 
 
+def test_hot_visitor(spark, monkeypatch):
+    """One visitor has half of all events: results as by force, and no task reads a tenth of the rows."""
+    monkeypatch.setattr(features, "CHUNK_ROWS", 40)
+    monkeypatch.setattr(features, "CELLS", 100)
+    rng = random.Random(11)
+    at, rows = {}, []
+    for i in range(6000):
+        v = "hot" if i % 2 else f"v{rng.randrange(40)}"
+        at[v] = at.get(v, 0) + rng.choice([1, 2, 5, 20] if v == "hot" else [3, 50, 400])
+        rows.append((v, at[v] - rng.choice([0, 0, 0, 0, 9]), rng.choice(["/p/1", "/p/2?x", "/a.js", "/api/x", "/i.png"]), rng.choice(["GET", "POST", "put"]), rng.choice([200, 404, 500]), rng.random() < 0.5))
+    fit, serve = replay(rows, SPEC)
+    with many_partitions(spark):
+        events = events_of(spark, rows).repartition(16).cache()
+        events.count()
+        got = {}
+        most = most_rows_read(spark, lambda: got.update(fit=fit_samples(events, SPEC).collect(), serve=serve_samples(events, SPEC).collect(), late=mark_late(events, bucket=600_000_000).where("late").count(), f=window_features(serve_samples(events, SPEC), events, SPEC).collect()))
+    assert {int(r["event_id"]): r["window_count"] for r in got["fit"]} == {i: len(m) for i, m in fit.items()}
+    assert {int(r["event_id"]): r["window_count"] for r in got["serve"]} == {i: len(m) for i, m in serve.items()}
+    ring = {int(r["event_id"]): (r["event_id"], r["t"], r["http_method"], r["endpoint"], r["status_code"], r["referrer_present"], r["resource_type"]) for r in events.collect()}
+    order = sorted(ring, key=lambda i: (ring[i][1], i))
+    by_visitor = {}
+    for i in order:
+        by_visitor.setdefault(rows[i][0], []).append(i)
+    for r in got["f"]:
+        i = int(r["event_id"])
+        members = [j for j in by_visitor[rows[i][0]] if ring[i][1] - SPEC.length_micros <= ring[j][1] and (ring[j][1], j) <= (ring[i][1], i)]
+        for name, w in zip(NAMES, features_of([ring[j] for j in members])):
+            assert (r[name] is None) == (w is None) and (w is None or math.isclose(r[name], w, rel_tol=1e-9, abs_tol=1e-9)), (i, name, r[name], w)
+    assert got["late"] > 0 and len(got["f"]) == len(serve) and most < len(rows) / 10
+
+
+def test_gate_of_buckets(spark):
+    """Any bucket length gives the gate of a walk, and a bucket's steps are those of walks from every time."""
+    rng = random.Random(5)
+    t, rows = 0, []
+    for i in range(900):
+        t += rng.choice([0, 1, 3, 10, 59, 60, 61, 400])
+        rows.append(("s", "v", t, i))
+    df = spark.createDataFrame(rows, "source_id string, visitor_id string, t long, arrival long")
+    last, want = None, []
+    for _, _, t, i in rows:
+        if last is None or t - last >= 60:
+            last = t
+            want.append(i)
+    for length in (None, 60, 61, 1000, 10_000_000):
+        candidates = df if length is None else df.withColumn("bucket", F.floor(F.col("t") / length))
+        assert sorted(r["arrival"] for r in cadence_gate(candidates, 60, length).collect()) == want
+    times = np.array(sorted(rng.randrange(1000) for _ in range(200)))
+    entries, exits = gate_steps(times, 0, 60)
+    for x in range(60):
+        last = None
+        for t in times.tolist():
+            if t >= (x if last is None else last + 60):
+                last = t
+        assert exits[np.searchsorted(entries, x)] == last
+
+
 def test_window_edges(spark):
     rows = [("a", 0, "/", "GET", 200, True), ("a", 300, "/", "GET", 200, True), ("a", 300, "/", "GET", 200, True), ("a", 600.000001, "/", "GET", 200, True)]
     counts = [r["window_count"] for r in with_window_counts(events_of(spark, rows), SPEC).orderBy("arrival").collect()]
@@ -117,8 +176,17 @@ def test_registry(spark):
     assert registry_hash(REGISTRY[:8]) != registry_hash()
     with pytest.raises(ValueError):
         transformed(F.lit(1.0), "sqrt")
-    e = spark.range(1).select(entropy(F.array().cast("array<string>")), entropy(F.array(F.lit("a"))), entropy(F.array(*map(F.lit, "aabb")))).first()
-    assert list(e) == [0.0, 0.0, 1.0]
+
+
+@pytest.mark.parametrize("running", [16, 0])
+def test_method_entropy(monkeypatch, running):
+    """By running sums and by the windows' own events, in portions."""
+    monkeypatch.setattr(features, "RUNNING_METHODS", running)
+    monkeypatch.setattr(features, "CELLS", 3)
+    codes = np.array([0, 0, 0, 1, 1, 2, 0, 1])
+    got = features._method_entropy(codes, 3, np.array([0, 1, 1, 0]), np.array([2, 5, 6, 8]))
+    assert np.allclose(got, [0, 1, -(0.8 * math.log2(0.4) + 0.2 * math.log2(0.2)), -(0.5 * math.log2(0.5) + 0.375 * math.log2(0.375) + 0.125 * math.log2(0.125))])
+    assert features._method_entropy(codes[:0], 0, np.zeros(0, int), np.zeros(0, int)).tolist() == []
 
 
 @pytest.mark.parametrize("values", [[5.0], [1.0, 1.0], [3.0, 1.0, 2.0], [float(i % 7) for i in range(50)], [random.Random(1).random() for _ in range(731)]])

@@ -1,4 +1,4 @@
-"""The feature registry: nine features of a trailing window, each with a transform and an aggregate."""
+"""The feature registry: nine features of a trailing window, each with a transform; operators/features.py computes them."""
 
 from __future__ import annotations
 
@@ -21,12 +21,11 @@ PREDICATES: dict[str, Callable[[], Column]] = {
 
 @dataclass(frozen=True)
 class Feature:
-    """name to event_filter identify the feature; column aggregates the events of a window, null where undefined."""
+    """What identifies a feature: its name, what it measures of the events in a window, and the transform before binning."""
 
     name: str
     kind: str
     transform: str
-    column: Callable[[], Column]
     field: str = ""
     numerator: str = ""
     denominator: str = ""
@@ -36,36 +35,20 @@ class Feature:
         return (self.name, self.kind, self.transform, self.field, self.numerator, self.denominator, self.event_filter)
 
 
-def _share(name: str) -> Callable[[], Column]:
-    return lambda: F.avg(F.coalesce(PREDICATES[name](), F.lit(False)).cast("int"))
-
-
-def _spread() -> Column:
-    gaps, mean = F.count("gap_ms"), F.avg("gap_ms")
-    return F.when((gaps >= 2) & (mean != 0), F.try_divide(F.stddev_pop("gap_ms"), mean))
-
-
 REGISTRY = (
-    Feature("window_request_count", "count", LOG1P, lambda: F.count("*").cast("double")),
-    Feature("window_span_seconds", "numeric", LOG1P, lambda: (F.max("t") - F.min("t")) / 1e6),
-    Feature("mean_inter_request_gap_ms", "numeric", LOG1P, lambda: F.avg("gap_ms"), event_filter="is_html"),
-    Feature("inter_request_gap_cv", "numeric", IDENTITY, _spread, event_filter="is_html"),
-    Feature("distinct_endpoints_hit", "distinct_count", LOG1P, lambda: F.size(F.collect_set("endpoint")).cast("double"), field="uri"),
-    Feature("html_to_asset_ratio", "ratio", IDENTITY, _share("is_html"), numerator="is_html", denominator="window_request_count"),
-    Feature("error_4xx_rate", "ratio", IDENTITY, _share("is_4xx_response"), numerator="is_4xx_response", denominator="window_request_count"),
-    Feature("method_entropy", "entropy", IDENTITY, lambda: entropy(F.collect_list("http_method")), field="http_method"),
-    Feature("has_referrer_ratio", "ratio", IDENTITY, _share("has_referrer"), numerator="has_referrer", denominator="window_request_count"),
+    Feature("window_request_count", "count", LOG1P),
+    Feature("window_span_seconds", "numeric", LOG1P),
+    Feature("mean_inter_request_gap_ms", "numeric", LOG1P, event_filter="is_html"),
+    Feature("inter_request_gap_cv", "numeric", IDENTITY, event_filter="is_html"),
+    Feature("distinct_endpoints_hit", "distinct_count", LOG1P, field="uri"),
+    Feature("html_to_asset_ratio", "ratio", IDENTITY, numerator="is_html", denominator="window_request_count"),
+    Feature("error_4xx_rate", "ratio", IDENTITY, numerator="is_4xx_response", denominator="window_request_count"),
+    Feature("method_entropy", "entropy", IDENTITY, field="http_method"),
+    Feature("has_referrer_ratio", "ratio", IDENTITY, numerator="has_referrer", denominator="window_request_count"),
 )
 NAMES = tuple(f.name for f in REGISTRY)
 
 
-def entropy(values: Column) -> Column:
-    """Shannon entropy in bits of an array's values; 0 for an empty one."""
-    distinct = F.array_sort(F.array_distinct(values))
-    share = F.transform(distinct, lambda v: F.size(F.filter(values, lambda x: x == v)) / F.size(values))
-    return F.when(F.size(values) == 0, 0.0).otherwise(F.aggregate(share, F.lit(0.0), lambda acc, p: acc - p * F.log2(p)))
-
-
 def registry_hash(registry: tuple[Feature, ...] = REGISTRY) -> str:
     """SHA-256 over the identities, each field behind its length in eight bytes."""
     h = hashlib.sha256()

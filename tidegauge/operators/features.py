@@ -2,32 +2,202 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.functions.features import REGISTRY
-from tidegauge.operators.windows import VISITOR, window_members
+from tidegauge.functions.features import NAMES, PREDICATES
+from tidegauge.operators.windows import BUCKET, VISITOR, bucket_micros, in_bucket, with_guests
 from tidegauge.schemas import WindowSpec
 
+#: Rows that are looked at together; a window that is larger is held whole.
+CHUNK_ROWS = 1 << 16
+#: (window, event) cells that are counted together.
+CELLS = 1 << 21
+#: Up to so many methods are counted by running sums, more by the windows' own events.
+RUNNING_METHODS = 16
+FLAGS = tuple(PREDICATES)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], spec: WindowSpec) -> Iterator[tuple[pa.Table, int]]:
+    """Tables of sorted rows, and how many of each were in the table before: what the windows that end later may still hold.
+
+    A table has at least as many new rows as old ones, so every row is looked at a bounded number of times.
+    """
+    old: pa.Table | None = None
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < max(CHUNK_ROWS, old.num_rows if old else 0):
+            continue
+        yield (block := _joined(old, held)), old.num_rows if old else 0
+        old, held = _tail(block, spec), []
+    if held:
+        yield _joined(old, held), old.num_rows if old else 0
+
+
+def _joined(old: pa.Table | None, held: list[pa.RecordBatch]) -> pa.Table:
+    new = pa.Table.from_batches(held)
+    return (pa.concat_tables([old, new]) if old else new).combine_chunks()
+
+
+def _tail(block: pa.Table, spec: WindowSpec) -> pa.Table:
+    """The last group's rows that a window which ends at the last row or later may hold."""
+    groups, t = _groups(block), block.column("t").to_numpy()
+    first = int(np.searchsorted(groups, groups[-1]))
+    return block.slice(first + int(np.searchsorted(t[first:], t[-1] - spec.length_micros)))
+
+
+def _groups(block: pa.Table) -> np.ndarray:
+    """The number of each row's bucket in the block."""
+    first = np.zeros(block.num_rows, np.int64)
+    for c in BUCKET:
+        a = block.column(c).combine_chunks()
+        a = a.dictionary_encode().indices.fill_null(-1).to_numpy() if pa.types.is_string(a.type) else a.to_numpy()
+        first[1:] |= a[1:] != a[:-1]
+    return np.cumsum(first)
+
+
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, int]:
+    """A number for each value and how many values there are; nulls are a value."""
+    encoded = column.combine_chunks().dictionary_encode(null_encoding="encode")
+    return encoded.indices.to_numpy().astype(np.int64), len(encoded.dictionary)
+
 
-def with_page_gaps(events: DataFrame) -> DataFrame:
-    """events with page_t: for a page, the time of the visitor's page before it.
+def _earlier(codes: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """For each row the row before it in its bucket that has the same code, -1 if there is none."""
+    order = np.lexsort((np.arange(len(codes)), codes, groups))
+    out = np.full(len(codes), -1)
+    same = (codes[order][1:] == codes[order][:-1]) & (groups[order][1:] == groups[order][:-1])
+    out[order[1:][same]] = order[:-1][same]
+    return out
 
-    The page before is the same in every window that holds both, so gaps need no pass over the joined windows.
+
+def _running(x: np.ndarray) -> np.ndarray:
+    return np.append(0, np.cumsum(x))
+
+
+def _cells(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Windows in portions of some CELLS events: their slice, the rows of their events, and where each window's rows begin."""
+    size = high - low
+    ends = np.cumsum(size)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // CELLS)) + 1).tolist(), len(size)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            at = np.append(0, np.cumsum(size[a:b]))
+            yield slice(a, b), np.arange(at[-1]) + np.repeat(low[a:b] - at[:-1], size[a:b]), at
+
+
+def _entropy(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Shannon entropy in bits of each row of counts."""
+    p = counts / total[:, None]
+    return -np.where(counts > 0, p * np.log2(np.where(counts > 0, p, 1)), 0).sum(axis=1) + 0.0
+
+
+def _method_entropy(codes: np.ndarray, n_codes: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(low))
+    if len(low) and n_codes <= RUNNING_METHODS:
+        counts = np.stack([(r := _running(codes == m))[high] - r[low] for m in range(n_codes)], axis=1)
+        return _entropy(counts, high - low)
+    for part, rows, at in _cells(low, high):
+        of = np.repeat(np.arange(part.stop - part.start), np.diff(at))
+        cell, n = np.unique(of * n_codes + codes[rows], return_counts=True)
+        window = cell // n_codes
+        p = n / np.diff(at)[window]
+        out[part] = -np.bincount(window, p * np.log2(p), part.stop - part.start) + 0.0
+    return out
+
+
+def _spreads(gap: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The coefficient of variation of each run of gaps, nan below two gaps or for a mean of zero; sums are exact integers."""
+    high, low = gap >> 20, gap & 0xFFFFF
+    squares = [_running(x) for x in (high * high, high * low, low * low)]
+    sums = _running(gap)
+    out = np.full(len(first), np.nan)
+    for i in np.flatnonzero(last - first >= 2):
+        a, b = first[i], last[i]
+        n, total = int(b - a), int(sums[b] - sums[a])
+        hh, hl, ll = (int(s[b] - s[a]) for s in squares)
+        if total:
+            out[i] = max(0, n * ((hh << 40) + (hl << 21) + ll) - total * total) ** 0.5 / total
+    return out
+
+
+def window_values(block: pa.Table, old: int, spec: WindowSpec) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The sample rows of a block beyond the old ones, and the nine features of their windows; nan where undefined.
+
+    Rows are sorted by bucket and time, an event before the sample that it is; a window is a run of events, so most features
+    are differences of running sums. An endpoint is new in a window if its earlier event lies before the window.
     """
-    before = Window.partitionBy(*VISITOR).orderBy("t", "arrival").rowsBetween(Window.unboundedPreceding, -1)
-    page = F.col("resource_type") == "html"
-    return events.withColumn("page_t", F.when(page, F.last(F.when(page, F.col("t")), ignorenulls=True).over(before)))
+    t, sample, groups = block.column("t").to_numpy(), block.column("sample").to_numpy(), _groups(block)
+    events = np.flatnonzero(sample == 0)
+    ends = np.flatnonzero(sample == 1)
+    ends = ends[ends >= old]
+    te, ge = t[events], groups[events]
+    # Times of one bucket, guests included, span less than two bucket lengths: (bucket, time) is one increasing number.
+    stride = 2 * bucket_micros(spec)
+    base = np.zeros(groups[-1] + 1, np.int64)
+    begins = np.flatnonzero(np.diff(groups, prepend=-1))
+    base[groups[begins]] = t[begins]
+    line = ge * stride + te - base[ge]
+    low = np.searchsorted(line, groups[ends] * stride + np.maximum(t[ends] - spec.length_micros - base[groups[ends]], 0))
+    high = np.searchsorted(events, ends)
+    n = high - low
+    flag = {c: _running(block.column(c).to_numpy(zero_copy_only=False)[events].astype(bool)) for c in FLAGS}
+    share = {c: (flag[c][high] - flag[c][low]) / n for c in FLAGS}
+    pages = np.flatnonzero(np.diff(flag["is_html"]))
+    tp = te[pages]
+    # Gap k is between pages k and k + 1; inside a window both pages are of its bucket.
+    first, last = np.searchsorted(pages, low), np.searchsorted(pages, high) - 1
+    gaps = np.maximum(last - first, 0)
+    mean = np.full(len(ends), np.nan)
+    some = gaps > 0
+    mean[some] = (tp[last[some]] - tp[first[some]]) / gaps[some] / 1000
+    gap = np.where(np.diff(ge[pages]) == 0, np.diff(tp), 0)
+    earlier = _earlier(_codes(block.column("endpoint").take(pa.array(events)))[0], ge)
+    distinct = np.zeros(len(ends), np.int64)
+    for part, rows, at in _cells(low, high):
+        distinct[part] = np.add.reduceat((earlier[rows] < np.repeat(low[part], np.diff(at))).astype(np.int64), at[:-1])
+    codes, n_codes = _codes(block.column("http_method").take(pa.array(events)))
+    return ends, [
+        n.astype(float),
+        (te[high - 1] - te[low]) / 1e6,
+        mean,
+        _spreads(gap, first, first + gaps),
+        distinct.astype(float),
+        share["is_html"],
+        share["is_4xx_response"],
+        _method_entropy(codes, n_codes, low, high),
+        share["has_referrer"],
+    ]
 
 
 def window_features(samples: DataFrame, events: DataFrame, spec: WindowSpec) -> DataFrame:
     """source_id, visitor_id, event_id, t, arrival and the nine features of each sample; undefined ones are null.
 
-    events: the history that windows may hold. It is grouped once by sample; gaps count if both pages are in the window.
+    events: the history that windows may hold, the samples among them. Events go to their time bucket and, if a window of the
+    next bucket may hold them, to that one too; samples go to theirs. So every window lies in one group, events are shuffled
+    twice at most, however many windows hold them, and sorted rows stream through running sums; a gap counts if both of its
+    pages are in the window. A task holds the events of a window and a chunk of rows.
     """
-    columns = [*VISITOR, "t", "arrival", "resource_type", "status_code", "referrer_present", "http_method", "endpoint", "page_t"]
-    members = window_members(samples, with_page_gaps(events).select(*columns), spec)
-    gap = F.when(F.col("page_t") >= F.col("end_t") - spec.length_micros, (F.col("t") - F.col("page_t")) / 1000)
-    keys = [*VISITOR, F.col("sample_id").alias("event_id"), F.col("end_t"), F.col("end_arrival")]
-    grouped = members.withColumn("gap_ms", gap).groupBy(*keys).agg(*(f.column().alias(f.name) for f in REGISTRY))
-    return grouped.withColumnsRenamed({"end_t": "t", "end_arrival": "arrival"})
+    flags = {name: F.coalesce(predicate(), F.lit(False)).alias(name) for name, predicate in PREDICATES.items()}
+    members = events.select(*VISITOR, "t", "arrival", "endpoint", "http_method", *flags.values())
+    spread = with_guests(members, spec, ("t", "arrival", "endpoint", "http_method", *FLAGS)).drop("guest").withColumn("sample", F.lit(0))
+    ends = samples.select(*VISITOR, "t", "arrival", "event_id", in_bucket(F.col("t"), bucket_micros(spec)).alias("bucket"), F.lit(1).alias("sample"))
+    rows = spread.unionByName(ends, allowMissingColumns=True).repartition(*BUCKET).sortWithinPartitions(*BUCKET, "t", "arrival", "sample")
+    out = (*VISITOR, "event_id", "t", "arrival")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, old in _blocks(batches, spec):
+            at, values = window_values(block, old, spec)
+            own = block.select(out).take(pa.array(at)).combine_chunks()
+            columns = [own.column(c).chunk(0) if len(at) else pa.array([], own.schema.field(c).type) for c in out]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v, mask=np.isnan(v)) for v in values)], names=[*out, *NAMES])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in out)
+    return rows.mapInArrow(run, f"{kinds}, {', '.join(f'{n} double' for n in NAMES)}")

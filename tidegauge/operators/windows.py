@@ -1,4 +1,9 @@
-"""Trailing windows per visitor, late events and cadence gates."""
+"""Trailing windows per visitor, late events and cadence gates.
+
+Everything here works on time buckets of a visitor, never on the visitor as a whole: a bucket holds the events of a span of
+time, summaries of one row a bucket carry what later or earlier buckets must know. So a visitor with a third of all events
+is as many groups as it has busy buckets.
+"""
 
 from __future__ import annotations
 
@@ -12,56 +17,161 @@ from pyspark.sql import functions as F
 from tidegauge.schemas import WindowSpec
 
 VISITOR = ("source_id", "visitor_id")
+BUCKET = (*VISITOR, "bucket")
+DAY_MICROS = 86_400_000_000
+
+
+def bucket_micros(spec: WindowSpec) -> int:
+    """The length of the time buckets for windows of this spec: a window lies in one bucket or in it and the end of the one before."""
+    return 2 * spec.length_micros
+
+
+def in_bucket(t: Column, length: int) -> Column:
+    return F.floor(t / F.lit(length)).cast("long")
 
 
-def mark_late(events: DataFrame, arrival: str = "arrival") -> DataFrame:
-    """events with late: the event is older than one of the same visitor that arrived before; equal times are not late."""
-    before = Window.partitionBy(*VISITOR).orderBy(arrival, "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("late", F.coalesce(F.col("t") < F.max("t").over(before), F.lit(False)))
+def with_guests(events: DataFrame, spec: WindowSpec, guest_columns: tuple[str, ...] = ("t",)) -> DataFrame:
+    """events with bucket and guest: each event in its own bucket, and again, as a guest with only guest_columns, in the next
+    one if a window that ends there may hold it. A bucket with its guests holds all windows that end in it."""
+    length = bucket_micros(spec)
+    own = in_bucket(F.col("t"), length)
+    reach = F.when(F.col("t") >= (own + 1) * length - spec.length_micros, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    spread = events.withColumn("_ahead", F.explode(reach))
+    kept = {*VISITOR, *guest_columns}
+    columns = [F.col(c) if c in kept else F.when(F.col("_ahead") == 0, F.col(c)).alias(c) for c in events.columns]
+    return spread.select(*columns, (own + F.col("_ahead")).alias("bucket"), (F.col("_ahead") == 1).alias("guest"))
+
+
+def mark_late(events: DataFrame, arrival: str = "arrival", bucket: int = DAY_MICROS) -> DataFrame:
+    """events with late: the event is older than one of the same visitor that arrived before; equal times are not late.
+
+    Turned round, an event is late if the first arrival among the visitor's newer events comes before its own: in its bucket
+    by a running minimum from the newest event on, over newer buckets by one carried row for each bucket.
+    """
+    dealt = events.withColumn("bucket", in_bucket(F.col("t"), bucket))
+    place = F.struct(F.col(arrival).alias("a"), F.col("event_id").alias("e"))
+    firsts = dealt.groupBy(*BUCKET).agg(F.min(place).alias("first"))
+    newer_buckets = Window.partitionBy(*VISITOR).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = firsts.select(*BUCKET, F.min("first").over(newer_buckets).alias("carried"))
+    newer = Window.partitionBy(*BUCKET).orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, -1)
+    inside = dealt.withColumn("_newer", F.min(place).over(newer)).join(carried, list(BUCKET))
+    late = F.coalesce(F.least("_newer", "carried") < place, F.lit(False))
+    return inside.withColumn("late", late).select(*events.columns, "late")
 
 
 def with_window_counts(events: DataFrame, spec: WindowSpec) -> DataFrame:
-    """events with window_count, the visitor's events in [t - length, t] up to this one in (t, arrival) order, and eligible.
+    """events with window_count, the visitor's events in [t - length, t] up to this one in (t, arrival) order, eligible and bucket.
 
     A RANGE frame would also count later events of the same instant; the row number minus what has left the window doesn't.
     """
-    visitor = Window.partitionBy(*VISITOR)
-    place = F.row_number().over(visitor.orderBy("t", "arrival"))
-    gone = F.count("*").over(visitor.orderBy("t").rangeBetween(Window.unboundedPreceding, -spec.length_micros - 1))
-    counted = events.withColumn("window_count", (place - gone).cast("long"))
+    place = F.row_number().over(Window.partitionBy(*BUCKET).orderBy("t", "arrival"))
+    gone = F.count("*").over(Window.partitionBy(*BUCKET).orderBy("t").rangeBetween(Window.unboundedPreceding, -spec.length_micros - 1))
+    counted = with_guests(events, spec).withColumn("window_count", (place - gone).cast("long")).where("not guest").drop("guest")
     return counted.withColumn("eligible", F.col("window_count") >= spec.min_events)
 
 
-def cadence_gate(candidates: DataFrame, cadence_micros: int) -> DataFrame:
+def _edges(batch: pa.RecordBatch, keys: tuple[str, ...]) -> list[int]:
+    """Where the key of a row differs from that of the row before, 0 and the end included."""
+    first = np.zeros(batch.num_rows, bool)
+    first[:1] = True
+    for c in keys:
+        a = batch.column(c).to_numpy(zero_copy_only=False)
+        first[1:] |= a[1:] != a[:-1]
+    return [*np.flatnonzero(first).tolist(), batch.num_rows]
+
+
+def _key(batch: pa.RecordBatch, keys: tuple[str, ...], i: int) -> tuple:
+    return tuple(batch.column(c)[i].as_py() for c in keys)
+
+
+def gate_steps(times: np.ndarray, start: int, cadence: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a bucket does to the gate, as a step function.
+
+    times: the bucket's sorted candidates. If the gate may open from time x on, and x is at most entries[k] but above
+    entries[k - 1], then exits[k] is the last opening in the bucket; above all entries the bucket has none. x is below start
+    + cadence, so only the candidates up to the first one from there on can be the first opening. All their walks go on
+    together; a step is a cadence or more, so there are few.
+    """
+    n = len(times)
+    at = np.arange(min(n, int(np.searchsorted(times, start + cadence)) + 1))
+    entries = times[at]
+    following = np.searchsorted(times, times + cadence)
+    open_ = np.arange(len(at))
+    while len(open_):
+        to = following[at[open_]]
+        open_ = open_[to < n]
+        at[open_] = to[to < n]
+    exits = times[at]
+    last = np.append(exits[1:] != exits[:-1], True)
+    return entries[last], exits[last]
+
+
+def _bucket_steps(candidates: DataFrame, cadence: int, length: int) -> DataFrame:
+    """(visitor, bucket, entries, exits): gate_steps of every bucket. Collected are the times of one visitor's bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            times, buckets = batch.column("times"), batch.column("bucket").to_numpy()
+            flat, at = times.flatten().to_numpy(), np.append(0, np.cumsum(times.value_lengths().to_numpy()))
+            steps = [gate_steps(flat[a:b], int(k) * length, cadence) for a, b, k in zip(at, at[1:], buckets)]
+            columns = [pa.array([s[i] for s in steps], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in BUCKET), *columns], names=[*BUCKET, "entries", "exits"])
+
+    grouped = candidates.groupBy(*BUCKET).agg(F.sort_array(F.collect_list("t")).alias("times"))
+    return grouped.mapInArrow(run, f"{_ddl(candidates, BUCKET)}, entries array<long>, exits array<long>")
+
+
+def _ddl(df: DataFrame, columns: tuple[str, ...]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def _entry_states(steps: DataFrame, cadence: int) -> DataFrame:
+    """(visitor, bucket, t): the last opening before each bucket, null before the first one. A row a bucket, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        visitor, last = None, None
+        for batch in batches:
+            edges = set(_edges(batch, VISITOR)) if batch.num_rows else set()
+            before: list[int | None] = []
+            for i, (entries, exits) in enumerate(zip(batch.column("entries").to_pylist(), batch.column("exits").to_pylist())):
+                if i in edges and (own := _key(batch, VISITOR, i)) != visitor:
+                    visitor, last = own, None
+                before.append(last)
+                k = 0 if last is None else int(np.searchsorted(entries, last + cadence))
+                if k < len(exits):
+                    last = exits[k]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in BUCKET), pa.array(before, pa.int64())], names=[*BUCKET, "t"])
+
+    return steps.repartition(*VISITOR).sortWithinPartitions(*BUCKET).mapInArrow(run, f"{_ddl(steps, BUCKET)}, t long")
+
+
+def cadence_gate(candidates: DataFrame, cadence_micros: int, length: int | None = None) -> DataFrame:
     """The candidates that open the gate: a visitor's first, then each that is cadence or more after the last one opened.
 
-    A candidate that is cadence or more after the previous candidate opens the gate whatever came before, so it begins a
-    chain that doesn't depend on the rest. Chains are dealt out, so one busy visitor is many tasks; inside a chain the rows
-    stream in order and only the last opening is kept.
+    The gate is sequential, yet a bucket's part in it is a step function from the last opening before the bucket to the last
+    one inside (gate_steps). The functions, a few numbers a bucket, are applied one after another for each visitor; then
+    every bucket knows its own beginning and is walked by itself. candidates may have their bucket, of the given length.
     """
-    order = Window.partitionBy(*VISITOR).orderBy("t", "arrival")
-    starts = F.coalesce(F.col("t") - F.lag("t").over(order) >= cadence_micros, F.lit(True)).cast("long")
-    chained = candidates.withColumn("chain", F.sum(starts).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    dealt = chained.repartition(*VISITOR, "chain").sortWithinPartitions(*VISITOR, "chain", "t", "arrival")
+    if length is None:
+        length = 16 * cadence_micros
+        candidates = candidates.withColumn("bucket", in_bucket(F.col("t"), length))
+    states = _entry_states(_bucket_steps(candidates, cadence_micros, length), cadence_micros)
+    # A bucket's state is a row ahead of its candidates, so they need no join.
+    rows = candidates.withColumn("_state", F.lit(1)).unionByName(states.withColumn("_state", F.lit(0)), allowMissingColumns=True)
+    dealt = rows.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "_state", "t", "arrival")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last = None, None
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = pa.StructArray.from_arrays([batch.column(c) for c in (*VISITOR, "chain")], names=["s", "v", "c"])
-            t = batch.column("t").to_numpy()
-            first = np.zeros(len(t), bool)
-            first[0] = True
-            for c in (*VISITOR, "chain"):
-                a = batch.column(c).to_numpy(zero_copy_only=False)
-                first[1:] |= a[1:] != a[:-1]
-            edges = [*np.flatnonzero(first).tolist(), len(t)]
+            t, state = batch.column("t").fill_null(0).to_numpy(), batch.column("_state").to_numpy()
+            edges = _edges(batch, BUCKET)
             kept: list[int] = []
             for a, b in zip(edges, edges[1:]):
-                own = ids[a].as_py()
-                if own != key:
-                    key, last = own, None
+                if not state[a]:  # a bucket begins; one without it goes on from the batch before
+                    last = batch.column("t")[a].as_py()
+                    a += 1
                 i = a if last is None else a + int(np.searchsorted(t[a:b], last + cadence_micros))
                 while i < b:
                     kept.append(i)
@@ -69,33 +179,16 @@ def cadence_gate(candidates: DataFrame, cadence_micros: int) -> DataFrame:
                     i = a + int(np.searchsorted(t[a:b], last + cadence_micros))
             yield batch.take(pa.array(kept, pa.int64()))
 
-    return dealt.mapInArrow(run, dealt.schema).drop("chain")
+    return dealt.mapInArrow(run, dealt.schema).drop("_state", "bucket")
 
 
 def fit_samples(events: DataFrame, spec: WindowSpec, since: Column | None = None) -> DataFrame:
     """The windows that a fit samples: eligible ones, from since on, that open the gate. Others leave the gate as it is."""
     counted = with_window_counts(events, spec).where("eligible")
-    return cadence_gate(counted.where(since) if since is not None else counted, spec.cadence_micros)
+    return cadence_gate(counted.where(since) if since is not None else counted, spec.cadence_micros, bucket_micros(spec))
 
 
 def serve_samples(events: DataFrame, spec: WindowSpec, since: Column | None = None) -> DataFrame:
     """The windows that the detector evaluates: all events that aren't late pass the gate, eligible or not."""
-    counted = with_window_counts(mark_late(events).where("not late"), spec)
-    return cadence_gate(counted.where(since) if since is not None else counted, spec.cadence_micros)
-
-
-def window_members(samples: DataFrame, events: DataFrame, spec: WindowSpec) -> DataFrame:
-    """Each sample with the events of its window: those of the visitor in [end - length, end], none after the sample.
-
-    An equi-join on time buckets of the window's length: a sample goes to its own bucket and the one before.
-    """
-    length = spec.length_micros
-    ends = samples.select(
-        *VISITOR,
-        F.col("event_id").alias("sample_id"),
-        F.col("t").alias("end_t"),
-        F.col("arrival").alias("end_arrival"),
-        F.explode(F.array(F.floor(F.col("t") / length), F.floor(F.col("t") / length) - 1)).alias("bucket"),
-    )
-    inside = (F.col("t") >= F.col("end_t") - length) & ((F.col("t") < F.col("end_t")) | ((F.col("t") == F.col("end_t")) & (F.col("arrival") <= F.col("end_arrival"))))
-    return ends.join(events.withColumn("bucket", F.floor(F.col("t") / length)), [*VISITOR, "bucket"]).where(inside)
+    counted = with_window_counts(mark_late(events, bucket=bucket_micros(spec)).where("not late"), spec)
+    return cadence_gate(counted.where(since) if since is not None else counted, spec.cadence_micros, bucket_micros(spec))
