@@ -73,6 +73,20 @@ def test_check_fires(tables, name):
     assert quality.CHECKS[name](broken).limit(1).count() == 1
 
 
+def test_report_counts_what_the_checks_find(tables):
+    """In our own tables, and where several tables are broken at once."""
+    own = {r["check_name"]: r["violations"] for r in quality.quality_report(tables).collect()}
+    assert own == dict.fromkeys(quality.CHECKS, 0)
+    for names in (("Q0", "Q4", "Q8", "Q10", "Q14", "Q23"), ("Q1", "Q0b", "Q3", "Q7", "Q11", "Q19", "Q24"), ("Q2", "Q6", "Q15", "Q17", "Q22"), ("Q5", "Q9", "Q12", "Q20"), ("Q13", "Q16", "Q18", "Q21")):
+        broken = tables
+        for name in names:
+            table, breaks = PLANTED[name]
+            broken = replace(broken, **{table: breaks(getattr(broken, table))})
+        want = {name: check(broken).count() for name, check in quality.CHECKS.items()}
+        assert all(want[n] for n in names)
+        assert {r["check_name"]: r["violations"] for r in quality.quality_report(broken).collect()} == want
+
+
 def test_export_and_dashboard(spark, tables, tmp_path):
     path = str(tmp_path / "export")
     export_mart(tables.mart, path)

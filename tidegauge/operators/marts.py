@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.schemas import ACTIONS, RISK_LEVELS
@@ -60,27 +60,63 @@ def decisions_with_event_date(decisions: DataFrame, staged: DataFrame) -> DataFr
 
 
 def daily_outcomes(dated: DataFrame) -> DataFrame:
-    """Counts by status, risk and action, and average, exact quantiles and maximum of the scores, by source and day."""
+    """Counts by status, risk and action, and average, exact quantiles and maximum of the scores, by source and day.
+
+    Decisions are first counted by day and score, of which there are no more than the baseline has quantiles, partly before
+    the shuffle; running counts over the distinct scores then give the quantiles. No buffer holds a day's scores.
+    """
     scored, score = F.col("status") == "scored", F.col("score_normalized")
-    value = F.when(scored, score)
-    return dated.groupBy(*DAY).agg(
-        F.count("*").alias("evaluated_window_count"),
-        *(F.count_if(F.col("status") == s).alias(f"{s}_window_count") for s in ("scored", "no_baseline", "insufficient_history")),
-        *(F.count_if(F.col("risk_level") == r).alias(f"{r}_risk_count") for r in RISK_LEVELS),
-        *(F.count_if(F.col("action") == a).alias(f"{a}_action_count") for a in ACTIONS),
-        F.avg(value).alias("average_normalized_score"),
-        F.percentile(value, 0.90).alias("p90_normalized_score"),
-        F.percentile(value, 0.99).alias("p99_normalized_score"),
-        F.max(value).alias("maximum_normalized_score"),
+    counts = {
+        "evaluated_window_count": F.count("*"),
+        **{f"{s}_window_count": F.count_if(F.col("status") == s) for s in ("scored", "no_baseline", "insufficient_history")},
+        **{f"{r}_risk_count": F.count_if(F.col("risk_level") == r) for r in RISK_LEVELS},
+        **{f"{a}_action_count": F.count_if(F.col("action") == a) for a in ACTIONS},
+    }
+    by_score = dated.groupBy(*DAY, F.when(scored, score).alias("value")).agg(*(c.alias(n) for n, c in counts.items()))
+    rows = F.when(F.col("value").isNotNull(), F.col("evaluated_window_count")).otherwise(0)
+    day = Window.partitionBy(*DAY)
+    placed = by_score.withColumn("n", rows).withColumn("upto", F.sum("n").over(day.orderBy("value"))).withColumn("all", F.sum("n").over(day))
+    at = lambda k: F.max(F.when((F.col("upto") - F.col("n") <= k) & (k < F.col("upto")), F.col("value")))
+
+    def quantile(p: float) -> Column:
+        """Linear between the two nearest places of p (n - 1)."""
+        place = F.lit(p) * (F.col("all") - 1)
+        low, high, share = F.floor(place), F.ceil(place), place - F.floor(place)
+        return at(low) + F.max(share) * (at(high) - at(low))
+
+    return placed.groupBy(*DAY).agg(
+        *(F.sum(n).alias(n) for n in counts),
+        F.try_divide(F.sum(F.col("value") * F.col("n")), F.sum("n")).alias("average_normalized_score"),
+        quantile(0.90).alias("p90_normalized_score"),
+        quantile(0.99).alias("p99_normalized_score"),
+        F.max("value").alias("maximum_normalized_score"),
     )
 
 
-def usage_segments(dated: DataFrame, runs: DataFrame) -> DataFrame:
-    """Runs of consecutive decisions of a source and day under one baseline, with that baseline's context."""
-    order = Window.partitionBy(*DAY).orderBy("event_time", "decided_at", "decision_id")
-    backed = dated.where("baseline_run_id is not null").withColumn("previous", F.lag("baseline_run_id").over(order))
-    starts = F.when(F.col("previous").isNull() | ~F.col("baseline_run_id").eqNullSafe(F.col("previous")), 1).otherwise(0)
-    numbered = backed.withColumn("starts", starts).withColumn("segment_number", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long"))
+#: The part of a day in which decisions are numbered together.
+SEGMENT_MICROS = 600_000_000
+
+
+def usage_segments(dated: DataFrame, runs: DataFrame, length: int = SEGMENT_MICROS) -> DataFrame:
+    """Runs of consecutive decisions of a source and day under one baseline, with that baseline's context.
+
+    Decisions are numbered inside short spans of the day; one row a span has its first and last run id and the changes
+    inside, and over these rows the number of the span's first segment is carried on. A busy day is many groups. Decisions
+    without event have no day and are in order of their own time.
+    """
+    span = F.floor(F.unix_micros(F.coalesce("event_time", "decided_at")) / F.lit(length)).cast("long")
+    place = F.struct("event_time", "decided_at", "decision_id")
+    backed = dated.where("baseline_run_id is not null").withColumns({"span": span, "source": F.coalesce("source_id", F.lit("")), "day": F.coalesce("event_date", F.lit("0001-01-01").cast("date"))})
+    key = ("source", "day", "span")
+    inside = Window.partitionBy(*key).orderBy("event_time", "decided_at", "decision_id")
+    marked = backed.withColumn("change", F.coalesce(F.col("baseline_run_id") != F.lag("baseline_run_id").over(inside), F.lit(False)).cast("long"))
+    changed = marked.withColumn("changes", F.sum("change").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = changed.groupBy(*key).agg(F.min_by("baseline_run_id", place).alias("first"), F.max_by("baseline_run_id", place).alias("last"), F.max("changes").alias("inner"))
+    in_order = Window.partitionBy("source", "day").orderBy("span")
+    opens = F.when(F.col("first").eqNullSafe(F.lag("last").over(in_order)), 0).otherwise(1)
+    opened = spans.withColumn("opens", opens)
+    before = F.sum(F.col("opens") + F.col("inner")).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("inner")
+    numbered = changed.join(opened.select(*key, before.alias("first_number")), list(key)).withColumn("segment_number", (F.col("first_number") + F.col("changes")).cast("long"))
     segments = numbered.groupBy(*DAY, "segment_number", "baseline_run_id").agg(
         F.count("*").alias("baseline_usage_window_count"),
         F.count_if(F.col("status") == "scored").alias("scored_window_count"),
