@@ -79,7 +79,9 @@ def test_chunks_change_nothing(ranks, library):
     assert [d.decode() for _, _, d in got] == texts
 
 
-def test_replay_is_the_definition_also_where_a_merge_makes_a_lower_rank():
+@pytest.mark.parametrize("together", [1, 24])
+def test_replay_is_the_definition_also_where_a_merge_makes_a_lower_rank(monkeypatch, together):
+    monkeypatch.setattr(byte_bpe, "TOGETHER", together)
     random.seed(7)
     for trial in range(60):
         tokens = {"".join(random.choices("abc", k=random.randrange(2, 6))).encode() for _ in range(random.randrange(3, 40))}

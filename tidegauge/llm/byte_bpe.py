@@ -9,6 +9,7 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ SHARED_WORDS = 100_000
 #: Bytes of text whose words are looked at together, and bytes of words that are replayed together.
 SLICE_BYTES = 4 << 20
 REPLAY_BYTES = 8 << 20
+#: From so many places on, a rank's merges are one step over arrays.
+TOGETHER = 24
 #: Characters of the chunks that a worker remembers, in each of two memories; longer chunks are encoded where they occur.
 MEMO_CHUNK = 48
 MEMO_CHARS = 4 << 20
@@ -44,6 +47,18 @@ class Ranks:
         self.shown = {r: t for t, r in self.rank.items()}
         if any(bytes([b]) not in self.rank for b in range(256)):
             raise ValueError("every single byte needs a rank")
+        self.shift = max(self.shown).bit_length()
+        #: The rank of what two neighbouring symbols make, by both ids in one number; the same by two bytes as a table.
+        self.pair = {(x << self.shift) | y: r for t, r in self.rank.items() for k in range(1, len(t)) if (x := self.rank.get(t[:k])) is not None and (y := self.rank.get(t[k:])) is not None}
+        self.keys = np.array(sorted(self.pair))
+        self.made = np.array([self.pair[k] for k in self.keys.tolist()])
+        #: Ranks whose symbol may take part in a pair of lower rank; none in most trained tables.
+        self.early = {x for k, r in self.pair.items() for x in (k >> self.shift, k & ((1 << self.shift) - 1)) if r < x}
+        self.single = np.array([self.rank[bytes([b])] for b in range(256)])
+        self.double = np.full((256, 256), -1)
+        for t, r in self.rank.items():
+            if len(t) == 2:
+                self.double[t[0], t[1]] = r
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word: all merges in the order of their ranks, each at all its places in all words at once.
@@ -56,61 +71,96 @@ class Ranks:
         A merge may make a pair of lower rank than its own, which in its word comes before the rank's other places. Such a
         word, rare or none with trained ranks, is encoded alone.
         """
-        rank = self.rank
-        out: list = [None if (r := rank.get(w)) is None else [r] for w in words]
+        out: list = [None if (r := self.rank.get(w)) is None else [r] for w in words]
         todo = [i for i, ids in enumerate(out) if ids is None and words[i]]
-        # A symbol is the bytes it stands for; words are kept apart by empty places.
-        symbols: list[bytes | None] = []
-        first = []
-        for i in todo:
-            first.append(len(symbols))
-            symbols += [bytes((b,)) for b in words[i]]
-            symbols.append(None)
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        if not todo:
+            return [ids or [] for ids in out]
+        # A word's symbols are ids, -1 where one has been merged away and in the place behind each word.
+        sizes = np.array([len(words[i]) for i in todo])
+        first = np.append(0, np.cumsum(sizes + 1))
+        flat = np.frombuffer(b"\0".join([*(words[i] for i in todo), b""]), np.uint8)
+        start, inside = self.single[flat], np.ones(len(flat), bool)
+        inside[first[1:] - 1] = False
+        start[~inside] = -1
+        now_at = np.full(len(flat), -1)
+        now_at[:-1] = np.where(inside[:-1] & inside[1:], self.double[flat[:-1], flat[1:]], -1)
+        places = np.argsort(now_at, kind="stable")[int((now_at < 0).sum()) :]
+        cuts = np.flatnonzero(np.diff(now_at[places], prepend=-1)).tolist()
         index: dict[int, list[int]] = defaultdict(list)
-        for at in range(n - 1):
-            a, b = symbols[at], symbols[at + 1]
-            if a is not None and b is not None and (r := rank.get(a + b)) is not None:
-                index[r].append(at)
-        heap = sorted(index)
-        odd: list[int] = []
+        for a, b in zip(cuts, [*cuts[1:], len(places)]):
+            index[int(now_at[places[a]])] = places[a:b].tolist()
+        heap = list(index)  # ascending, so a heap
+        links = np.arange(-1, len(flat) - 1), np.arange(1, len(flat) + 1)
+        # The same memory for loops over few places and for steps over many.
+        symbols, makes, before, after = (memoryview(x) for x in (start, now_at, *links))
+        pair, shift, odd = self.pair.get, self.shift, []
         while heap:
             now = heappop(heap)
-            for left in sorted(index.pop(now, ())):
-                a = symbols[left]
-                if a is None:
+            places = index.pop(now, ())
+            if len(places) >= TOGETHER and now not in self.early and self._merge_together(now, places, start, now_at, *links, index, heap):
+                continue
+            for left in sorted(places):
+                if makes[left] != now:
                     continue
                 right = after[left]
-                b = symbols[right]
-                if b is None or rank.get(a + b) != now:
-                    continue
-                both = symbols[left] = a + b
-                symbols[right] = None
                 follow = after[left] = after[right]
-                before[follow] = left
-                if (c := symbols[follow]) is not None and (r := rank.get(both + c)) is not None:
+                symbols[left], symbols[right], makes[right], before[follow] = now, -1, -1, left
+                r = -1 if (c := symbols[follow]) < 0 else pair(now << shift | c, -1)
+                makes[left] = r
+                if r >= 0:
                     if r not in index:
                         heappush(heap, r)
                     index[r].append(left)
                     if r < now:
                         odd.append(left)
                 lead = before[left]
-                if lead >= 0 and (c := symbols[lead]) is not None and (r := rank.get(c + both)) is not None:
-                    if r not in index:
-                        heappush(heap, r)
-                    index[r].append(lead)
-                    if r < now:
-                        odd.append(left)
-        for i, at in zip(todo, first):
-            ids, end = [], at + len(words[i])
-            while at < end:
-                ids.append(rank[symbols[at]])
-                at = after[at]
-            out[i] = ids
+                if lead >= 0 and (c := symbols[lead]) >= 0:
+                    makes[lead] = r = pair(c << shift | now, -1)
+                    if r >= 0:
+                        if r not in index:
+                            heappush(heap, r)
+                        index[r].append(lead)
+                        if r < now:
+                            odd.append(left)
+        alive = start >= 0
+        ids, upto = start[alive].tolist(), np.append(0, np.cumsum(alive))[first].tolist()
+        for i, a, b in zip(todo, upto, upto[1:]):
+            out[i] = ids[a:b]
         for k in set((np.searchsorted(first, odd, side="right") - 1).tolist()) if odd else ():
             out[todo[k]] = self.encode_alone(words[todo[k]])
-        return [ids or [] for ids in out]
+        return [x or [] for x in out]
+
+    def _makes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What neighbouring symbols make, -1 for nothing."""
+        key = (a << self.shift) | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((a >= 0) & (b >= 0) & (self.keys[at] == key), self.made[at], -1)
+
+    def _merge_together(self, now: int, places: list[int], symbols, makes, before, after, index: dict[int, list[int]], heap: list[int]) -> bool:
+        """One rank's merges at many places in one step; False, with nothing done, where places overlap (aaa)."""
+        left = np.unique(places)
+        left = left[makes[left] == now]
+        right = after[left]
+        if (right[:-1] == left[1:]).any():
+            return False
+        follow = after[right]
+        after[left] = follow
+        before[follow] = left
+        symbols[left], symbols[right], makes[right] = now, -1, -1
+        makes[left] = self._makes(symbols[left], symbols[follow])
+        lead = before[left]
+        lead = lead[(lead >= 0) & (symbols[lead] >= 0)]
+        makes[lead] = self._makes(symbols[lead], np.full(len(lead), now))
+        touched = np.concatenate([left, lead])
+        made = makes[touched]
+        order = np.argsort(made, kind="stable")[int((made < 0).sum()) :]
+        cuts = np.flatnonzero(np.diff(made[order], prepend=-1)).tolist()
+        ranks, sorted_places = made[order][cuts].tolist(), touched[order].tolist()
+        for r, a, b in zip(ranks, cuts, [*cuts[1:], len(order)]):
+            if r not in index:
+                heappush(heap, r)
+            index[r] += sorted_places[a:b]
+        return True
 
     def encode_alone(self, word: bytes) -> list[int]:
         """One word by the definition: the lowest rank, leftmost, again and again."""
@@ -142,39 +192,52 @@ class Encoder:
 
     def __init__(self, ranks: Ranks, splitter: Splitter, shared: dict[str, list[int]], memo: int = MEMO_CHARS):
         self.ranks, self.splitter, self.shared, self.size = ranks, splitter, shared, memo
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.decimal = {i: b"%d" % i for i in ranks.shown}
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.held = 0
 
-    def word_ids(self, words: Iterable[str]) -> dict[str, list[int]]:
+    def word_ids(self, words: list[str]) -> list[list[int]]:
         """The ids of distinct words: of the shared table, or by a replay of at most REPLAY_BYTES (or one word) at a time."""
-        out, new, size = {}, [], 0
-        for w in words:
-            if (ids := self.shared.get(w)) is not None:
-                out[w] = ids
-                continue
-            new.append(w)
-            size += len(w)
-            if size >= REPLAY_BYTES // 4:
-                out.update(zip(new, self.ranks.replay([x.encode() for x in new])))
+        out = [self.shared.get(w) for w in words]
+        new: list[int] = []
+        size = 0
+        for i in [i for i, ids in enumerate(out) if ids is None] + [-1]:
+            if new and (i < 0 or size >= REPLAY_BYTES):
+                for k, ids in zip(new, self.ranks.replay([words[k].encode() for k in new])):
+                    out[k] = ids
                 new, size = [], 0
-        out.update(zip(new, self.ranks.replay([x.encode() for x in new])))
+            if i >= 0:
+                new.append(i)
+                size += 4 * len(words[i])
         return out
 
-    def learn(self, chunks: set[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Ids in decimal and decoded bytes of the chunks that aren't remembered; the long ones are only returned."""
-        known = {c: x for c in chunks if (x := self.old.get(c)) is not None}
-        split = {c: self.splitter.words(c) for c in chunks if c not in known}
-        ids = self.word_ids(set().union(*split.values()))
-        word = {w: (b" ".join([b"%d" % i for i in x]), self.ranks.decode(x)) for w, x in ids.items()}
-        found = {c: (b" ".join([word[w][0] for w in ws]), b"".join([word[w][1] for w in ws])) for c, ws in split.items()} | known
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids in decimal of the chunks that aren't remembered; the long ones are only returned.
+
+        The ids of every word are decoded here, and must give the word again.
+        """
+        found = {c: x for c in chunks if (x := self.old.get(c)) is not None} if self.old else {}
+        new = [c for c in chunks if c not in found]
+        split = list(map(self.splitter.words, new))
+        words = list(set().union(*split))
+        ids = self.word_ids(words)
+        if self.ranks.decode(chain.from_iterable(ids)) != "".join(words).encode():
+            raise ValueError("ids don't decode to their words")
+        of = self.decimal.__getitem__
+        decimal = {w: b" ".join(map(of, x)) for w, x in zip(words, ids)}.__getitem__
+        for c, ws in zip(new, split):
+            found[c] = decimal(ws[0]) if len(ws) == 1 else b" ".join(map(decimal, ws))
         short = {c: x for c, x in found.items() if len(c) <= MEMO_CHUNK}
         self.memo.update(short)
         self.held += sum(map(len, short))
         return {c: x for c, x in found.items() if len(c) > MEMO_CHUNK}
 
     def __call__(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
-        """For each text the number of ids, the ids as decimals joined by blanks, and the decoded bytes."""
+        """For each text the number of ids, the ids as decimals joined by blanks, and the decoded bytes.
+
+        A chunk's words make up the chunk, so what a text's ids decode to is its chunks.
+        """
         if self.held > self.size:
             self.memo, self.old, self.held = {}, self.memo, 0
         chunks = [self.splitter.chunks(t) for t in texts]
@@ -183,9 +246,8 @@ class Encoder:
         find = ({c: self.memo[c] for c in distinct if c not in long} | long if long else self.memo).__getitem__
         out = []
         for cs in chunks:
-            pairs = [find(c) for c in cs]
-            ids = b" ".join([p[0] for p in pairs])
-            out.append((ids.count(b" ") + 1 if ids else 0, ids, b"".join([p[1] for p in pairs])))
+            ids = b" ".join(map(find, cs))
+            out.append((ids.count(b" ") + 1 if ids else 0, ids, "".join(cs).encode()))
         return out
 
 
