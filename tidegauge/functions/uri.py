@@ -23,11 +23,31 @@ EXTENSIONS = {
     ".zip": "archive", ".gz": "archive", ".br": "archive", ".tar": "archive", ".rar": "archive", ".7z": "archive",
 }
 
-#: A pinned excerpt of the public media type registry, so that results don't depend on the machine.
+#: Media types of further extensions in the public registry of media types, pinned so that results don't depend
+#: on the machine.
 MEDIA_TYPES = {
-    ".xhtml": "application/xhtml+xml", ".jfif": "image/jpeg", ".heic": "image/heic", ".aac": "audio/aac",
-    ".flac": "audio/flac", ".mpeg": "video/mpeg", ".md": "text/markdown", ".rtf": "text/rtf", ".ics": "text/calendar",
-    ".jsonld": "application/ld+json", ".epub": "application/epub+zip", ".ttc": "font/collection", ".atom": "application/atom+xml",
+    ".xht": "application/xhtml+xml", ".xhtml": "application/xhtml+xml", ".shtml": "text/html",
+    ".geojson": "application/geo+json", ".jsonld": "application/ld+json", ".webmanifest": "application/manifest+json",
+    ".ecma": "application/ecmascript",
+    ".apng": "image/apng", ".cgm": "image/cgm", ".djvu": "image/vnd.djvu", ".dng": "image/x-adobe-dng", ".emf": "image/emf",
+    ".heic": "image/heic", ".heif": "image/heif", ".jfif": "image/jpeg", ".jp2": "image/jp2", ".jpe": "image/jpeg", ".jxl": "image/jxl",
+    ".pbm": "image/x-portable-bitmap", ".pcx": "image/vnd.zbrush.pcx", ".pgm": "image/x-portable-graymap", ".pnm": "image/x-portable-anymap",
+    ".ppm": "image/x-portable-pixmap", ".psd": "image/vnd.adobe.photoshop", ".svgz": "image/svg+xml", ".tga": "image/x-tga", ".wmf": "image/wmf",
+    ".ttc": "font/collection",
+    ".3gp": "video/3gpp", ".aac": "audio/aac", ".aif": "audio/x-aiff", ".aiff": "audio/x-aiff", ".amr": "audio/amr", ".au": "audio/basic",
+    ".flac": "audio/flac", ".flv": "video/x-flv", ".m3u": "audio/x-mpegurl", ".m4v": "video/x-m4v", ".mid": "audio/midi", ".midi": "audio/midi",
+    ".mka": "audio/x-matroska", ".mkv": "video/x-matroska", ".mp2": "audio/mpeg", ".mpe": "video/mpeg", ".mpeg": "video/mpeg", ".mpg": "video/mpeg",
+    ".oga": "audio/ogg", ".ogv": "video/ogg", ".opus": "audio/ogg", ".qt": "video/quicktime", ".ra": "audio/x-realaudio", ".weba": "audio/webm",
+    ".wma": "audio/x-ms-wma", ".wmv": "video/x-ms-wmv",
+    ".atom": "application/atom+xml", ".c": "text/x-csrc", ".conf": "text/plain", ".dtd": "application/xml-dtd", ".gpx": "application/gpx+xml",
+    ".ics": "text/calendar", ".java": "text/x-java", ".kml": "application/vnd.google-earth.kml+xml", ".log": "text/plain", ".markdown": "text/markdown",
+    ".md": "text/markdown", ".mml": "application/mathml+xml", ".py": "text/x-python", ".rdf": "application/rdf+xml", ".rss": "application/rss+xml",
+    ".rtf": "text/rtf", ".sgml": "text/sgml", ".tex": "text/x-tex", ".tsv": "text/tab-separated-values", ".vcf": "text/vcard", ".vtt": "text/vtt",
+    ".wsdl": "application/wsdl+xml", ".xsd": "application/xml", ".xsl": "application/xslt+xml", ".xslt": "application/xslt+xml",
+    ".dotx": "application/vnd.openxmlformats-officedocument.wordprocessingml.template",
+    ".ppsx": "application/vnd.openxmlformats-officedocument.presentationml.slideshow",
+    ".xltx": "application/vnd.openxmlformats-officedocument.spreadsheetml.template",
+    ".epub": "application/epub+zip", ".tgz": "application/gzip",
 }
 
 

@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.features import NAMES, REGISTRY, registry_hash, transformed
 from tidegauge.operators.materialize import broadcast_if_small, cut
 from tidegauge.operators.ranking import quantile_grid, value_ranks
-from tidegauge.operators.windows import fit_samples
+from tidegauge.operators.windows import DAY_MICROS, fit_samples
 from tidegauge.schemas import SCORE_QUANTILES, FitSpec, WindowSpec
 
 
 def history(events: DataFrame, spec: WindowSpec, fit: FitSpec) -> DataFrame:
     """events with horizon_t, the start of the source's horizon in microseconds, from one window before it on.
 
-    The anchors, one row a source, are counted before they are broadcast.
+    The anchors, one row a source, are counted before they are broadcast. The earliest of all horizons, one number, is also a
+    plain condition on event_time, and on event_date where the table has it, which reaches the scan: row groups and
+    partitions before it are not read.
     """
     if fit.horizon_days is None:
         return events.withColumn("horizon_t", F.lit(None).cast("long"))
-    anchors = cut(events.groupBy("source_id").agg((F.max("t") - fit.horizon_days * 86_400_000_000).alias("horizon_t")))
+    anchors = cut(events.groupBy("source_id").agg((F.max("t") - fit.horizon_days * DAY_MICROS).alias("horizon_t")))
+    earliest = anchors.agg(F.min("horizon_t")).first()[0]
+    if earliest is not None:
+        since = datetime.fromtimestamp((earliest - spec.length_micros) // 1_000_000, timezone.utc)
+        events = events.where(F.col("event_time") >= F.lit(since))
+        if "event_date" in events.columns:
+            events = events.where(F.col("event_date") >= F.lit(since.date()))
     return events.join(broadcast_if_small(anchors), "source_id").where(F.col("t") >= F.col("horizon_t") - spec.length_micros)
 
 
@@ -127,11 +137,13 @@ def score_terms(histograms_: Column, values: list[Column]) -> list[Column]:
 
 
 def raw_score(histograms_: Column, values: list[Column] | None = None) -> Column:
-    """The contributions, summed in registry order."""
+    """The contributions, summed in registry order; null without a model. A model of another width than the values is an error."""
+    values = values or [F.col(n) for n in NAMES]
     total = F.lit(0.0)
-    for term in score_terms(histograms_, values or [F.col(n) for n in NAMES]):
+    for term in score_terms(histograms_, values):
         total = total + term
-    return total
+    wide = F.concat(F.lit("a model of "), F.size(histograms_).cast("string"), F.lit(f" histograms can't score {len(values)} features"))
+    return F.when(histograms_.isNull(), None).when(F.size(histograms_) == len(values), total).otherwise(F.raise_error(wide).cast("double"))
 
 
 #: Decimals at which scores and quantiles are compared, so that equal windows tie whatever the last bits of a sum are.

@@ -93,21 +93,26 @@ def _cells(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[slice, np.ndarra
             yield slice(a, b), np.arange(at[-1]) + np.repeat(low[a:b] - at[:-1], size[a:b]), at
 
 
-def _entropy(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Shannon entropy in bits of each row of counts."""
-    p = counts / total[:, None]
-    return -np.where(counts > 0, p * np.log2(np.where(counts > 0, p, 1)), 0).sum(axis=1) + 0.0
+def entropy(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Shannon entropy in bits of each row of counts, summed from the smallest count on, so that the sum has one value."""
+    p = np.sort(counts, axis=1) / total[:, None]
+    terms = p * np.log2(np.where(p > 0, p, 1))
+    out = np.zeros(len(counts))
+    for column in terms.T:
+        out -= column
+    return out + 0.0
 
 
 def _method_entropy(codes: np.ndarray, n_codes: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     out = np.zeros(len(low))
     if len(low) and n_codes <= RUNNING_METHODS:
         counts = np.stack([(r := _running(codes == m))[high] - r[low] for m in range(n_codes)], axis=1)
-        return _entropy(counts, high - low)
+        return entropy(counts, high - low)
     for part, rows, at in _cells(low, high):
         of = np.repeat(np.arange(part.stop - part.start), np.diff(at))
         cell, n = np.unique(of * n_codes + codes[rows], return_counts=True)
-        window = cell // n_codes
+        order = np.lexsort((n, cell // n_codes))
+        window, n = (cell // n_codes)[order], n[order]
         p = n / np.diff(at)[window]
         out[part] = -np.bincount(window, p * np.log2(p), part.stop - part.start) + 0.0
     return out

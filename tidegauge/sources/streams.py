@@ -1,4 +1,7 @@
-"""Stream sources: records with the columns of a broker, and the decoding of envelopes."""
+"""Stream sources: records with the columns of a broker, and the decoding of envelopes.
+
+Topic, field and option names are those of the wire and of the broker, which other programs read and write.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +15,19 @@ from tidegauge.schemas import DECISION_ENVELOPE, EVENT_ENVELOPE, STREAM_RECORD
 TOPIC_EVENTS, TOPIC_DECISIONS, TOPIC_DEAD_LETTERS, TOPIC_SIGNALS = "raw_events", "decisions", "dead_letter_events", "baseline_signals"
 
 
-def broker_stream(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
-    """Records of a broker topic; the position is in the query's checkpoint."""
-    return spark.readStream.format("kafka").options(**{"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest"} | options).load()
+#: Records after which a sink's batch is full, and the reader's setting for it. A sink with much traffic raises it.
+SINK_RECORDS = 200
+
+
+def broker_options(servers: str, topic: str, records: int | None = None) -> dict[str, str]:
+    """The reader's options; records bounds a micro-batch, None takes all there is."""
+    limit = {} if records is None else {"maxOffsetsPerTrigger": str(records)}
+    return {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest"} | limit
+
+
+def broker_stream(spark: SparkSession, servers: str, topic: str, records: int | None = None, **options: str) -> DataFrame:
+    """Records of a broker topic, at most so many for each micro-batch; the position is in the query's checkpoint."""
+    return spark.readStream.format("kafka").options(**broker_options(servers, topic, records) | options).load()
 
 
 def file_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
@@ -62,11 +75,21 @@ def record_key() -> Column:
     return F.concat_ws(":", "source_id", "visitor_id").cast("binary")
 
 
+def uuid_v7(millis: Column) -> Column:
+    """A new UUID of version 7: the time in milliseconds in its first 48 bits, so that ids sort by time, and random bits."""
+    random = F.replace(F.uuid(), F.lit("-"), F.lit(""))
+    time = F.lpad(F.lower(F.hex(millis)), 12, "0")
+    # Of a random UUID's digits, number 13 is the version, number 17 the variant with two random bits.
+    parts = (F.substring(time, 1, 8), F.substring(time, 9, 4), F.concat(F.lit("7"), F.substring(random, 14, 3)), F.substring(random, 17, 4), F.substring(random, 21, 12))
+    return F.concat_ws("-", *parts)
+
+
 def enveloped_events(inputs: DataFrame) -> DataFrame:
     """key and value of accepted events: an id, the ingest time and the resource class are added."""
     payload = F.struct("source_id", "visitor_id", "event_time", "http_method", "uri", "status_code", "referrer_present", F.nullif("user_agent", F.lit("")).alias("user_agent"), F.when(F.col("bytes") != 0, F.col("bytes")).alias("bytes"), resource_type(F.col("uri")).alias("resource_type"))
-    own = F.col("event_id") if "event_id" in inputs.columns else F.uuid()
-    envelope = F.struct(own.alias("event_id"), F.unix_millis(F.current_timestamp()).alias("ingested_at"), F.lit("v1").alias("schema_version"), "source_id", "visitor_id", payload.alias("payload"))
+    now = F.unix_millis(F.current_timestamp())
+    own = F.col("event_id") if "event_id" in inputs.columns else uuid_v7(now)
+    envelope = F.struct(own.alias("event_id"), now.alias("ingested_at"), F.lit("v1").alias("schema_version"), "source_id", "visitor_id", payload.alias("payload"))
     return inputs.select(record_key().alias("key"), F.to_json(envelope, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).cast("binary").alias("value"))
 
 

@@ -93,16 +93,35 @@ def jdbc_table(spark: SparkSession, url: str, table: str, **options: str) -> Dat
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
+#: A published folder has its versions, and markers whose names are numbers; the highest names the version that counts.
+VERSIONS, MARKERS = "versions", "published"
+
+
+def published(spark: SparkSession, folder: str) -> str | None:
+    """The place of the version that a published folder's highest marker names; None if nothing was published there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{MARKERS}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    numbers = [int(n) for f in files.listStatus(path) if (n := f.getPath().getName()).isdigit()]
+    return f"{folder}/{VERSIONS}/{max(numbers)}" if numbers else None
+
+
+def read_published(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the version that counts now; later versions don't change what was read."""
+    return utc(spark).read.parquet(f"{published(spark, folder) or folder}/{name}.parquet")
+
+
 def snapshot(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A Parquet snapshot by table name."""
-    return utc(spark).read.parquet(f"{folder}/{name}.parquet")
+    """A Parquet snapshot by table name, of a published folder or a plain one."""
+    return read_published(spark, folder, name)
 
 
 def inspect_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """(snapshot, path, row_count, column, type) of the three snapshots; a missing one is an error that names it."""
-    out = None
+    out, place = None, published(spark, folder) or folder
     for name in SNAPSHOTS:
-        path = f"{folder}/{name}.parquet"
+        path = f"{place}/{name}.parquet"
         try:
             table = spark.read.parquet(path)
         except Exception as e:
