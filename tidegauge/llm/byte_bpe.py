@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 import uuid
@@ -26,7 +27,7 @@ SHARED_WORDS = 100_000
 SLICE_BYTES = 4 << 20
 REPLAY_BYTES = 8 << 20
 #: From so many places on, a rank's merges are one step over arrays.
-TOGETHER = 24
+TOGETHER = 8
 #: Characters of the chunks that a worker remembers, in each of two memories; longer chunks are encoded where they occur.
 MEMO_CHUNK = 48
 MEMO_CHARS = 4 << 20
@@ -238,6 +239,14 @@ class Encoder:
 
         A chunk's words make up the chunk, so what a text's ids decode to is its chunks.
         """
+        # A slice makes many small lists and no cycles; the cycle collector would walk them again and again.
+        gc.disable()
+        try:
+            return self._encoded(texts)
+        finally:
+            gc.enable()
+
+    def _encoded(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
         if self.held > self.size:
             self.memo, self.old, self.held = {}, self.memo, 0
         chunks = [self.splitter.chunks(t) for t in texts]
