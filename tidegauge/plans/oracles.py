@@ -61,6 +61,12 @@ SELECT c.* FROM {cand} c JOIN (
 STEPS["fit_s"] = _gate("fit_cand")
 STEPS["serve_s"] = _gate("serve_cand")
 
+STEPS["hz_cand"] = f"""
+SELECT c.*, row_number() OVER (PARTITION BY c.source_id, c.visitor_id ORDER BY t, arrival) AS i FROM counted c
+JOIN (SELECT source_id, max(t) - 7 * {LENGTH} AS h FROM ev WHERE event_time < {SPLIT} GROUP BY source_id) a ON a.source_id = c.source_id
+WHERE event_time < {SPLIT} AND window_count >= {LEAST} AND t >= h"""
+STEPS["hz_s"] = _gate("hz_cand")
+
 STEPS["gaps"] = """
 SELECT *, CASE WHEN resource_type = 'html' THEN max(CASE WHEN resource_type = 'html' THEN t END)
   OVER (PARTITION BY source_id, visitor_id ORDER BY t, arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS page_t FROM ev"""
@@ -189,7 +195,7 @@ SELECT t.*, {", ".join(f"coalesce(o.{c}, 0) AS {c}" for c in COUNT_NAMES)}, {",
 FROM traffic t LEFT JOIN outcomes o ON t.source_id = o.source_id AND t.event_date = o.event_date"""
 
 NEEDS = {
-    "counted": ["ev"], "fit_cand": ["counted"], "serve_cand": ["counted"], "fit_s": ["fit_cand"], "serve_s": ["serve_cand"], "gaps": ["ev"],
+    "counted": ["ev"], "fit_cand": ["counted"], "serve_cand": ["counted"], "fit_s": ["fit_cand"], "serve_s": ["serve_cand"], "hz_cand": ["counted"], "hz_s": ["hz_cand"], "gaps": ["ev"],
     "fit_f": ["fit_s", "gaps"], "serve_f": ["serve_s", "gaps"], "gate": ["ev", "fit_s"], "fit_ok": ["fit_f", "gate"], "fit_l": ["fit_ok"], "serve_l": ["serve_f"],
     "stats": ["fit_l"], "bins": ["fit_l", "stats"], "fit_sc": ["fit_l", "stats", "bins"], "serve_sc": ["serve_l", "stats", "bins"], "ranked": ["fit_sc"],
     "quant": ["ranked", "fit_sc"], "runs": ["gate"], "dec": ["serve_s", "runs", "quant", "serve_sc"], "dated": ["dec", "ev"], "traffic": ["ev"],
@@ -322,3 +328,55 @@ WHERE event_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-25'""",
     "daily_requests": sql("traffic", "SELECT source_id, event_date, request_count FROM traffic"),
     "quality_report": "SELECT * FROM (VALUES " + ", ".join(f"('{c}', CAST(0 AS BIGINT))" for c in CHECKS) + ") AS t(check_name, violations)",
 }
+
+_N = "CAST(event_id AS BIGINT)"
+ORACLES |= {
+    "event_envelopes": sql(
+        "ev",
+        f"""SELECT CAST({_N} % 3 AS INTEGER) AS "partition", {_N} AS "offset", event_id, source_id, visitor_id, event_time, http_method, uri, status_code, referrer_present, user_agent,
+  nullif(bytes, 0) AS bytes, resource_type FROM ev WHERE {_N} % 13 <> 0 AND {_N} % 17 <> 0""",
+    ),
+    "event_dead_letters": sql(
+        "ev",
+        f"""SELECT 'raw_events' AS original_topic, CAST({_N} % 3 AS INTEGER) AS original_partition, {_N} AS original_offset, CASE WHEN {_N} % 13 = 0 THEN 'malformed JSON' ELSE 'incomplete envelope' END AS reason
+FROM ev WHERE {_N} % 13 = 0 OR {_N} % 17 = 0""",
+    ),
+    "decision_envelopes": sql(
+        "serve_s",
+        f"""SELECT {_N} AS "offset", 'd-' || event_id AS decision_id, event_id, source_id, visitor_id, event_time AS decided_at, CAST(NULL AS DOUBLE) AS score_raw, round(window_count / 1000, 6) AS score_normalized,
+  'low' AS risk_level, 'log' AS action, 'scored' AS status, 'v1' AS policy_version, CAST(1 AS BIGINT) AS baseline_run_id FROM serve_s WHERE {_N} % 7 <> 0""",
+    ),
+    "snapshot_of_events": sql(
+        "ev",
+        f"""SELECT event_id AS id, source_id, visitor_id, event_time, uri, http_method, status_code, resource_type, referrer_present,
+  CASE WHEN {_N} % 5 <> 0 THEN user_agent END AS user_agent, CASE WHEN {_N} % 4 <> 0 THEN nullif(bytes, 0) END AS bytes FROM ev""",
+    ),
+    "rehydrated_events": sql("ev", f"SELECT event_id AS id, source_id, visitor_id, event_time, uri, status_code, CASE WHEN {_N} % 4 = 0 THEN 0 ELSE bytes END AS bytes FROM ev"),
+    "strict_decoding": sql(
+        "ev",
+        f"""SELECT event_id, e AS decode_error, CASE WHEN e IS NULL THEN uri END AS uri, CASE WHEN e IS NULL THEN status_code END AS status_code
+FROM (SELECT *, CASE WHEN {_N} % 11 = 0 THEN 'body too large' WHEN {_N} % 7 = 0 THEN 'malformed JSON' WHEN {_N} % 5 = 0 THEN 'unknown field: extra' END AS e FROM ev)""",
+    ),
+    "access_log_events": sql(
+        "ev",
+        f"""SELECT 'web' AS source_id, CASE WHEN {_N} % 4 = 0 THEN 'ip-' || visitor_id ELSE visitor_id END AS visitor_id, event_time, http_method, uri, status_code, referrer_present,
+  CASE WHEN {_N} % 6 <> 0 THEN user_agent END AS user_agent, bytes FROM ev WHERE {_N} % 11 <> 0 AND {_N} % 19 <> 0""",
+    ),
+    "orphan_labels": sql("ev serve_s", "SELECT event_id, 'd-' || event_id AS decision_id FROM ev WHERE event_id NOT IN (SELECT event_id FROM serve_s)"),
+    "policy_rule_errors": """SELECT n_name AS version, unnest(CASE n_nationkey % 4 WHEN 0 THEN [] WHEN 1 THEN ['no bands'] WHEN 2 THEN ['max_score not increasing']
+  ELSE ['unknown risk level', 'repeated risk level', 'unknown action', 'max_score out of range', 'last band not open', 'fallback missing'] END) AS error FROM nation""",
+    "active_policy_bands": """SELECT n_name AS version, CAST(place AS BIGINT) AS place, CASE place WHEN 0 THEN 'low' ELSE 'high' END AS risk_level, CASE place WHEN 0 THEN CAST(0.7 AS DOUBLE) END AS max_score,
+  CASE place WHEN 0 THEN 'allow' ELSE 'block' END AS action FROM nation, (SELECT unnest([0, 1]) AS place) WHERE n_nationkey = 4""",
+    "baseline_update_signals": sql("runs", "SELECT source_id, id AS baseline_run_id FROM runs WHERE status = 'succeeded'"),
+    "fit_samples_within_horizon": sql("hz_s", "SELECT source_id, visitor_id, event_id, event_time, window_count FROM hz_s"),
+    "recent_arrivals": sql("ev", f"SELECT 'd-' || event_id AS decision_id, make_timestamp({_N} // 50 * 1000000) AS timestamp FROM ev ORDER BY {_N} // 50 DESC, {_N} % 4 DESC, {_N} DESC LIMIT 200"),
+    "backfilled_arrivals": sql("ev", f"SELECT 'd-' || event_id AS decision_id, source_id FROM ev WHERE source_id = 'src-1' ORDER BY {_N} // 50 DESC, {_N} % 4 DESC, {_N} DESC LIMIT 50"),
+    "latest_view_after_batches": sql(
+        "ev",
+        f"""SELECT source_id, visitor_id, 'd-' || event_id AS decision_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY source_id, visitor_id ORDER BY {_N} // 50 DESC, {_N} % 4 DESC, {_N} DESC) AS r FROM ev) WHERE r = 1""",
+    ),
+    "latest_of_one_visitor": sql("ev", "SELECT source_id, visitor_id, 'd-' || event_id AS decision_id, event_time AS decided_at FROM ev WHERE source_id = 'src-1' AND visitor_id = '7' ORDER BY event_time DESC, 'd-' || event_id DESC LIMIT 1"),
+    "stored_once": sql("ev", f"SELECT event_id, CASE WHEN {_N} % 11 = 0 THEN 'bytes must be non-negative' ELSE source_id END AS source_id, CASE WHEN {_N} % 11 <> 0 THEN bytes END AS bytes FROM ev"),
+    "published_traffic": sql("traffic", "SELECT source_id, event_date, request_count, distinct_visitor_count FROM traffic"),
+}

@@ -13,7 +13,7 @@ from tidegauge.operators import baseline, dashboard, marts, quality, reads, vali
 from tidegauge.operators.materialize import cut
 from tidegauge.operators.validation import event_errors
 from tidegauge.operators.windows import mark_late, with_window_counts
-from tidegauge.plans import flows
+from tidegauge.plans import flows, wire
 from tidegauge.plans.oracles import ORACLES  # noqa: F401  (part of the registry)
 from tidegauge.schemas import LABELS
 from tidegauge.sources.tables import http_events
@@ -290,3 +290,7 @@ def daily_requests(spark, sf_dir):
 @query
 def quality_report(spark, sf_dir):
     return quality.quality_report(flows.tables(spark, sf_dir))
+
+
+for _f in wire.QUERIES:
+    query(_f)

@@ -17,7 +17,7 @@ from tidegauge.sources.tables import MARKERS, VERSIONS
 #: Seconds before each attempt of a write.
 RETRY_DELAYS = (0.0, 0.05, 0.2)
 #: Keys without a time of their own are dealt to so many spans.
-HASH_SPANS = 256
+HASH_SPANS = 64
 #: Spans of one batch that are read by name; a batch with more reads the table's key column.
 NAMED_SPANS = 5_000
 
