@@ -7,7 +7,7 @@ import gc
 import hashlib
 import re
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 from itertools import chain
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.common import cut, slices, utf8
 
-#: Words that are replayed once for the whole corpus: those of at most so many bytes that most slices have, up to a number.
-SHARED_BYTES = 32
+#: Words that are replayed once for the whole corpus: those of at most so many characters that most slices have, up to a number.
+SHARED_CHARS = 32
 SHARED_WORDS = 100_000
 #: Bytes of text whose words are looked at together, and bytes of words that are replayed together.
 SLICE_BYTES = 4 << 20
@@ -265,18 +265,19 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 
 
 def shared_words(docs: DataFrame, data: Broadcast, pattern: str, chunks: str | None, most: int = SHARED_WORDS) -> dict[str, list[int]]:
-    """The words that most slices of the corpus have, with their ids; at most `most`, each of at most SHARED_BYTES.
+    """The words that most slices of the corpus have, with their ids; at most `most`, each of at most SHARED_CHARS.
 
-    Words are counted once for each slice of text, and the counts added by key. The least count is that at which no more
+    Words are counted once for each slice of text that has a chunk with them twice, and the counts added by key. The least count is that at which no more
     than `most` words are left, by the numbers of words between powers of two; so the collected table has a fixed bound.
-    Each word is replayed in the task that has its hash. Words in one slice only are left to that slice.
+    Each word is replayed in the task that has its hash. All other words are left to the slices.
     """
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(pattern, chunks)
         for part in slices(batches, max_bytes=SLICE_BYTES):
-            found = set().union(*map(split.words, set().union(*map(split.chunks, _texts(part)))))
-            short = [w for w in found if len(w) <= SHARED_BYTES and len(w.encode()) <= SHARED_BYTES]
+            times = Counter(chain.from_iterable(map(split.chunks, _texts(part))))
+            found = set().union(*(split.words(c) for c, n in times.items() if n > 1))
+            short = [w for w in found if len(w) <= SHARED_CHARS]
             yield pa.RecordBatch.from_arrays([pa.array(short, pa.string())], names=["word"])
 
     def replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
