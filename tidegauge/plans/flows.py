@@ -71,12 +71,12 @@ def decisions(spark: SparkSession, sf_dir: str, fitted: DataFrame | None = None)
 
 
 def tables(spark: SparkSession, sf_dir: str) -> quality.Tables:
-    """All tables that the marts and checks read; decisions and runs are materialised once."""
+    """All tables that the marts and checks read; decisions, with and without their days, and runs are materialised once."""
     events = marts.staged_events(http_events(spark, sf_dir))
     fitted = runs(spark, sf_dir)
     decided = cut(decisions(spark, sf_dir, fitted))
     fitted = marts.staged_runs(fitted)
-    dated = marts.decisions_with_event_date(decided, events)
+    dated = cut(marts.decisions_with_event_date(decided, events))
     traffic, outcomes = marts.daily_traffic(events), marts.daily_outcomes(dated)
     segments = marts.usage_segments(dated, fitted)
     mart = cut(marts.risk_mart(traffic, outcomes, segments))

@@ -63,12 +63,14 @@ class VisitorWindows(StatefulProcessor):
     only be one at the newest time itself, whose span has its id; any other event joins the window and, if the cadence has
     passed since the last evaluation, is evaluated, whether or not the window has enough events. A batch reads one span, and
     the whole window only if it evaluates; it writes the spans of its own events and drops those that left the window. So work
-    grows with the events, not with events times window. State and output are committed together. With idle_ms, a visitor's
-    state expires so long after its last write; live traffic in order gives the same results, for the cadence is not longer
-    than the window.
+    grows with the events, not with events times window. State and output are committed together. With idle_ms, a span and
+    the times expire so long after their last write, which is a window and a cadence at least; so live traffic in order gives
+    the same results, for the cadence is not longer than the window.
     """
 
     def __init__(self, spec: WindowSpec, idle_ms: int | None = None):
+        if idle_ms is not None and idle_ms * 1000 < spec.length_micros + spec.cadence_micros:
+            raise ValueError("state must outlive a window and a cadence")
         self.spec, self.idle_ms = spec, idle_ms
 
     def init(self, handle) -> None:
