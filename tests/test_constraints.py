@@ -66,7 +66,7 @@ def test_horizon(spark):
     events = events_of(spark, random_rows(300))
     spec = WindowSpec(length_seconds=300, cadence_seconds=60, min_events=3)
     day = 86_400
-    later = events.withColumn("t", F.col("t") + F.when(F.col("arrival") % 2 == 0, 9 * day * 1_000_000).otherwise(0))
+    later = events.withColumn("event_time", F.when(F.col("arrival") % 2 == 0, F.timestamp_add("DAY", F.lit(9), F.col("event_time"))).otherwise(F.col("event_time"))).withColumn("t", F.unix_micros("event_time"))
     kept = baseline.history(later, spec, FitSpec(horizon_days=7))
     edge = later.agg(F.max("t")).first()[0] - 7 * day * 1_000_000
     assert kept.count() == later.where(F.col("t") >= edge - spec.length_micros).count() < 300
