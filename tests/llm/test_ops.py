@@ -507,7 +507,7 @@ def test_sharding(odd, small, texts):
 
 
 def units_by_force(text):
-    """(start, end, words) of the units of five words or more, found by walking over the characters."""
+    """(start, end, words) of the units with a word, found by walking over the characters."""
     found, at, i = [], 0, 0
     edges = []
     while i < len(text):
@@ -535,7 +535,7 @@ def units_by_force(text):
             i = max(j, i + 1)
     for a, b in [*edges, (at, len(text))]:
         spaced = "".join(f" {c} " if "\u3400" <= c <= "\u9fff" or "\u3041" <= c <= "\u30fa" else c if c.isalnum() else " " for c in text[a:b].lower())
-        if len(words := spaced.split()) >= 5:
+        if words := spaced.split():
             found.append((a, b, words))
     return found
 
@@ -549,17 +549,16 @@ def dedup_by_force(rows):
             places[tuple(words)].append((i, k))
     want = []
     for i, (d, _) in enumerate(rows):
-        cuts, passage, repeated, run = [], 0, 0, []
-        for k, (a, b, words) in enumerate([*held[i], (0, 0, [])]):
-            at = places[tuple(words)] if words else []
-            if len(at) > 1:
-                run.append((a, b, len(words), at[0] != (i, k), at[0][0] != at[-1][0]))
-                continue
-            shared = sum(n for _, _, n, _, across in run if across)
-            passage, repeated = max(passage, shared), repeated + shared
-            if sum(x[2] for x in run) >= 10:
-                cuts += [(x[0], x[1]) for x in run if x[3]]
-            run = []
+        cuts, passage, repeated, run = [], 0, 0, 0
+        for k, (a, b, words) in enumerate(held[i]):
+            at = places[tuple(words)]
+            across = len(words) if at[0][0] != at[-1][0] else 0
+            repeated += across
+            if at[0] != (i, k):
+                cuts.append((a, b))
+            if len(words) >= 5:
+                run = run + across if len(at) > 1 else 0
+                passage = max(passage, run)
         want.append((d, len(held[i]), len(cuts), sum(b - a for a, b in cuts), ",".join(f"{a}:{b}" for a, b in cuts), repeated, passage, passage >= 25))
     return sorted(want, key=str)
 
@@ -573,6 +572,8 @@ def test_unit_dedup(spark, odd, small, texts):
         (4, "They sang one song and then one more. They sang one song and then one more. 海港的灯塔守护着。"),
         (4, "海港的灯塔守护着。夜里归来的渔船！海港的灯塔守护着"),
         (7, "e.g. a...b?! Once the tide had turned they rowed out again."),
+        (8, "All rights stay with us here\nSee the harbour plan"),
+        (9, "Yachts\nall rights stay with us here!\nSee the harbour PLAN"),
     ]
     docs = spark.createDataFrame(hard, "doc_id long, text string")
     for name, df, rows in (("odd", odd, texts["odd"]), ("small", small, texts["small"]), ("hard", docs, hard)):
@@ -581,6 +582,8 @@ def test_unit_dedup(spark, odd, small, texts):
         assert [g for g in got if g[0] is not None] == [w for w in want if w[0] is not None], name
         if name == "hard":
             assert sum(r[-1] for r in got) == 2  # the passage is seen in both, the earliest included
+            lines = {r[0]: r[4] for r in got if r[0] in (8, 9)}
+            assert lines == {8: "", 9: "7:36,37:57"}  # a line of six words and one of four
         out = {(r["doc_id"], r["removed_spans"] or "") : r["text"] for r in unit_dedup.dedup_documents(df).collect()}
         for d, t in rows:
             for spans in {w[4] for w in want if w[0] == d and d is not None and (d, w[4]) in out}:

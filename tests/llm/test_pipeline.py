@@ -34,5 +34,5 @@ def test_stages(spark, tmp_path):
 
 
 def test_queries_are_whole(spark):
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert not (Path(queries.__file__).parent / "data").exists()

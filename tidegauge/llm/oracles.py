@@ -6,7 +6,7 @@ from tidegauge.llm import compression
 from tidegauge.llm.mixing import Mix
 from tidegauge.llm.repetition import MAX_COVERED, MAX_LONGEST, MIN_REPEAT_WORDS
 from tidegauge.llm.resampling import POLYNOMIAL, Resample
-from tidegauge.llm.unit_dedup import MIN_RUN, MIN_WORDS, PASSAGE_WORDS, UNSPACED
+from tidegauge.llm.unit_dedup import MIN_WORDS, PASSAGE_WORDS, RUN_WORDS, UNSPACED
 from tidegauge.llm.vectors import LEAST_COSINE
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,16 +90,17 @@ placed AS MATERIALIZED (
   SELECT *, coalesce(sum(length(tile)) OVER (PARTITION BY doc_id ORDER BY k, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + k - 1 AS lo,
     trim(regexp_replace(regexp_replace(lower(tile), '([{UNSPACED}])', ' \\1 ', 'g'), '[^\\pL\\pN]+', ' ', 'g')) AS plain FROM tiles),
 units AS MATERIALIZED (
-  SELECT doc_id, lo, lo + length(tile) AS hi, plain, len(string_split(plain, ' ')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS u
+  SELECT doc_id, lo, lo + length(tile) AS hi, plain, len(string_split(plain, ' ')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS u,
+    len(string_split(plain, ' ')) >= {RUN_WORDS} AS is_long, count(*) FILTER (WHERE len(string_split(plain, ' ')) >= {RUN_WORDS}) OVER (PARTITION BY doc_id ORDER BY k, j) AS place
   FROM placed WHERE plain <> '' AND len(string_split(plain, ' ')) >= {MIN_WORDS}),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY plain ORDER BY doc_id, u) > 1 AS later, count(*) OVER (PARTITION BY plain) AS copies,
     min(doc_id) OVER (PARTITION BY plain) AS source, max(doc_id) OVER (PARTITION BY plain) AS latest FROM units),
-repeated AS (SELECT *, CASE WHEN source <> latest THEN words ELSE 0 END AS shared, u - row_number() OVER (PARTITION BY doc_id ORDER BY u) AS run FROM ranked WHERE copies > 1),
-runs AS MATERIALIZED (SELECT *, sum(shared) OVER (PARTITION BY doc_id, run) AS run_shared, later AND sum(words) OVER (PARTITION BY doc_id, run) >= {MIN_RUN} AS gone FROM repeated),
+repeated AS (SELECT *, CASE WHEN source <> latest THEN words ELSE 0 END AS shared, place - count(*) FILTER (WHERE is_long) OVER (PARTITION BY doc_id ORDER BY u) AS run FROM ranked WHERE copies > 1),
+runs AS MATERIALIZED (SELECT *, sum(CASE WHEN is_long THEN shared ELSE 0 END) OVER (PARTITION BY doc_id, run) AS run_shared FROM repeated),
 lost AS (
   SELECT doc_id, count(*) AS n, sum(words)::BIGINT AS words, sum(hi - lo)::BIGINT AS chars, string_agg(lo || ':' || hi, ',' ORDER BY lo) AS spans,
-    list_sort(list_distinct(list(source))) AS sources FROM runs WHERE gone GROUP BY doc_id),
+    list_sort(list_distinct(list(source))) AS sources FROM runs WHERE later GROUP BY doc_id),
 passages AS (SELECT doc_id, sum(shared)::BIGINT AS repeated_words, max(run_shared)::BIGINT AS passage_words FROM runs GROUP BY doc_id)
 SELECT d.doc_id, coalesce(u.n, 0) AS n_units, coalesce(l.n, 0) AS n_removed, coalesce(l.words, 0) AS removed_words, coalesce(l.chars, 0) AS removed_chars,
   coalesce(l.spans, '') AS spans, coalesce(l.sources, CAST([] AS BIGINT[])) AS sources,

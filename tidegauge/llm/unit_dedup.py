@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.common import cut, slices, utf8
 
-#: Words of the shortest unit. Shorter ones repeat by chance; they neither end nor lengthen a run.
-MIN_WORDS = 5
-#: Words of a run of adjacent repeated units from which its later copies are removed.
-MIN_RUN = 10
+#: Words of the shortest unit whose later copies go.
+MIN_WORDS = 1
+#: Words of the shortest unit of a passage. Shorter ones repeat by chance; they neither end nor lengthen a run.
+RUN_WORDS = 5
 #: Words of a run of adjacent units, each in another document too, from which it is reported as a passage.
 PASSAGE_WORDS = 25
 #: Ends of units: lines and sentences, or lines alone, or paragraphs. A unit keeps its full stops and the blanks after them.
@@ -25,7 +25,7 @@ PARAGRAPHS = r"\n\n"
 #: Characters of scripts without blanks, each of which is a word: kana and Han.
 UNSPACED = "ぁ-ゖァ-ヺ㐀-䶿一-鿿"
 
-UNITS = "doc_id long, row_key long, unit int, start int, end int, n_words int, digest binary"
+UNITS = "doc_id long, row_key long, unit int, place int, start int, end int, n_words int, digest binary"
 
 _WORDS = re.compile(rf"[{UNSPACED}]|[^\W_{UNSPACED}]+")
 
@@ -44,29 +44,32 @@ def tiles(text: str, ends: re.Pattern) -> Iterator[tuple[int, int]]:
     yield at, len(text)
 
 
-def units(docs: DataFrame, ends: str = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, row_key, number (from 0) of the unit in its row, start and end (code points of the original text), words
-    and digest of each unit of min_words words or more. row_key tells apart rows that share a doc_id."""
+def units(docs: DataFrame, ends: str = SENTENCES, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """doc_id, row_key, number (from 0) of the unit in its row, its place (from 0) among those of run_words words or more
+    (null for shorter ones), start and end (code points of the original text), words and digest of each unit of min_words
+    words or more. row_key tells apart rows that share a doc_id."""
     pattern = re.compile(ends)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, max_bytes=1 << 20):
-            columns: list[list] = [[] for _ in range(7)]
-            docs_, rows, numbers, starts, stops, sizes, digests = columns
+            columns: list[list] = [[] for _ in range(8)]
+            docs_, rows, numbers, places, starts, stops, sizes, digests = columns
             for doc, row, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "row_key", "text"))):
-                whole, k = text.decode("utf-8", "replace"), 0
+                whole, k, place = text.decode("utf-8", "replace"), 0, 0
                 for a, b in tiles(whole, pattern):
                     if b - a >= min_words and len(words := normalise(whole[a:b])) >= min_words:
                         docs_.append(doc)
                         rows.append(row)
                         numbers.append(k)
+                        places.append(place if len(words) >= run_words else None)
                         starts.append(a)
                         stops.append(b)
                         sizes.append(len(words))
                         digests.append(blake2b(" ".join(words).encode(), digest_size=16).digest())
                         k += 1
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "row_key", "unit", "start", "end", "n_words", "digest"])
+                        place += len(words) >= run_words
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "row_key", "unit", "place", "start", "end", "n_words", "digest"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), utf8().alias("text")).mapInArrow(run, UNITS)
 
@@ -87,33 +90,33 @@ def repeated_units(found: DataFrame) -> DataFrame:
     ends = found.groupBy("digest").agg(F.min(own).alias("first"), F.max(own).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
     across = ~F.struct("first.doc_id", "first.row_key").eqNullSafe(F.struct("last.doc_id", "last.row_key"))
     firsts = ends.select("digest", "first", across.alias("across"))
-    return found.join(firsts, "digest").select("doc_id", "row_key", "unit", "start", "end", "n_words", (own > F.col("first")).alias("later"), "across", F.col("first.doc_id").alias("first_doc_id"))
+    return found.join(firsts, "digest").select("doc_id", "row_key", "unit", "place", "start", "end", "n_words", (own > F.col("first")).alias("later"), "across", F.col("first.doc_id").alias("first_doc_id"))
 
 
-def unit_dedup(docs: DataFrame, ends: str = SENTENCES, min_words: int = MIN_WORDS, min_run: int = MIN_RUN, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+def unit_dedup(docs: DataFrame, ends: str = SENTENCES, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """For every row: doc_id, n_units, n_removed, removed_words, removed_chars, spans (start:end of the removed units in
     the original text, code points, comma-joined), sources (the distinct doc_ids that keep them, ascending), repeated_words,
     passage_words and has_passage.
 
     Units are lines, cut further at the ends of sentences, of min_words words or more; equal ones after normalisation
-    are copies. Repeated units that follow each other (shorter units between them don't count) form a run; of a run of
-    min_run words or more all units go but those that are the earliest ranked of their copies. repeated_words counts the
-    words of units that another row has too, the earliest one included; passage_words those of the longest run of them,
-    and has_passage tells whether that is passage_words or more.
+    are copies, of which all go but the earliest ranked. repeated_words counts the words of units that another row has too,
+    the earliest one included. Repeated units of run_words words or more that follow each other (shorter ones between them
+    don't count) form a run; passage_words are those of the run with most words of units that another row has, and
+    has_passage tells whether that is passage_words or more.
 
     Null and empty texts, and units without letters or digits, have no digest. Rows that are equal in doc_id and text are
     one document and give one row. A null doc_id ranks last. Other columns are ignored; an empty table gives an empty result.
     """
-    found = cut(units(docs, ends, min_words))
+    found = cut(units(docs, ends, min_words, run_words))
     every = found.groupBy("doc_id", "row_key").agg((F.max("unit") + 1).cast("long").alias("n_units"))
     of = Window.partitionBy("doc_id", "row_key")
     # A row that occurs twice has each of its units twice; they count once.
     runs = repeated_units(found).repartition("doc_id", "row_key").dropDuplicates(["doc_id", "row_key", "unit"])
-    runs = runs.withColumn("run", F.col("unit") - F.row_number().over(of.orderBy("unit")))
+    # count skips the short units, so they stand in no run's way; a run of their own (null) is no passage.
+    runs = runs.withColumn("run", F.col("place") - F.count("place").over(of.orderBy("unit").rowsBetween(Window.unboundedPreceding, 0)))
     words = F.when(F.col("across"), F.col("n_words")).otherwise(0)
-    inside = Window.partitionBy("doc_id", "row_key", "run")
-    runs = runs.withColumns({"run_words": F.sum("n_words").over(inside), "run_across": F.sum(words).over(inside)})
-    gone = F.col("later") & (F.col("run_words") >= min_run)
+    runs = runs.withColumn("run_across", F.when(F.col("place").isNotNull(), F.sum(words).over(Window.partitionBy("doc_id", "row_key", "run"))))
+    gone = F.col("later")
     lost = runs.groupBy("doc_id", "row_key").agg(
         F.array_sort(F.collect_list(F.when(gone, F.struct("start", "end", "n_words")))).alias("cuts"),
         F.array_sort(F.collect_set(F.when(gone, F.col("first_doc_id")))).alias("sources"),
@@ -166,7 +169,7 @@ def remove_spans(text: str, cuts: list[tuple[int, int]]) -> str:
     return "\n".join(out)
 
 
-def dedup_documents(docs: DataFrame, ends: str = SENTENCES, min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> DataFrame:
+def dedup_documents(docs: DataFrame, ends: str = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with repeated units removed from text, all columns kept, and removed_spans: their original offsets.
 
     removed_spans is null for a row that keeps its whole text. Raises if the documents have a column of that name.
@@ -175,7 +178,7 @@ def dedup_documents(docs: DataFrame, ends: str = SENTENCES, min_words: int = MIN
         raise ValueError("the documents have a column named removed_spans")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(whole.alias("_doc"), F.col("doc_id").cast("long").alias("_id"), row_key().alias("_row"))
-    spans = unit_dedup(docs, ends, min_words, min_run).where("n_removed > 0").select(F.col("doc_id").alias("_same"), F.col("row_key").alias("_key"), F.col("spans").alias("removed_spans"))
+    spans = unit_dedup(docs, ends, min_words).where("n_removed > 0").select(F.col("doc_id").alias("_same"), F.col("row_key").alias("_key"), F.col("spans").alias("removed_spans"))
 
     @F.pandas_udf("string")
     def without(text, removed):
