@@ -77,22 +77,50 @@ def suffix_array(tokens: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, lcp
 
 
-def lcp_intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
-    """(first, last, length) of each LCP interval of at least that length: suffixes first..last share exactly length."""
+def lcp_intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First suffix, last suffix and length of each LCP interval of at least that length, whose suffixes share exactly that
+    many tokens, and for each place of lcp the number of the interval whose length it is (-1 below the least)."""
+    first: list[int] = []
+    last: list[int] = []
+    length: list[int] = []
+    own = np.full(len(lcp), -1, np.int64)
     long = np.flatnonzero(lcp >= least)
-    if not len(long):
-        return
-    for run in np.split(long, np.flatnonzero(np.diff(long) > 1) + 1):
-        stack: list[tuple[int, int]] = []
-        for r, length in zip(run.tolist(), lcp[run].tolist()):
+    for run in np.split(long, np.flatnonzero(np.diff(long) > 1) + 1) if len(long) else ():
+        stack: list[int] = []
+        inside = []
+        for r, n in zip(run.tolist(), lcp[run].tolist()):
             start = r - 1
-            while stack and stack[-1][1] > length:
-                start, top = stack.pop()
-                yield start, r - 1, top
-            if not stack or stack[-1][1] < length:
-                stack.append((start, length))
-        for start, top in reversed(stack):
-            yield start, int(run[-1]), top
+            while stack and length[stack[-1]] > n:
+                k = stack.pop()
+                last[k], start = r - 1, first[k]
+            if not stack or length[stack[-1]] < n:
+                stack.append(len(first))
+                first.append(start)
+                last.append(r)
+                length.append(n)
+            inside.append(stack[-1])
+        for k in stack:
+            last[k] = int(run[-1])
+        own[run] = inside
+    return np.array(first, np.int64), np.array(last, np.int64), np.array(length, np.int64), own
+
+
+def maximal_repeats(order: np.ndarray, lcp: np.ndarray, before: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First suffix and length of each maximal repeat of least tokens or more, and (place, length) spans with the same
+    union as all of their occurrences.
+
+    A repeat is an LCP interval, which no word lengthens to the right; it is maximal if the tokens before its occurrences
+    (before, by suffix) differ, so that none lengthens it to the left. A suffix gives the span of the innermost interval
+    alone: the others are shorter. If that one isn't maximal, the repeat that has a word more before it covers the span.
+    """
+    first, last, length, own = lcp_intervals(lcp, least)
+    turns = np.cumsum(np.append(0, before[1:] != before[:-1])) if len(before) else before
+    maximal = turns[last] > turns[first]
+    after = np.append(lcp[1:], 0)
+    inner = np.where(lcp >= after, own, np.append(own[1:], -1))
+    at = np.flatnonzero(inner >= 0)
+    at = at[maximal[inner[at]]]
+    return first[maximal], length[maximal], order[at], length[inner[at]]
 
 
 def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
@@ -119,24 +147,19 @@ def measure(texts: list[bytes], min_repeat: int = MIN_REPEAT_WORDS) -> dict[str,
         return np.bincount(doc, flags, len(texts)).astype(np.int64)
 
     windows = np.flatnonzero(deepest >= 3)
-    spans = np.flatnonzero(deepest >= min_repeat)
-    maximal = np.zeros(len(texts), np.int64)
-    if len(spans):
-        # A repeat is maximal if the words before its occurrences differ; the start of a text differs from all.
-        before = np.where(np.diff(doc, prepend=-1) != 0, -1 - np.arange(total), np.concatenate([[-1], tokens[:-1]]))[order]
-        turns = np.cumsum(np.diff(before, prepend=before[0]) != 0)
-        for a, b, _ in lcp_intervals(lcp, min_repeat):
-            maximal[doc[order[a]]] += turns[b] > turns[a]
+    # The start of a text differs from all words.
+    before = np.where(np.diff(doc, prepend=-1) != 0, -1 - np.arange(total), np.append(-1, tokens)[:total])[order]
+    first, lengths, at, span = maximal_repeats(order, lcp, before, min_repeat)
     longest = np.zeros(len(texts), np.int64)
-    np.maximum.at(longest, doc[spans], deepest[spans])
+    np.maximum.at(longest, doc[order[first]], lengths)
     return {
         "n_words": n_words,
         "word_chars": np.array([sum(map(len, w)) - _continuations(t) for t, w in zip(texts, words)], np.int64),
         "n_symbols": np.array([len(t) - len(t.translate(None, SYMBOLS)) for t in texts], np.int64),
         "n_dup_lines": np.array([_dup_lines(t) for t in texts], np.int64),
         "n_repeat_words": by_doc(covered(windows, np.full(len(windows), 3), total)),
-        "n_maximal_repeats": maximal,
-        "covered_words": by_doc(covered(spans, deepest[spans], total)),
+        "n_maximal_repeats": np.bincount(doc[order[first]], minlength=len(texts)),
+        "covered_words": by_doc(covered(at, span, total)),
         "longest_repeat": longest,
     }
 
@@ -153,6 +176,16 @@ def _dup_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def base_failed(n_words, n_repeat_words):
+    """Whether counts (columns or arrays) fail the base rules: too few words, or too many in repeated windows."""
+    return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
+
+
+def within_limits(n_words, covered_words, longest_repeat, max_covered: float, max_longest: int):
+    """Whether counts (columns or arrays) keep to the limits of maximal repeats."""
+    return (covered_words <= max_covered * n_words) & (longest_repeat <= max_longest)
+
+
 def repetition_quality(
     docs: DataFrame,
     min_repeat: int = MIN_REPEAT_WORDS,
@@ -175,23 +208,19 @@ def repetition_quality(
             yield pa.RecordBatch.from_arrays([pc.cast(part.column("doc_id"), pa.int64()), *map(pa.array, counts.values())], names=["doc_id", *counts])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(run, SCHEMA)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
         rows.withColumn("covered_fraction", F.coalesce(F.try_divide("covered_words", "n_words"), F.lit(0.0)))
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("covered_fraction") <= max_covered) & (F.col("longest_repeat") <= max_longest))
+        .withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
+        .withColumn("kept", ~F.col("base_failed") & within_limits(F.col("n_words"), F.col("covered_words"), F.col("longest_repeat"), max_covered, max_longest))
     )
 
 
-def keep_quality(docs: DataFrame, **limits) -> DataFrame:
+def keep_quality(docs: DataFrame, min_repeat: int = MIN_REPEAT_WORDS, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """The documents that repetition_quality keeps, with all their columns.
 
     The text stays with its row: the verdict is computed beside it and no shuffle follows.
     """
     fields = docs.schema.names
-    min_repeat = limits.get("min_repeat", MIN_REPEAT_WORDS)
-    max_covered = limits.get("max_covered", MAX_COVERED)
-    max_longest = limits.get("max_longest", MAX_LONGEST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,9 +228,8 @@ def keep_quality(docs: DataFrame, **limits) -> DataFrame:
             kept = []
             for part in slices(iter([binary]), max_bytes=SLICE_BYTES):
                 c = measure(part.column("text").to_pylist(), min_repeat)
-                n = c["n_words"]
-                base = (n < 50) | (100 * c["n_repeat_words"] > 50 * n)
-                kept.append(~base & (c["covered_words"] <= max_covered * n) & (c["longest_repeat"] <= max_longest))
+                base = base_failed(c["n_words"], c["n_repeat_words"])
+                kept.append(~base & within_limits(c["n_words"], c["covered_words"], c["longest_repeat"], max_covered, max_longest))
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept))).select(fields)
 
