@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -512,7 +513,7 @@ def test_sharding(odd, small, texts):
 
 
 def units_by_force(text):
-    """(start, end, words) of the units with a word, found by walking over the characters."""
+    """(start, end, words) of the units, found by walking over the characters."""
     found, at, i = [], 0, 0
     edges = []
     while i < len(text):
@@ -540,9 +541,13 @@ def units_by_force(text):
             i = max(j, i + 1)
     for a, b in [*edges, (at, len(text))]:
         spaced = "".join(f" {c} " if "\u3400" <= c <= "\u9fff" or "\u3041" <= c <= "\u30fa" else c if c.isalnum() else " " for c in text[a:b].lower())
-        if words := spaced.split():
-            found.append((a, b, words))
-    return found
+        found.append((text[:a].count("\n"), a, b, spaced.split()))
+    out = []
+    for _, line in itertools.groupby(found, key=lambda x: x[0]):
+        line = list(line)
+        long = [x[1:] for x in line if len(x[3]) >= 5]
+        out += long or [(line[0][1], line[-1][2], sum((x[3] for x in line), []))]
+    return [x for x in out if x[2]]
 
 
 def dedup_by_force(rows):
@@ -577,8 +582,8 @@ def test_unit_dedup(spark, odd, small, texts):
         (4, "They sang one song and then one more. They sang one song and then one more. 海港的灯塔守护着。"),
         (4, "海港的灯塔守护着。夜里归来的渔船！海港的灯塔守护着"),
         (7, "e.g. a...b?! Once the tide had turned they rowed out again."),
-        (8, "All rights stay with us here\nSee the harbour plan"),
-        (9, "Yachts\nall rights stay with us here!\nSee the harbour PLAN"),
+        (8, "All rights stay with us here\nSee the harbour plan\nWait. Then row on. "),
+        (9, "Yachts\nall rights stay with us here!\nSee the harbour PLAN\nwait! then row on\nThen row on"),
     ]
     docs = spark.createDataFrame(hard, "doc_id long, text string")
     for name, df, rows in (("odd", odd, texts["odd"]), ("small", small, texts["small"]), ("hard", docs, hard)):
@@ -588,7 +593,7 @@ def test_unit_dedup(spark, odd, small, texts):
         if name == "hard":
             assert sum(r[-1] for r in got) == 2  # the passage is seen in both, the earliest included
             lines = {r[0]: r[4] for r in got if r[0] in (8, 9)}
-            assert lines == {8: "", 9: "7:36,37:57"}  # a line of six words and one of four
+            assert lines == {8: "", 9: "7:36,37:57,58:75"}  # lines of six words, of four and of two short sentences
         out = {(r["doc_id"], r["removed_spans"] or "") : r["text"] for r in unit_dedup.dedup_documents(df).collect()}
         for d, t in rows:
             for spans in {w[4] for w in want if w[0] == d and d is not None and (d, w[4]) in out}:

@@ -89,10 +89,15 @@ tiles AS (SELECT doc_id, k, unnest(p) AS tile, generate_subscripts(p, 1) AS j FR
 placed AS MATERIALIZED (
   SELECT *, coalesce(sum(length(tile)) OVER (PARTITION BY doc_id ORDER BY k, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + k - 1 AS lo,
     trim(regexp_replace(regexp_replace(lower(tile), '([{UNSPACED}])', ' \\1 ', 'g'), '[^\\pL\\pN]+', ' ', 'g')) AS plain FROM tiles),
+sized AS MATERIALIZED (
+  SELECT *, CASE WHEN plain = '' THEN 0 ELSE len(string_split(plain, ' ')) END AS words FROM placed),
+cuts AS (
+  SELECT doc_id, k, lo, lo + length(tile) AS hi, plain, words FROM sized WHERE words >= {RUN_WORDS}
+  UNION ALL SELECT doc_id, k, min(lo), max(lo + length(tile)), string_agg(plain, ' ' ORDER BY j) FILTER (WHERE plain <> ''), sum(words)::BIGINT
+  FROM sized GROUP BY doc_id, k HAVING max(words) < {RUN_WORDS} AND sum(words) >= {MIN_WORDS}),
 units AS MATERIALIZED (
-  SELECT doc_id, lo, lo + length(tile) AS hi, plain, len(string_split(plain, ' ')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS u,
-    len(string_split(plain, ' ')) >= {RUN_WORDS} AS is_long, count(*) FILTER (WHERE len(string_split(plain, ' ')) >= {RUN_WORDS}) OVER (PARTITION BY doc_id ORDER BY k, j) AS place
-  FROM placed WHERE plain <> '' AND len(string_split(plain, ' ')) >= {MIN_WORDS}),
+  SELECT doc_id, lo, hi, plain, words, row_number() OVER (PARTITION BY doc_id ORDER BY lo) AS u, words >= {RUN_WORDS} AS is_long,
+    count(*) FILTER (WHERE words >= {RUN_WORDS}) OVER (PARTITION BY doc_id ORDER BY lo) AS place FROM cuts),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY plain ORDER BY doc_id, u) > 1 AS later, count(*) OVER (PARTITION BY plain) AS copies,
     min(doc_id) OVER (PARTITION BY plain) AS source, max(doc_id) OVER (PARTITION BY plain) AS latest FROM units),

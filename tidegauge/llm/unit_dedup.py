@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.common import cut, slices, utf8
 
-#: Words of the shortest unit whose later copies go.
+#: Words of the shortest line that is a unit.
 MIN_WORDS = 1
-#: Words of the shortest unit of a passage. Shorter ones repeat by chance; they neither end nor lengthen a run.
+#: Words of the shortest sentence that is a unit beside others in its line, and of the shortest unit of a passage. Shorter
+#: ones repeat by chance: they neither end nor lengthen a run.
 RUN_WORDS = 5
 #: Words of a run of adjacent units, each in another document too, from which it is reported as a passage.
 PASSAGE_WORDS = 25
@@ -35,19 +36,33 @@ def normalise(unit: str) -> list[str]:
     return _WORDS.findall(unit.lower())
 
 
-def tiles(text: str, ends: re.Pattern) -> Iterator[tuple[int, int]]:
-    """Start and end of the units of text, in order; line ends lie between them."""
-    at = 0
+def tiles(text: str, ends: re.Pattern) -> Iterator[list[tuple[int, int]]]:
+    """Start and end of the sentences of each line of text, in order; line ends lie between lines."""
+    at, line = 0, []
     for m in ends.finditer(text):
-        yield at, m.start() if "\n" in m[0] else m.end()
+        if "\n" in m[0]:
+            yield [*line, (at, m.start())]
+            line = []
+        else:
+            line.append((at, m.end()))
         at = m.end()
-    yield at, len(text)
+    yield [*line, (at, len(text))]
+
+
+def line_units(text: str, line: list[tuple[int, int]], min_words: int, run_words: int) -> list[tuple[int, int, list[str]]]:
+    """Start, end and words of the units of a line: its sentences of run_words words or more, or else the line as a whole
+    if it has min_words."""
+    found = [(a, b, normalise(text[a:b])) for a, b in line]
+    if long := [x for x in found if len(x[2]) >= run_words]:
+        return long
+    words = [w for _, _, own in found for w in own]
+    return [(line[0][0], line[-1][1], words)] if len(words) >= min_words else []
 
 
 def units(docs: DataFrame, ends: str = SENTENCES, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """doc_id, row_key, number (from 0) of the unit in its row, its place (from 0) among those of run_words words or more
-    (null for shorter ones), start and end (code points of the original text), words and digest of each unit of min_words
-    words or more. row_key tells apart rows that share a doc_id."""
+    (null for shorter ones), start and end (code points of the original text), words and digest of each unit. row_key tells
+    apart rows that share a doc_id."""
     pattern = re.compile(ends)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,8 +71,8 @@ def units(docs: DataFrame, ends: str = SENTENCES, min_words: int = MIN_WORDS, ru
             docs_, rows, numbers, places, starts, stops, sizes, digests = columns
             for doc, row, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "row_key", "text"))):
                 whole, k, place = text.decode("utf-8", "replace"), 0, 0
-                for a, b in tiles(whole, pattern):
-                    if b - a >= min_words and len(words := normalise(whole[a:b])) >= min_words:
+                for line in tiles(whole, pattern):
+                    for a, b, words in line_units(whole, line, min_words, run_words):
                         docs_.append(doc)
                         rows.append(row)
                         numbers.append(k)
@@ -98,8 +113,8 @@ def unit_dedup(docs: DataFrame, ends: str = SENTENCES, min_words: int = MIN_WORD
     the original text, code points, comma-joined), sources (the distinct doc_ids that keep them, ascending), repeated_words,
     passage_words and has_passage.
 
-    Units are lines, cut further at the ends of sentences, of min_words words or more; equal ones after normalisation
-    are copies, of which all go but the earliest ranked. repeated_words counts the words of units that another row has too,
+    Units are the sentences of run_words words or more of a line; a line without any is a unit as a whole if it has
+    min_words. Units that are equal after normalisation are copies, of which all go but the earliest ranked. repeated_words counts the words of units that another row has too,
     the earliest one included. Repeated units of run_words words or more that follow each other (shorter ones between them
     don't count) form a run; passage_words are those of the run with most words of units that another row has, and
     has_passage tells whether that is passage_words or more.
