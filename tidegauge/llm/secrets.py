@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,18 +69,25 @@ def matches(text: Column, pattern: str) -> Column:
     return F.aggregate(F.get(bound, F.lit(0)), whole, shift, lambda a: F.flatten(a["parts"]))
 
 
-def _times(c: Column, window: Column) -> Column:
-    """How often a character is in a window."""
-    return F.length(window) - F.length(F.replace(window, c, F.lit("")))
+def _count(counts: Column, place: Column) -> Column:
+    """The count at a place (from 1) of counts, which has a character from "@" (0) on for each place."""
+    return F.ascii(F.substr(counts, place, F.lit(1))) - ord("@")
+
+
+def _with_count(counts: Column, place: Column, count: Column) -> Column:
+    return F.overlay(counts, F.char(count + ord("@")), place, F.lit(1))
 
 
 def window_entropy(value: Column, alphabet: str, window: int = WINDOW) -> Column:
     """The highest Shannon entropy, in bits, of the windows of value; characters outside the alphabet count as one class.
 
-    The sum of n * log2(n) over the counts n of the window is kept: a step adds the character that enters and takes the one
-    that leaves, and adjusts the sum by the counts of these two alone. Values shorter than a window are one window. Long
-    values are cut into pieces that overlap by a window, so a step reads a short string.
+    The count of each character in the window and the sum of n * log2(n) over the counts n are kept: a step raises the
+    count of the character that enters, lowers that of the one that leaves, and adjusts the sum by these two alone. The
+    counts of a window of 60 characters at most fit a string of one character for each count. Values shorter than a window
+    are one window. Long values are cut into pieces that overlap by a window, so a step reads a short string.
     """
+    if window > 60:
+        raise ValueError(f"windows of {window} characters: counts hold 60 at most")
     logs = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 2)])
     others = "[^" + "".join(c if c.isalnum() else "\\" + c for c in alphabet) + "]"
     plain = F.regexp_replace(value, others, " ")
@@ -88,23 +96,26 @@ def window_entropy(value: Column, alphabet: str, window: int = WINDOW) -> Column
     def change(times: Column, by: int) -> Column:
         return F.get(logs, times + by) - F.get(logs, times)
 
+    def place(piece: Column, i: Column) -> Column:
+        return F.position(F.substr(piece, i, F.lit(1)), F.lit(alphabet)) + 1
+
+    def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
     def least(piece: Column, width: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
-            seen = F.struct(
-                F.substr(piece, i, F.lit(1)).alias("enters"),
-                F.substr(piece, F.greatest(i - width, F.lit(1)), F.least(width, i - 1)).alias("before"),
-                F.when(i > width, F.substr(piece, i - width, F.lit(1))).alias("leaves"),
-            )
+            def enter(at: Column) -> Column:
+                return bind(_count(acc["counts"], at), lambda n: F.struct((acc["sum"] + change(n, 1)).alias("sum"), _with_count(acc["counts"], at, n + 1).alias("counts")))
 
-            def move(s: Column) -> Column:
-                total = acc["sum"] + change(_times(s["enters"], s["before"]), 1)
-                left = _times(s["leaves"], s["before"]) + (s["leaves"] == s["enters"]).cast("int")
-                return F.when(s["leaves"].isNull(), total).otherwise(total + change(left, -1))
+            def leave(now: Column, at: Column) -> Column:
+                return bind(_count(now["counts"], at), lambda n: F.struct((now["sum"] + change(n, -1)).alias("sum"), _with_count(now["counts"], at, n - 1).alias("counts")))
 
-            moved = F.transform(F.transform(F.array(seen), move), lambda t: F.struct(t.alias("sum"), F.when(i >= width, F.least(acc["least"], t)).otherwise(acc["least"]).alias("least")))
-            return F.get(moved, F.lit(0))
+            entered = bind(place(piece, i), enter)
+            moved = bind(entered, lambda now: F.when(i <= width, now).otherwise(bind(place(piece, i - width), lambda at: leave(now, at))))
+            best = lambda s: F.when(i >= width, F.least(acc["least"], s["sum"])).otherwise(acc["least"])
+            return bind(moved, lambda s: F.struct(s["sum"].alias("sum"), best(s).alias("least"), s["counts"].alias("counts")))
 
-        start = F.struct(F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"))
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"), F.lit("@" * (len(alphabet) + 1)).alias("counts"))
         return F.aggregate(F.sequence(F.lit(1), F.length(piece)), start, step, lambda a: a["least"])
 
     # transform over a one-element array binds the width once: a long value isn't measured anew at every step.
