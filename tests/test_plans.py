@@ -34,3 +34,9 @@ def test_constraints_over_decisions_end_in_time(spark):
     found = QUERIES["decision_constraint_violations"](spark, "/root/testdata/sf0.01")
     assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 20_000
     assert found.count() > 0 and time.monotonic() - began < 120
+
+
+def test_filters_on_decoded_records_stay_above_decoding(spark):
+    for name in ("event_envelopes", "event_dead_letters"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert len(plan) < 30_000 and plan.count("from_json(") == 1, name

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.functions.uri import resource_type
+from tidegauge.operators.materialize import settled
 from tidegauge.schemas import DECISION_ENVELOPE, EVENT_ENVELOPE, STREAM_RECORD
 
 TOPIC_EVENTS, TOPIC_DECISIONS, TOPIC_DEAD_LETTERS, TOPIC_SIGNALS = "raw_events", "decisions", "dead_letter_events", "baseline_signals"
@@ -41,7 +42,7 @@ def decoded(records: DataFrame, envelope: T.StructType) -> DataFrame:
     e = F.from_json(text, envelope, {"mode": "PERMISSIVE"})
     rows = records.withColumn("e", e)
     bad = F.when(F.json_object_keys(text).isNull(), "malformed JSON").when(F.col("e.event_id").isNull() | F.col("e.payload").isNull(), "incomplete envelope")
-    return rows.withColumn("decode_error", bad)
+    return settled(rows.withColumn("decode_error", bad))
 
 
 def events_of(records: DataFrame) -> DataFrame:
