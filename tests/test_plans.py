@@ -40,3 +40,11 @@ def test_filters_on_decoded_records_stay_above_decoding(spark):
     for name in ("event_envelopes", "event_dead_letters"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert len(plan) < 30_000 and plan.count("from_json(") == 1, name
+
+
+def test_a_score_is_computed_once_not_for_each_quantile(spark):
+    quantiles = F.array(*map(F.lit, (0.25, 0.5, 0.5, 0.75)))
+    rows = spark.range(5).select(baseline.normalised(F.log1p("id") - F.lit(0.2), F.when(F.col("id") >= 0, quantiles)).alias("n"))
+    before, *steps = rows._jdf.queryExecution().optimizedPlan().toString().split("lambdafunction(")
+    assert steps and "LOG1P" in before and not any("LOG1P" in s for s in steps)
+    assert [r["n"] for r in rows.collect()] == [0.0, 0.25, 1.0, 1.0, 1.0]

@@ -151,9 +151,19 @@ TIE_DECIMALS = 9
 
 
 def normalised(raw: Column, quantiles: Column) -> Column:
-    """The share of the quantiles that are not above the score."""
-    score = F.round(raw, TIE_DECIMALS)
-    return F.size(F.filter(quantiles, lambda q: F.round(q, TIE_DECIMALS) <= score)) / F.size(quantiles)
+    """The share of the quantiles, which are in order, that are not above the score.
+
+    A binary search: n quantiles are known to be not above, ever shorter steps go on from there. The score is the search's
+    beginning, not a part of its steps, so that the optimizer can't write it out into what runs once a quantile.
+    """
+    steps = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
+    start = F.struct(F.lit(0).alias("n"), F.round(raw, TIE_DECIMALS).alias("score"))
+
+    def step(found: Column, width: Column) -> Column:
+        passes = F.coalesce(F.round(F.get(quantiles, found["n"] + width - 1), TIE_DECIMALS) <= found["score"], F.lit(False))
+        return F.struct((found["n"] + F.when(passes, width).otherwise(0)).alias("n"), found["score"].alias("score"))
+
+    return F.aggregate(steps, start, step, lambda found: found["n"]) / F.size(quantiles)
 
 
 def training_scores(features: DataFrame, models: DataFrame) -> DataFrame:
