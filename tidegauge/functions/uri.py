@@ -75,11 +75,10 @@ def endpoint_path(uri: Column) -> Column:
     doesn't parse (a bad escape, a relative path, no path) is cut at the first `?` or `#` and left as it is. Blank: empty.
     """
     u = F.trim(uri)
-    rooted = F.regexp_extract(u, r"^(/[^?]*)", 1)
     absolute = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?]*)", 1)
-    path = F.when(rooted != "", rooted).otherwise(absolute)
+    path = F.when(F.startswith(u, F.lit("/")), F.substring_index(u, "?", 1)).otherwise(absolute)
     decoded = F.when(F.contains(path, F.lit("%")), F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).otherwise(path)
-    rest = F.regexp_extract(u, r"^([^?#]*)", 1)
+    rest = F.substring_index(F.substring_index(u, "?", 1), "#", 1)
     return F.when(u == "", F.lit("")).when((path != "") & decoded.isNotNull() & ~u.rlike(r"[\x00-\x1f\x7f ]"), decoded).otherwise(rest)
 
 
@@ -94,13 +93,12 @@ def is_api_path(path: Column) -> Column:
 
 def resource_type(uri: Column) -> Column:
     """One of the ten resource classes. API paths win over extensions; a path without extension is a page."""
-    path = F.lower(endpoint_path(uri))
-    ext = extension(path)
+    return endpoint_resource_type(endpoint_path(uri))
+
+
+def endpoint_resource_type(endpoint: Column) -> Column:
+    """resource_type of an endpoint_path; cheaper over one that is a column, for it is named several times."""
+    path = F.lower(endpoint)
     by_media = {e: c for e, m in MEDIA_TYPES.items() if (c := media_class(m))}
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable((by_media | EXTENSIONS).items())])
-    return (
-        F.when(path == "", "other")
-        .when(is_api_path(path), "api")
-        .when(ext == "", "html")
-        .otherwise(F.coalesce(F.try_element_at(table, ext), F.lit("other")))
-    )
+    table = F.create_map(*[F.lit(x) for x in chain.from_iterable((by_media | EXTENSIONS | {"": "html"}).items())])
+    return F.when(path == "", "other").when(is_api_path(path), "api").otherwise(F.coalesce(F.try_element_at(table, extension(path)), F.lit("other")))

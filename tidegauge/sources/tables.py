@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.functions.uri import endpoint_path, resource_type
+from tidegauge.functions.uri import endpoint_path, endpoint_resource_type
 from tidegauge.schemas import POLICY_DDL
 
 SNAPSHOTS = ("events", "decisions", "baseline_runs")
@@ -24,8 +24,8 @@ def utc(spark: SparkSession) -> SparkSession:
 
 def http_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver's events table as classified HTTP events: a page view, script, order or sign-up for each event type."""
-    raw = utc(spark).read.parquet(f"{sf_dir}/events.parquet")
-    k = F.get_json_object("props", "$.k").cast("int")
+    raw = utc(spark).read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    k = F.col("k")
     kind = F.col("event_type")
     uri = (
         F.when(kind == "view", F.concat(F.lit("/p/"), k.cast("string"), F.lit("?ref="), (F.col("event_id") % 5).cast("string")))
@@ -52,7 +52,8 @@ def http_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classified(events: DataFrame) -> DataFrame:
     """Events with resource_type, endpoint and t, the event time in microseconds."""
-    return events.withColumns({"resource_type": resource_type(F.col("uri")), "endpoint": endpoint_path(F.col("uri")), "t": F.unix_micros("event_time")})
+    pathed = events.withColumn("endpoint", endpoint_path(F.col("uri")))
+    return pathed.select(*events.columns, endpoint_resource_type(F.col("endpoint")).alias("resource_type"), "endpoint", F.unix_micros("event_time").alias("t"))
 
 
 def snapshot_events(operational: DataFrame) -> DataFrame:
