@@ -6,10 +6,10 @@ import time
 
 from pyspark.sql import functions as F
 
-from tidegauge.operators import baseline
+from tidegauge.operators import baseline, scoring
 from tidegauge.plans import flows
 from tidegauge.plans.registry import QUERIES
-from tidegauge.schemas import FitSpec
+from tidegauge.schemas import HISTOGRAM_DDL, POLICY_V1, FitSpec
 from tidegauge.sources.tables import http_events
 
 
@@ -48,3 +48,16 @@ def test_a_score_is_computed_once_not_for_each_quantile(spark):
     before, *steps = rows._jdf.queryExecution().optimizedPlan().toString().split("lambdafunction(")
     assert steps and "LOG1P" in before and not any("LOG1P" in s for s in steps)
     assert [r["n"] for r in rows.collect()] == [0.0, 0.25, 1.0, 1.0, 1.0]
+
+
+def test_a_band_takes_its_score_once(spark):
+    bands = scoring.policy_row()[1]
+    rows = spark.range(3).select(scoring.band(bands, F.log1p("id") - F.lit(0.5))["action"].alias("action"))
+    before, *steps = rows._jdf.queryExecution().optimizedPlan().toString().split("lambdafunction(")
+    assert steps and "LOG1P" in before and not any("LOG1P" in s for s in steps)
+    assert [r["action"] for r in rows.collect()][0] == POLICY_V1["bands"][0]["action"]
+
+
+def test_a_score_is_one_expression_for_all_features(spark):
+    rows = spark.range(1).select(baseline.raw_score(F.from_json(F.lit("[]"), f"array<{HISTOGRAM_DDL}>"), [F.col("id")] * 9).alias("s"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("bin_min") < 10

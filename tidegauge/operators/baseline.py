@@ -117,12 +117,13 @@ def valid_quantiles(q: Column) -> Column:
     return (F.size(q) > 0) & F.forall(q, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.array_sort(q) == q)
 
 
-def score_terms(histograms_: Column, values: list[Column]) -> list[Column]:
-    """The contribution of each feature: -ln of the probability that the histogram gives its value."""
-    terms = []
-    for i, (f, raw) in enumerate(zip(REGISTRY, values)):
-        h = F.get(histograms_, F.lit(i))
-        v = transformed(raw, f.transform)
+def score_terms(histograms_: Column, values: list[Column]) -> Column:
+    """The contribution of each feature, as an array: -ln of the probability that the histogram gives its value.
+
+    One expression for all features: written out for each, they are more than the compiler of the JVM takes.
+    """
+
+    def term(h: Column, v: Column) -> Column:
         low, width, masses = h["bin_min"], h["bin_width"], h["bin_masses"]
         n = F.size(masses)
         binned = F.get(masses, F.least(F.greatest(F.floor(F.try_divide(v - low, width)), F.lit(0)), n - 1).cast("int"))
@@ -132,16 +133,15 @@ def score_terms(histograms_: Column, values: list[Column]) -> list[Column]:
             .when((v >= low) & (v <= low + width * n), binned)
             .otherwise(h["out_of_range_mass"])
         )
-        terms.append(F.when(v.isNull(), -F.ln(h["p_undefined"])).otherwise(-F.ln((1 - h["p_undefined"]) * mass)))
-    return terms
+        return F.when(v.isNull(), -F.ln(h["p_undefined"])).otherwise(-F.ln((1 - h["p_undefined"]) * mass))
+
+    return F.zip_with(histograms_, F.array(*(transformed(raw, f.transform) for f, raw in zip(REGISTRY, values))), term)
 
 
 def raw_score(histograms_: Column, values: list[Column] | None = None) -> Column:
     """The contributions, summed in registry order; null without a model. A model of another width than the values is an error."""
     values = values or [F.col(n) for n in NAMES]
-    total = F.lit(0.0)
-    for term in score_terms(histograms_, values):
-        total = total + term
+    total = F.aggregate(score_terms(histograms_, values), F.lit(0.0), lambda a, x: a + x)
     wide = F.concat(F.lit("a model of "), F.size(histograms_).cast("string"), F.lit(f" histograms can't score {len(values)} features"))
     return F.when(histograms_.isNull(), None).when(F.size(histograms_) == len(values), total).otherwise(F.raise_error(wide).cast("double"))
 

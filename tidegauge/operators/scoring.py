@@ -40,8 +40,9 @@ def policy_row(policy: dict = POLICY_V1) -> tuple[Column, Column, Column]:
 
 
 def band(bands: Column, score: Column) -> Column:
-    """The first band whose bound is above the score; a null bound is open."""
-    return F.get(F.filter(bands, lambda b: b["max_score"].isNull() | (score < b["max_score"])), F.lit(0))
+    """The first band whose bound is above the score; a null bound is open. The score is taken once, not for each band."""
+    first = lambda s: F.get(F.filter(bands, lambda b: b["max_score"].isNull() | (s < b["max_score"])), F.lit(0))
+    return F.get(F.transform(F.array(score), first), F.lit(0))
 
 
 def decide(features: DataFrame, models: DataFrame, decided_at: Column, policy: dict = POLICY_V1) -> DataFrame:
