@@ -154,9 +154,10 @@ def normalised(raw: Column, quantiles: Column) -> Column:
     """The share of the quantiles, which are in order, that are not above the score.
 
     A binary search: n quantiles are known to be not above, ever shorter steps go on from there. The score is the search's
-    beginning, not a part of its steps, so that the optimizer can't write it out into what runs once a quantile.
+    beginning, not a part of its steps, so that the optimizer can't write it out into what runs once a quantile. There are as
+    many steps as the number of quantiles has binary digits.
     """
-    steps = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
+    steps = F.slice(F.array(*(F.lit(1 << k) for k in range(30, -1, -1))), -F.length(F.bin(F.size(quantiles))), F.length(F.bin(F.size(quantiles))))
     start = F.struct(F.lit(0).alias("n"), F.round(raw, TIE_DECIMALS).alias("score"))
 
     def step(found: Column, width: Column) -> Column:

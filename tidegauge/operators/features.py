@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.features import NAMES, PREDICATES
-from tidegauge.operators.windows import BUCKET, VISITOR, bucket_micros, in_bucket, with_guests
+from tidegauge.operators.windows import BUCKET, IN_ORDER, VISITOR, bucket_micros, in_bucket, with_guests
 from tidegauge.schemas import WindowSpec
 
 #: Rows that are looked at together; a window that is larger is held whole.
@@ -124,10 +124,9 @@ def _spreads(gap: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray
     squares = [_running(x) for x in (high * high, high * low, low * low)]
     sums = _running(gap)
     out = np.full(len(first), np.nan)
-    for i in np.flatnonzero(last - first >= 2):
-        a, b = first[i], last[i]
-        n, total = int(b - a), int(sums[b] - sums[a])
-        hh, hl, ll = (int(s[b] - s[a]) for s in squares)
+    some = np.flatnonzero(last - first >= 2)
+    a, b = first[some], last[some]
+    for i, n, total, hh, hl, ll in zip(some.tolist(), (b - a).tolist(), (sums[b] - sums[a]).tolist(), *((s[b] - s[a]).tolist() for s in squares)):
         if total:
             out[i] = max(0, n * ((hh << 40) + (hl << 21) + ll) - total * total) ** 0.5 / total
     return out
@@ -182,8 +181,9 @@ def window_values(block: pa.Table, old: int, spec: WindowSpec) -> tuple[np.ndarr
     ]
 
 
-def window_features(samples: DataFrame, events: DataFrame, spec: WindowSpec) -> DataFrame:
-    """source_id, visitor_id, event_id, t, arrival and the nine features of each sample; undefined ones are null.
+def window_features(samples: DataFrame, events: DataFrame, spec: WindowSpec, carried: tuple[str, ...] = ()) -> DataFrame:
+    """source_id, visitor_id, event_id, t, arrival, the carried columns of samples and the nine features of each sample;
+    undefined ones are null.
 
     events: the history that windows may hold, the samples among them. Events go to their time bucket and, if a window of the
     next bucket may hold them, to that one too; samples go to theirs. So every window lies in one group, events are shuffled
@@ -193,9 +193,9 @@ def window_features(samples: DataFrame, events: DataFrame, spec: WindowSpec) ->
     flags = {name: F.coalesce(predicate(), F.lit(False)).alias(name) for name, predicate in PREDICATES.items()}
     members = events.select(*VISITOR, "t", "arrival", "endpoint", "http_method", *flags.values())
     spread = with_guests(members, spec, ("t", "arrival", "endpoint", "http_method", *FLAGS)).drop("guest").withColumn("sample", F.lit(0))
-    ends = samples.select(*VISITOR, "t", "arrival", "event_id", in_bucket(F.col("t"), bucket_micros(spec)).alias("bucket"), F.lit(1).alias("sample"))
-    rows = spread.unionByName(ends, allowMissingColumns=True).repartition(*BUCKET).sortWithinPartitions(*BUCKET, "t", "arrival", "sample")
-    out = (*VISITOR, "event_id", "t", "arrival")
+    ends = samples.select(*VISITOR, "t", "arrival", "event_id", *carried, in_bucket(F.col("t"), bucket_micros(spec)).alias("bucket"), F.lit(1).alias("sample"))
+    rows = spread.unionByName(ends, allowMissingColumns=True).repartition(*BUCKET).sortWithinPartitions(*IN_ORDER, "t", "arrival", "sample")
+    out = (*VISITOR, "event_id", "t", "arrival", *carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, old in _blocks(batches, spec):

@@ -7,6 +7,7 @@ is as many groups as it has busy buckets.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from tidegauge.schemas import WindowSpec
 
 VISITOR = ("source_id", "visitor_id")
 BUCKET = (*VISITOR, "bucket")
+#: The order of buckets in a task. The visitor comes first: a sort compares a prefix of its first column, and sources are few.
+IN_ORDER = ("visitor_id", "source_id", "bucket")
 DAY_MICROS = 86_400_000_000
 
 
@@ -89,21 +92,34 @@ def gate_steps(times: np.ndarray, start: int, cadence: int) -> tuple[np.ndarray,
 
     times: the bucket's sorted candidates. If the gate may open from time x on, and x is at most entries[k] but above
     entries[k - 1], then exits[k] is the last opening in the bucket; above all entries the bucket has none. x is below start
-    + cadence, so only the candidates up to the first one from there on can be the first opening. All their walks go on
-    together; a step is a cadence or more, so there are few.
+    + cadence, so only the candidates up to the first one from there on can be the first opening.
     """
-    n = len(times)
-    at = np.arange(min(n, int(np.searchsorted(times, start + cadence)) + 1))
-    entries = times[at]
-    following = np.searchsorted(times, times + cadence)
-    open_ = np.arange(len(at))
+    return many_gate_steps(times, np.array([0, len(times)]), np.array([start]), cadence)[1:]
+
+
+def many_gate_steps(times: np.ndarray, at: np.ndarray, starts: np.ndarray, cadence: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """gate_steps of many buckets: where each one's steps begin (and the end of all), entries and exits.
+
+    times[at[k]:at[k + 1]] are those of bucket k. All walks go on together; a step is a cadence or more, so there are few.
+    """
+    n, of = len(starts), np.repeat(np.arange(len(starts)), np.diff(at))
+    if not len(times):
+        return np.zeros(n + 1, np.int64), times, times
+    inside = times - starts[of]
+    low = min(0, int(inside.min()))
+    # (bucket, time) is one increasing number, and a cadence after a bucket's last candidate comes before the next bucket.
+    stride = max(0, int(inside.max())) - low + cadence + 1
+    line = of * stride + inside - low
+    begins = np.flatnonzero(np.arange(len(times)) <= np.searchsorted(line, np.arange(n) * stride + cadence - low)[of])
+    following, place, open_ = np.searchsorted(line, line + cadence), begins.copy(), np.arange(len(begins))
     while len(open_):
-        to = following[at[open_]]
-        open_ = open_[to < n]
-        at[open_] = to[to < n]
-    exits = times[at]
-    last = np.append(exits[1:] != exits[:-1], True)
-    return entries[last], exits[last]
+        to = following[place[open_]]
+        goes_on = to < at[1:][of[begins[open_]]]
+        open_ = open_[goes_on]
+        place[open_] = to[goes_on]
+    exits, own = times[place], of[begins]
+    last = np.append((exits[1:] != exits[:-1]) | (own[1:] != own[:-1]), True)
+    return np.append(0, np.cumsum(np.bincount(own[last], minlength=n))), times[begins][last], exits[last]
 
 
 def _bucket_steps(candidates: DataFrame, cadence: int, length: int) -> DataFrame:
@@ -112,9 +128,9 @@ def _bucket_steps(candidates: DataFrame, cadence: int, length: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             times, buckets = batch.column("times"), batch.column("bucket").to_numpy()
-            flat, at = times.flatten().to_numpy(), np.append(0, np.cumsum(times.value_lengths().to_numpy()))
-            steps = [gate_steps(flat[a:b], int(k) * length, cadence) for a, b, k in zip(at, at[1:], buckets)]
-            columns = [pa.array([s[i] for s in steps], pa.list_(pa.int64())) for i in (0, 1)]
+            at = np.append(0, np.cumsum(times.value_lengths().to_numpy()))
+            offsets, *steps = many_gate_steps(times.flatten().to_numpy(), at, buckets * length, cadence)
+            columns = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(s, pa.int64())) for s in steps]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in BUCKET), *columns], names=[*BUCKET, "entries", "exits"])
 
     grouped = candidates.groupBy(*BUCKET).agg(F.sort_array(F.collect_list("t")).alias("times"))
@@ -126,23 +142,64 @@ def _ddl(df: DataFrame, columns: tuple[str, ...]) -> str:
 
 
 def _entry_states(steps: DataFrame, cadence: int) -> DataFrame:
-    """(visitor, bucket, t): the last opening before each bucket, null before the first one. A row a bucket, in order."""
+    """(visitor, bucket, t): the last opening before each bucket, null before the first one. A row a bucket, in order.
+
+    The number of partitions is given, else they are joined into one task where these rows are few beside the candidates.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         visitor, last = None, None
         for batch in batches:
-            edges = set(_edges(batch, VISITOR)) if batch.num_rows else set()
+            edges = set(_edges(batch, VISITOR))
+            if batch.num_rows:
+                if _key(batch, VISITOR, 0) == visitor:
+                    edges.discard(0)
+                visitor = _key(batch, VISITOR, batch.num_rows - 1)
             before: list[int | None] = []
             for i, (entries, exits) in enumerate(zip(batch.column("entries").to_pylist(), batch.column("exits").to_pylist())):
-                if i in edges and (own := _key(batch, VISITOR, i)) != visitor:
-                    visitor, last = own, None
+                if i in edges:
+                    last = None
                 before.append(last)
-                k = 0 if last is None else int(np.searchsorted(entries, last + cadence))
+                k = 0 if last is None else bisect_left(entries, last + cadence)
                 if k < len(exits):
                     last = exits[k]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in BUCKET), pa.array(before, pa.int64())], names=[*BUCKET, "t"])
 
-    return steps.repartition(*VISITOR).sortWithinPartitions(*BUCKET).mapInArrow(run, f"{_ddl(steps, BUCKET)}, t long")
+    parts = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return steps.repartition(parts, *VISITOR).sortWithinPartitions(*IN_ORDER).mapInArrow(run, f"{_ddl(steps, BUCKET)}, t long")
+
+
+#: Before every opening.
+NEVER = -(1 << 62)
+
+
+def openings(t: np.ndarray, first: np.ndarray, end: np.ndarray, last: np.ndarray, cadence: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that open the gate, in order, and the last opening of each bucket after them.
+
+    Bucket k's sorted candidates are t[first[k]:end[k]], and its last opening before them is last[k]; buckets lie in order,
+    and rows between them are of no account. The walks of all buckets go on together.
+    """
+    last, busy = last.copy(), np.flatnonzero(first < end)
+    if not len(busy):
+        return busy, last
+    size = (end - first)[busy]
+    of = np.repeat(np.arange(len(busy)), size)
+    begins = np.cumsum(size) - size
+    rows = np.arange(len(of)) - begins[of] + first[busy][of]
+    origin = t[first[busy]]
+    inside = t[rows] - origin[of]
+    stride = int(inside.max()) + cadence + 1
+    line = of * stride + inside
+    following = np.searchsorted(line, line + cadence)
+    place = np.searchsorted(line, np.arange(len(busy)) * stride + np.clip(last[busy] + cadence - origin, 0, stride - 1))
+    open_, kept = np.flatnonzero(place < begins + size), []
+    while len(open_):
+        at = place[open_]
+        kept.append(at)
+        last[busy[open_]] = t[rows[at]]
+        place[open_] = following[at]
+        open_ = open_[place[open_] < (begins + size)[open_]]
+    return rows[np.sort(np.concatenate(kept))] if kept else busy[:0], last
 
 
 def cadence_gate(candidates: DataFrame, cadence_micros: int, length: int | None = None) -> DataFrame:
@@ -158,25 +215,19 @@ def cadence_gate(candidates: DataFrame, cadence_micros: int, length: int | None
     states = _entry_states(_bucket_steps(candidates, cadence_micros, length), cadence_micros)
     # A bucket's state is a row ahead of its candidates, so they need no join.
     rows = candidates.withColumn("_state", F.lit(1)).unionByName(states.withColumn("_state", F.lit(0)), allowMissingColumns=True)
-    dealt = rows.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "_state", "t", "arrival")
+    dealt = rows.repartition(*BUCKET).sortWithinPartitions(*IN_ORDER, "_state", "t", "arrival")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        carried = NEVER
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t, state = batch.column("t").fill_null(0).to_numpy(), batch.column("_state").to_numpy()
-            edges = _edges(batch, BUCKET)
-            kept: list[int] = []
-            for a, b in zip(edges, edges[1:]):
-                if not state[a]:  # a bucket begins; one without it goes on from the batch before
-                    last = batch.column("t")[a].as_py()
-                    a += 1
-                i = a if last is None else a + int(np.searchsorted(t[a:b], last + cadence_micros))
-                while i < b:
-                    kept.append(i)
-                    last = int(t[i])
-                    i = a + int(np.searchsorted(t[a:b], last + cadence_micros))
+            t, begins = batch.column("t").fill_null(NEVER).to_numpy(), batch.column("_state").to_numpy() == 0
+            edges = np.array(_edges(batch, BUCKET))
+            # A bucket begins with its state; one without it goes on from the batch before.
+            stated = begins[edges[:-1]]
+            kept, last = openings(t, edges[:-1] + stated, edges[1:], np.where(stated, t[edges[:-1]], carried), cadence_micros)
+            carried = last[-1]
             yield batch.take(pa.array(kept, pa.int64()))
 
     return dealt.mapInArrow(run, dealt.schema).drop("_state", "bucket")

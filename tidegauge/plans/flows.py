@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidegauge.operators import baseline, marts, quality, scoring
 from tidegauge.operators.features import window_features
 from tidegauge.operators.materialize import cut
-from tidegauge.operators.windows import fit_samples, serve_samples
+from tidegauge.operators.windows import VISITOR, serve_samples
 from tidegauge.schemas import FitSpec, WindowSpec
 from tidegauge.sources.tables import http_events
 
@@ -27,8 +27,12 @@ def fit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline.history(events.where(F.col("t") < split_micros()), WINDOWS, FIT)
 
 
+#: What sampling needs of an event; gates and their tables carry no other column.
+SAMPLED = (*VISITOR, "event_id", "event_time", "t", "arrival")
+
+
 def training_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return baseline.horizon_samples(fit_history(spark, sf_dir), WINDOWS)
+    return baseline.horizon_samples(fit_history(spark, sf_dir).select(*SAMPLED, "horizon_t"), WINDOWS)
 
 
 def training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -56,20 +60,40 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(baseline.fit_baselines(features, counts, WINDOWS, FIT, F.lit(SPLIT).cast("timestamp")))
 
 
+def serve_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that windows after the split may hold: those of one window length before it, and all later ones.
+
+    Older events decide nothing there: no such window holds them, and an event is late only by a newer one.
+    """
+    return http_events(spark, sf_dir).where(F.col("t") >= split_micros() - WINDOWS.length_micros)
+
+
 def served(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evaluated windows after the split; windows may reach back over it, the gate starts fresh."""
-    return serve_samples(http_events(spark, sf_dir), WINDOWS, F.col("t") >= split_micros())
+    return serve_samples(serve_history(spark, sf_dir).select(*SAMPLED), WINDOWS, F.col("t") >= split_micros())
 
 
 def decisions(spark: SparkSession, sf_dir: str, fitted: DataFrame | None = None) -> DataFrame:
     """Decisions on the served windows under the runs fitted before the split."""
-    samples = cut(served(spark, sf_dir))
-    features = window_features(samples, http_events(spark, sf_dir), WINDOWS)
-    rows = features.join(samples.select("event_id", "event_time", "eligible"), "event_id")
+    rows = window_features(served(spark, sf_dir), serve_history(spark, sf_dir), WINDOWS, ("event_time", "eligible"))
     models = scoring.loaded_models(runs(spark, sf_dir) if fitted is None else fitted, WINDOWS)
     return scoring.decide(rows, models, F.col("event_time"))
 
 
+def dated_decisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Decisions with their days and the staged runs, both materialised."""
+    fitted = runs(spark, sf_dir)
+    events = marts.staged_events(http_events(spark, sf_dir))
+    return cut(marts.decisions_with_event_date(decisions(spark, sf_dir, fitted), events)), marts.staged_runs(fitted)
+
+
+def mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily table alone, materialised."""
+    dated, fitted = dated_decisions(spark, sf_dir)
+    traffic = marts.daily_traffic(marts.staged_events(http_events(spark, sf_dir)))
+    return cut(marts.risk_mart(traffic, marts.daily_outcomes(dated), marts.usage_segments(dated, fitted)))
+
+
 def tables(spark: SparkSession, sf_dir: str) -> quality.Tables:
     """All tables that the marts and checks read; decisions, with and without their days, and runs are materialised once."""
     events = marts.staged_events(http_events(spark, sf_dir))
