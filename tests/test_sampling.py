@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import TESTDATA
 from tests.tasks import most_rows_read
-from tidegauge.operators import baseline, windows
+from tidegauge.operators import baseline, marts, windows
 from tidegauge.operators.features import window_features
 from tidegauge.operators.windows import serve_samples
 from tidegauge.plans import flows
@@ -85,3 +85,15 @@ def test_search_steps(spark):
         for score in (-1.0, 0.0, q[-1] / 2, q[-1] - 0.5, q[-1], q[-1] + 1):
             got = spark.range(1).select(baseline.normalised(F.lit(score), F.array(*map(F.lit, q))).alias("x")).first()["x"] if n < 10 else spark.createDataFrame([(q, score)], "q array<double>, s double").select(baseline.normalised(F.col("s"), F.col("q")).alias("x")).first()["x"]
             assert got == sum(x <= score for x in q) / n
+
+
+def test_outcomes_without_the_mart(spark, monkeypatch):
+    """The outcomes and the segments are had without the daily table."""
+    from tidegauge.plans import registry
+
+    def refuse(*_):
+        raise AssertionError("built the whole table")
+
+    monkeypatch.setattr(marts, "risk_mart", refuse)
+    for name in ("daily_outcomes", "baseline_usage_segments"):
+        assert registry.QUERIES[name](spark, SF).count() >= 0

@@ -218,22 +218,22 @@ def decisions_with_event_date(spark, sf_dir):
 
 @query
 def daily_outcomes(spark, sf_dir):
-    return flows.tables(spark, sf_dir).outcomes
+    return marts.daily_outcomes(flows.dated_decisions(spark, sf_dir)[0])
 
 
 @query
 def baseline_usage_segments(spark, sf_dir):
-    return flows.tables(spark, sf_dir).segments.drop("baseline_features_fit", "baseline_registry_hash")
+    return marts.usage_segments(*flows.dated_decisions(spark, sf_dir)).drop("baseline_features_fit", "baseline_registry_hash")
 
 
 @query
 def daily_risk_mart(spark, sf_dir):
-    return flows.tables(spark, sf_dir).mart.drop("baseline_usage_segments")
+    return flows.mart(spark, sf_dir).drop("baseline_usage_segments")
 
 
 @query
 def risk_mart_segments_unnested(spark, sf_dir):
-    return dashboard.usage_rows(flows.tables(spark, sf_dir).mart)
+    return dashboard.usage_rows(flows.mart(spark, sf_dir))
 
 
 @query
@@ -249,42 +249,42 @@ def recent_decisions_by_source(spark, sf_dir):
 
 @query
 def filter_options(spark, sf_dir):
-    return dashboard.filter_options(flows.tables(spark, sf_dir).mart)
+    return dashboard.filter_options(flows.mart(spark, sf_dir))
 
 
 @query
 def daily_summaries_partial_day(spark, sf_dir):
-    return dashboard.daily_summaries(flows.tables(spark, sf_dir).mart, None, "2024-01-01", "2024-01-25").select("source_id", "event_date", "is_partial_day", "request_count", "scored_window_count")
+    return dashboard.daily_summaries(flows.mart(spark, sf_dir), None, "2024-01-01", "2024-01-25").select("source_id", "event_date", "is_partial_day", "request_count", "scored_window_count")
 
 
 @query
 def kpi_totals(spark, sf_dir):
-    return dashboard.kpi_totals(flows.tables(spark, sf_dir).mart)
+    return dashboard.kpi_totals(flows.mart(spark, sf_dir))
 
 
 @query
 def evaluation_rate(spark, sf_dir):
-    return dashboard.evaluation_rate(flows.tables(spark, sf_dir).mart)
+    return dashboard.evaluation_rate(flows.mart(spark, sf_dir))
 
 
 @query
 def risk_composition(spark, sf_dir):
-    return dashboard.risk_composition(flows.tables(spark, sf_dir).mart)
+    return dashboard.risk_composition(flows.mart(spark, sf_dir))
 
 
 @query
 def action_distribution(spark, sf_dir):
-    return dashboard.action_distribution(flows.tables(spark, sf_dir).mart)
+    return dashboard.action_distribution(flows.mart(spark, sf_dir))
 
 
 @query
 def score_trend(spark, sf_dir):
-    return dashboard.score_trend(flows.tables(spark, sf_dir).mart)
+    return dashboard.score_trend(flows.mart(spark, sf_dir))
 
 
 @query
 def daily_requests(spark, sf_dir):
-    return dashboard.daily_requests(flows.tables(spark, sf_dir).mart)
+    return dashboard.daily_requests(flows.mart(spark, sf_dir))
 
 
 @query
