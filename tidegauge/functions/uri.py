@@ -84,11 +84,13 @@ def endpoint_path(uri: Column) -> Column:
 
 def extension(path: Column) -> Column:
     """From the last dot of the last segment, lower-cased; empty if there is none."""
-    return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
+    last = F.substring_index(path, "/", -1)
+    return F.when(~F.contains(last, F.lit(".")), F.lit("")).otherwise(F.lower(F.concat(F.lit("."), F.substring_index(last, ".", -1))))
 
 
 def is_api_path(path: Column) -> Column:
-    return path.rlike("^/(api|ajax|graphql)(/|$)")
+    # Most paths are told by their first two characters, without the pattern.
+    return (F.startswith(path, F.lit("/a")) | F.startswith(path, F.lit("/g"))) & path.rlike("^/(api|ajax|graphql)(/|$)")
 
 
 def resource_type(uri: Column) -> Column:
@@ -100,5 +102,5 @@ def endpoint_resource_type(endpoint: Column) -> Column:
     """resource_type of an endpoint_path; cheaper over one that is a column, for it is named several times."""
     path = F.lower(endpoint)
     by_media = {e: c for e, m in MEDIA_TYPES.items() if (c := media_class(m))}
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable((by_media | EXTENSIONS | {"": "html"}).items())])
-    return F.when(path == "", "other").when(is_api_path(path), "api").otherwise(F.coalesce(F.try_element_at(table, extension(path)), F.lit("other")))
+    table = F.create_map(*[F.lit(x) for x in chain.from_iterable((EXTENSIONS | {e: c for e, c in by_media.items() if e not in EXTENSIONS} | {"": "html"}).items())])
+    return F.when(path == "", "other").when(is_api_path(path), "api").when(~F.contains(path, F.lit(".")), "html").otherwise(F.coalesce(F.try_element_at(table, extension(path)), F.lit("other")))

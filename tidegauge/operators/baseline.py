@@ -146,6 +146,36 @@ def raw_score(histograms_: Column, values: list[Column] | None = None) -> Column
     return F.when(histograms_.isNull(), None).when(F.size(histograms_) == len(values), total).otherwise(F.raise_error(wide).cast("double"))
 
 
+def cost_tables(histograms_: Column) -> Column:
+    """What a score takes of each histogram: the bounds and width of its bins, the last bin, and the contributions of an
+    undefined value, of one outside and of each bin. Computed once a model, they leave no logarithm to a row's score."""
+
+    def table(h: Column) -> Column:
+        low, width, masses, seen = h["bin_min"], h["bin_width"], h["bin_masses"], 1 - h["p_undefined"]
+        none, constant, n = F.size(masses) == 0, width == 0, F.size(masses)
+        return F.struct(
+            F.when(none, F.lit(float("inf"))).otherwise(low).alias("low"),
+            F.when(none, F.lit(float("-inf"))).when(constant, low).otherwise(low + width * n).alias("high"),
+            F.when(constant, F.lit(1.0)).otherwise(width).alias("width"),
+            F.when(constant, F.lit(0)).otherwise(n - 1).cast("long").alias("last"),
+            F.concat(F.array(-F.ln(h["p_undefined"]), -F.ln(seen * h["out_of_range_mass"])), F.transform(masses, lambda m: -F.ln(seen * m))).alias("costs"),
+        )
+
+    return F.transform(histograms_, table)
+
+
+def table_score(tables: Column) -> Column:
+    """raw_score from cost_tables: its look-ups are interpreted for every row and feature, so they are few."""
+
+    def cost(table: Column, v: Column) -> Column:
+        at = F.least(F.floor((v - table["low"]) / table["width"]), table["last"]).cast("int")
+        return F.get(table["costs"], F.when(v.isNull(), 0).when((v >= table["low"]) & (v <= table["high"]), at + 2).otherwise(1))
+
+    total = F.aggregate(F.zip_with(tables, F.array(*(transformed(F.col(f.name), f.transform) for f in REGISTRY)), cost), F.lit(0.0), lambda a, x: a + x)
+    wide = F.concat(F.lit("a model of "), F.size(tables).cast("string"), F.lit(f" histograms can't score {len(REGISTRY)} features"))
+    return F.when(tables.isNull(), None).when(F.size(tables) == len(REGISTRY), total).otherwise(F.raise_error(wide).cast("double"))
+
+
 #: Decimals at which scores and quantiles are compared, so that equal windows tie whatever the last bits of a sum are.
 TIE_DECIMALS = 9
 
@@ -169,7 +199,9 @@ def normalised(raw: Column, quantiles: Column) -> Column:
 
 def training_scores(features: DataFrame, models: DataFrame) -> DataFrame:
     """source_id and score of every training window under its own source's histograms."""
-    return features.join(broadcast_if_small(models, 2_000), "source_id").select("source_id", F.round(raw_score(F.col("histograms")), TIE_DECIMALS).alias("score"))
+    tables = cut(models.select("source_id", cost_tables(F.col("histograms")).alias("tables")))
+    rows = features.select("source_id", *NAMES).join(broadcast_if_small(tables, 2_000), "source_id")
+    return rows.select("source_id", F.round(table_score(F.col("tables")), TIE_DECIMALS).alias("score"))
 
 
 def quantile_arrays(grid: DataFrame) -> DataFrame:

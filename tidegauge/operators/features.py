@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.features import NAMES, PREDICATES
-from tidegauge.operators.windows import BUCKET, IN_ORDER, VISITOR, bucket_micros, in_bucket, with_guests
+from tidegauge.operators.windows import BUCKET, IN_ORDER, NEVER, VISITOR, _ddl, _entry_states, bucket_micros, in_bucket, many_gate_steps, openings, with_guests
 from tidegauge.schemas import WindowSpec
 
 #: Rows that are looked at together; a window that is larger is held whole.
@@ -151,6 +151,11 @@ def window_values(block: pa.Table, old: int, spec: WindowSpec) -> tuple[np.ndarr
     line = ge * stride + te - base[ge]
     low = np.searchsorted(line, groups[ends] * stride + np.maximum(t[ends] - spec.length_micros - base[groups[ends]], 0))
     high = np.searchsorted(events, ends)
+    return ends, _measures(block, events, te, ge, low, high)
+
+
+def _measures(block: pa.Table, events: np.ndarray, te: np.ndarray, ge: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+    """The nine features of the windows low to high of the events, which are rows of the block with these times and buckets."""
     n = high - low
     flag = {c: _running(block.column(c).to_numpy(zero_copy_only=False)[events].astype(bool)) for c in FLAGS}
     share = {c: (flag[c][high] - flag[c][low]) / n for c in FLAGS}
@@ -159,16 +164,16 @@ def window_values(block: pa.Table, old: int, spec: WindowSpec) -> tuple[np.ndarr
     # Gap k is between pages k and k + 1; inside a window both pages are of its bucket.
     first, last = np.searchsorted(pages, low), np.searchsorted(pages, high) - 1
     gaps = np.maximum(last - first, 0)
-    mean = np.full(len(ends), np.nan)
+    mean = np.full(len(low), np.nan)
     some = gaps > 0
     mean[some] = (tp[last[some]] - tp[first[some]]) / gaps[some] / 1000
     gap = np.where(np.diff(ge[pages]) == 0, np.diff(tp), 0)
     earlier = _earlier(_codes(block.column("endpoint").take(pa.array(events)))[0], ge)
-    distinct = np.zeros(len(ends), np.int64)
+    distinct = np.zeros(len(low), np.int64)
     for part, rows, at in _cells(low, high):
         distinct[part] = np.add.reduceat((earlier[rows] < np.repeat(low[part], np.diff(at))).astype(np.int64), at[:-1])
     codes, n_codes = _codes(block.column("http_method").take(pa.array(events)))
-    return ends, [
+    return [
         n.astype(float),
         (te[high - 1] - te[low]) / 1e6,
         mean,
@@ -181,6 +186,10 @@ def window_values(block: pa.Table, old: int, spec: WindowSpec) -> tuple[np.ndarr
     ]
 
 
+def _flags() -> list[Column]:
+    return [F.coalesce(predicate(), F.lit(False)).alias(name) for name, predicate in PREDICATES.items()]
+
+
 def window_features(samples: DataFrame, events: DataFrame, spec: WindowSpec, carried: tuple[str, ...] = ()) -> DataFrame:
     """source_id, visitor_id, event_id, t, arrival, the carried columns of samples and the nine features of each sample;
     undefined ones are null.
@@ -190,8 +199,7 @@ def window_features(samples: DataFrame, events: DataFrame, spec: WindowSpec, car
     twice at most, however many windows hold them, and sorted rows stream through running sums; a gap counts if both of its
     pages are in the window. A task holds the events of a window and a chunk of rows.
     """
-    flags = {name: F.coalesce(predicate(), F.lit(False)).alias(name) for name, predicate in PREDICATES.items()}
-    members = events.select(*VISITOR, "t", "arrival", "endpoint", "http_method", *flags.values())
+    members = events.select(*VISITOR, "t", "arrival", "endpoint", "http_method", *_flags())
     spread = with_guests(members, spec, ("t", "arrival", "endpoint", "http_method", *FLAGS)).drop("guest").withColumn("sample", F.lit(0))
     ends = samples.select(*VISITOR, "t", "arrival", "event_id", *carried, in_bucket(F.col("t"), bucket_micros(spec)).alias("bucket"), F.lit(1).alias("sample"))
     rows = spread.unionByName(ends, allowMissingColumns=True).repartition(*BUCKET).sortWithinPartitions(*IN_ORDER, "t", "arrival", "sample")
@@ -206,3 +214,100 @@ def window_features(samples: DataFrame, events: DataFrame, spec: WindowSpec, car
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in out)
     return rows.mapInArrow(run, f"{kinds}, {', '.join(f'{n} double' for n in NAMES)}")
+
+
+def _windows(block: pa.Table, spec: WindowSpec) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's bucket in the block, and the first row of the window that ends at the row."""
+    t, groups = block.column("t").to_numpy(), _groups(block)
+    base, stride = t[np.flatnonzero(np.diff(groups, prepend=-1))][groups], 2 * bucket_micros(spec)
+    return groups, np.searchsorted(groups * stride + t - base, groups * stride + np.maximum(t - spec.length_micros - base, 0))
+
+
+def _candidates(block: pa.Table, old: int, low: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows beyond the old ones that the gate looks at, and each row's window count."""
+    counted, due = _running(block.column("counts").to_numpy().astype(np.int64)), block.column("due").to_numpy().astype(bool)
+    count = counted[1:] - counted[low]
+    due &= count >= least
+    due[:old] = False
+    return np.flatnonzero(due), count
+
+
+def _gate_table(found: pa.Table, spec: WindowSpec) -> Iterator[pa.RecordBatch]:
+    """gate_steps of each bucket of a table of candidates."""
+    if found.num_rows:
+        begins = np.flatnonzero(np.diff(_groups(found), prepend=-1))
+        keys, at = found.select(BUCKET).take(pa.array(begins)), np.append(begins, found.num_rows)
+        offsets, *steps = many_gate_steps(found.column("t").to_numpy(), at, keys.column("bucket").to_numpy() * bucket_micros(spec), spec.cadence_micros)
+        columns = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(s, pa.int64())) for s in steps]
+        yield pa.RecordBatch.from_arrays([*(keys.column(c).combine_chunks() for c in BUCKET), *columns], names=[*BUCKET, "entries", "exits"])
+
+
+def _entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that aren't states, with entry: the state of their bucket, which stands before them."""
+    carried = NEVER
+    for batch in batches:
+        if batch.num_rows:
+            state, t = batch.column("state").to_numpy() == 0, batch.column("t").fill_null(NEVER).to_numpy()
+            at = np.maximum.accumulate(np.where(state, np.arange(len(t)), -1))
+            entry = np.where(at >= 0, t[at], carried)
+            carried = int(entry[-1])
+            yield batch.append_column("entry", pa.array(entry, pa.int64())).filter(pa.array(~state))
+
+
+def gated_features(events: DataFrame, spec: WindowSpec, since: Column | None = None, eligible_only: bool = True) -> DataFrame:
+    """source_id, visitor_id, event_id, t, arrival, window_count and the nine features of the windows that open the gate.
+
+    These are window_features of fit_samples or, without eligible_only and with late in events, of serve_samples: late events
+    open nothing and aren't counted, but are in the windows. A visitor's (t, arrival) are unique. Events are sorted by their
+    bucket twice: their times alone give each bucket's step function of the gate (cadence_gate), and with the bucket's
+    state before them all columns give counts, openings and features in one walk. A task holds the events of a window and a
+    chunk of rows, and the times of one visitor's bucket.
+    """
+    counts = ~F.col("late") if "late" in events.columns else F.lit(True)
+    marked = events.withColumn("counts", counts).withColumn("due", F.col("counts") & (F.lit(True) if since is None else F.coalesce(since, F.lit(False))))
+    least = spec.min_events if eligible_only else 0
+    order = (*IN_ORDER, "t", "arrival")
+
+    def spread(columns: tuple, guests: tuple[str, ...]) -> DataFrame:
+        rows = with_guests(marked.select(*VISITOR, "t", "arrival", "counts", "due", *columns), spec, ("t", "arrival", "counts", *guests))
+        return rows.withColumn("due", F.coalesce("due", F.lit(False))).drop("guest")
+
+    times = spread((), ())
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for block, old in _blocks(batches, spec):
+            found = block.select([*BUCKET, "t"]).take(pa.array(_candidates(block, old, _windows(block, spec)[1], least)[0]))
+            found = (pa.concat_tables([held, found]) if held else found).combine_chunks()
+            if found.num_rows:
+                # The last bucket may go on in the next block.
+                last = int(np.flatnonzero(np.diff(_groups(found), prepend=-1))[-1])
+                yield from _gate_table(found.slice(0, last), spec)
+                held = found.slice(last)
+        if held:
+            yield from _gate_table(held, spec)
+
+    stepped = times.repartition(*BUCKET).sortWithinPartitions(*order).mapInArrow(steps, f"{_ddl(times, BUCKET)}, entries array<long>, exits array<long>")
+    states = _entry_states(stepped, spec.cadence_micros).withColumn("state", F.lit(0))
+    members = spread(("event_id", "endpoint", "http_method", *_flags()), ("endpoint", "http_method", *FLAGS)).withColumn("state", F.lit(1))
+    rows = members.unionByName(states, allowMissingColumns=True).repartition(*BUCKET).sortWithinPartitions(*IN_ORDER, "state", "t", "arrival")
+    out = (*VISITOR, "event_id", "t", "arrival")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = NEVER
+        for block, old in _blocks(_entered(batches), spec):
+            (groups, low), t = _windows(block, spec), block.column("t").to_numpy()
+            due, count = _candidates(block, old, low, least)
+            begins = np.flatnonzero(np.diff(groups, prepend=-1))
+            before = block.column("entry").to_numpy()[begins]
+            if old:
+                before[0] = carried
+            edges = np.searchsorted(due, np.append(begins, len(groups)))
+            kept, last = openings(t[due], edges[:-1], edges[1:], before, spec.cadence_micros)
+            carried, at = int(last[-1]), due[kept]
+            values = _measures(block, np.arange(len(t)), t, groups, low[at], at + 1)
+            own = block.select(list(out)).take(pa.array(at, pa.int64())).combine_chunks()
+            columns = [own.column(c).chunk(0) if len(at) else pa.array([], own.schema.field(c).type) for c in out]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(count[at], pa.int64()), *(pa.array(v, mask=np.isnan(v)) for v in values)], names=[*out, "window_count", *NAMES])
+
+    return rows.mapInArrow(run, f"{_ddl(rows, out)}, window_count long, {', '.join(f'{n} double' for n in NAMES)}")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.features import REGISTRY, registry_hash
-from tidegauge.operators.baseline import normalised, raw_score, valid_histogram, valid_quantiles
-from tidegauge.operators.materialize import broadcast_if_small
+from tidegauge.operators.baseline import cost_tables, normalised, table_score, valid_histogram, valid_quantiles
+from tidegauge.operators.materialize import broadcast_if_small, cut
 from tidegauge.schemas import POLICY_V1, WindowSpec
 from tidegauge.sources.tables import latest_succeeded
 
@@ -51,9 +51,10 @@ def decide(features: DataFrame, models: DataFrame, decided_at: Column, policy: d
     models has one row a source; it is broadcast if its counted rows allow it.
     """
     version, bands, fallback = policy_row(policy)
-    rows = features.join(broadcast_if_small(models, 2_000), "source_id", "left")
+    tabled = cut(models.withColumn("tables", cost_tables(F.col("histograms"))).drop("histograms"))
+    rows = features.join(broadcast_if_small(tabled, 2_000), "source_id", "left")
     status = F.when(F.col("baseline_run_id").isNull(), "no_baseline").when(~F.col("eligible"), "insufficient_history").otherwise("scored")
-    rows = rows.withColumn("status", status).withColumn("score_raw", F.when(F.col("status") == "scored", raw_score(F.col("histograms"))))
+    rows = rows.withColumn("status", status).withColumn("score_raw", F.when(F.col("status") == "scored", table_score(F.col("tables"))))
     rows = rows.withColumn("score_normalized", normalised(F.col("score_raw"), F.col("score_quantiles")))
     rows = rows.withColumn("score_normalized", F.when(F.col("status") == "scored", F.col("score_normalized"))).withColumn("band", F.when(F.col("status") == "scored", band(bands, F.col("score_normalized"))))
     return rows.select(

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.operators import baseline, marts, quality, scoring
-from tidegauge.operators.features import window_features
-from tidegauge.operators.materialize import cut
-from tidegauge.operators.windows import VISITOR, serve_samples
+from tidegauge.operators.features import gated_features, window_features
+from tidegauge.operators.materialize import cut, store
+from tidegauge.operators.windows import VISITOR, bucket_micros, mark_late, serve_samples
 from tidegauge.schemas import FitSpec, WindowSpec
 from tidegauge.sources.tables import http_events
 
@@ -29,6 +29,8 @@ def fit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: What sampling needs of an event; gates and their tables carry no other column.
 SAMPLED = (*VISITOR, "event_id", "event_time", "t", "arrival")
+#: What features need beside it.
+MEASURED = ("endpoint", "http_method", "resource_type", "status_code", "referrer_present")
 
 
 def training_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +39,9 @@ def training_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Gate counts and features of the training windows, materialised: a fit reads both several times."""
-    events, samples = fit_history(spark, sf_dir), cut(training_samples(spark, sf_dir))
-    return cut(baseline.gate_counts(events, samples, FIT)), cut(window_features(samples, events, WINDOWS))
+    events = fit_history(spark, sf_dir)
+    features = cut(gated_features(events, WINDOWS, F.col("horizon_t").isNull() | (F.col("t") >= F.col("horizon_t"))))
+    return cut(baseline.gate_counts(events, features, FIT)), features
 
 
 def training_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +78,10 @@ def served(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decisions(spark: SparkSession, sf_dir: str, fitted: DataFrame | None = None) -> DataFrame:
     """Decisions on the served windows under the runs fitted before the split."""
-    rows = window_features(served(spark, sf_dir), serve_history(spark, sf_dir), WINDOWS, ("event_time", "eligible"))
+    events = serve_history(spark, sf_dir).select(*SAMPLED, *MEASURED)
+    marked = store(mark_late(events, bucket=bucket_micros(WINDOWS)))
+    rows = gated_features(marked, WINDOWS, F.col("t") >= split_micros(), eligible_only=False)
+    rows = rows.withColumn("event_time", F.timestamp_micros("t")).withColumn("eligible", F.col("window_count") >= WINDOWS.min_events)
     models = scoring.loaded_models(runs(spark, sf_dir) if fitted is None else fitted, WINDOWS)
     return scoring.decide(rows, models, F.col("event_time"))
 
@@ -83,7 +89,8 @@ def decisions(spark: SparkSession, sf_dir: str, fitted: DataFrame | None = None)
 def dated_decisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Decisions with their days and the staged runs, both materialised."""
     fitted = runs(spark, sf_dir)
-    events = marts.staged_events(http_events(spark, sf_dir))
+    # Decisions are on windows after the split, so no earlier event is one of theirs.
+    events = marts.staged_events(http_events(spark, sf_dir).where(F.col("t") >= split_micros()))
     return cut(marts.decisions_with_event_date(decisions(spark, sf_dir, fitted), events)), marts.staged_runs(fitted)
 
 
