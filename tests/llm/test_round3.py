@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -238,3 +239,37 @@ def test_resampling(spark, odd, small, monkeypatch):
 @pytest.mark.parametrize("name", ["op12_vector_codes", "op13_importance_resampling"])
 def test_new_oracles(spark, name):
     assert differences(queries.QUERIES[name](spark, SMALL).toPandas(), connect(SMALL).execute(ORACLES[name]).fetchdf()) == ""
+
+
+# 4: vectors of many dimensions
+
+
+def test_vectors_without_replicas(spark, monkeypatch):
+    """Nearly orthogonal vectors had a replica in most of a label's cells, all of which were stored."""
+    from urllib.parse import urlparse
+
+    from tidegauge.llm import vectors
+    from tidegauge.llm.common import checkpoint_dir
+
+    monkeypatch.setattr(vectors, "CELL_ROWS", 100)
+    monkeypatch.setattr(vectors, "CHUNK_ROWS", 100)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64))
+    x[1000:1300] = x[7] + rng.normal(size=(300, 64)) * rng.uniform(0.02, 0.3, (300, 1))  # one large group, and pairs around the limit
+    x[1300:1700] = x[:400] + rng.normal(size=(400, 64)) * rng.uniform(0.1, 0.3, (400, 1))
+    x[1700:1710] = -x[7]
+    x = x.astype(np.float32)
+    label = np.where(np.arange(3000) % 5, 1, 2)
+    df = spark.createDataFrame([(k, v, int(c)) for k, (v, c) in enumerate(zip(x.tolist(), label))], "vec_id long, embedding array<float>, label int")
+    folder = urlparse(checkpoint_dir(spark)).path
+    held = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, names in os.walk(folder) for f in names)
+    before = held()
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.vector_components(df).collect()}
+    assert held() - before < 3 * x.nbytes
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = (u @ u.T >= 0.98) & (label[:, None] == label)
+    low = np.arange(3000)
+    while not np.array_equal(low, new := np.where(near, low[None, :], 3000).min(axis=1)):
+        low = new
+    assert got == {k: (int(near[k].sum()) - 1, int(low[k])) for k in range(3000)}
+    assert 200 < (near.sum(axis=1) > 1).sum() < 2000
